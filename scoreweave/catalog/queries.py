@@ -576,3 +576,142 @@ def review_counts(spark, sf):
     return explain.review_counts(
         explain.explanation_diagnostics(features(spark, sf, (ID,)), model.unknown_selected())
     )
+
+
+# --- fitted models (learned coefficients: no SQL counterpart) ------------------------
+
+
+@query
+def logistic_fit(spark, sf):
+    """Coefficients of the whole chain fitted on the training part."""
+    from ..models.logistic import fit_logistic
+
+    return fit_logistic(train_raw(spark, sf)).coefficient_report(spark)
+
+
+@query
+def logistic_summary(spark, sf):
+    from ..models.logistic import fit_logistic
+
+    return fit_logistic(train_raw(spark, sf)).summary(spark)
+
+
+@query
+def logistic_scores(spark, sf):
+    """Fit on train, score every row."""
+    from ..models.logistic import fit_logistic, score_raw
+
+    return score_raw(model_table(spark, sf), fit_logistic(train_raw(spark, sf)))
+
+
+def train_raw(spark, sf):
+    parted = split.stratified_split(fixtures.application(spark, sf))
+    joined = wide.wide_table(parted, wide.aggregate_children(fixtures.bureau(spark, sf)))
+    return part(joined, "train")
+
+
+TREE_ROUNDS = 5
+
+
+@query
+def gbt_fit(spark, sf):
+    """Importance of a short ensemble (the default is 300 rounds)."""
+    from ..models.trees import fit_trees
+
+    return fit_trees(train_raw(spark, sf), rounds=TREE_ROUNDS).importance(spark)
+
+
+@query
+def gbt_contributions(spark, sf):
+    from ..models.trees import fit_trees, tree_contributions
+
+    model = fit_trees(train_raw(spark, sf), rounds=TREE_ROUNDS)
+    return tree_contributions(features(spark, sf, (ID,)), model)
+
+
+@query
+def platt_fit(spark, sf):
+    from ..models.platt import fit_platt
+
+    scored = fixtures.scored(spark, sf)
+    fitted = fit_platt(scored, TARGET, "p_base")
+    return scored.select(ID, fitted.apply("p_base").alias("p_calibrated"))
+
+
+@query
+def scheme_selection(spark, sf):
+    """Choice between two models and two probability versions, fixed calibration."""
+    from ..models.platt import PlattModel
+    from ..plans.experiment import choose_scheme, compare_versions
+
+    fixed = PlattModel(1.25, 0.5)
+    scored = fixtures.scored(spark, sf)
+    scored = scored.withColumn("q_base", fixed.apply("p_base")).withColumn("q_challenger", fixed.apply("p_challenger"))
+    versions = {
+        (model, version): f"{prefix}_{model}"
+        for model in ("base", "challenger")
+        for version, prefix in (("raw", "p"), ("calibrated", "q"))
+    }
+    return rounded(choose_scheme(compare_versions(scored, versions)))
+
+
+# --- contracts and monitoring --------------------------------------------------------
+
+
+@query
+def contract_violations(spark, sf):
+    """Staging rules over a text form of the child table with known faults."""
+    from ..sources.contract import BUREAU, staging_violations
+
+    n = F.col("sk_id_bureau")
+    text = fixtures.bureau(spark, sf).select(*[F.col(c).cast("string").alias(c) for c in BUREAU.names])
+    key = n.cast("long")
+    faulty = text.select(
+        "sk_id_bureau",
+        F.when(key % 1009 != 0, F.col("sk_id_curr")).alias("sk_id_curr"),
+        F.when(key % 1013 == 0, F.repeat(F.lit("x"), 21)).otherwise(F.col("credit_active")).alias("credit_active"),
+        F.when(key % 997 == 0, F.lit("soon")).otherwise(F.col("days_credit")).alias("days_credit"),
+        "amt_credit_sum",
+        F.when(key % 991 == 0, F.lit("n/a")).otherwise(F.col("amt_credit_sum_debt")).alias("amt_credit_sum_debt"),
+        "credit_day_overdue",
+    )
+    return staging_violations(faulty, BUREAU)
+
+
+@query
+def partial_label_guard(spark, sf):
+    """Labels cover only part of the documents: how many rows would refuse a batch."""
+    documents = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    joined = documents.join(labels, "doc_id", "left")
+    return joined.agg(
+        F.count("*").alias("n_samples"),
+        F.count_if(F.col("quality").isNull()).alias("without_label"),
+        (F.count_if(F.col("quality").isNull()) > 0).alias("refused"),
+    )
+
+
+@query
+def monitor_batch_totals(spark, sf):
+    """One-scan totals of a batch scored with the frozen model."""
+    from ..operators.drift import DriftReference
+    from ..plans.monitoring import PROBABILITY, Monitor, batch_summary
+    from ..functions.math import sigmoid
+
+    model = frozen.model()
+    monitor = Monitor(model, DriftReference(model.bins, (), 0), {}, frozen.RULE)
+    view = features(spark, sf).withColumn(PROBABILITY, sigmoid(model.log_odds()))
+    return rounded(batch_summary(view, monitor, TARGET))
+
+
+@query
+def monitor_summary(spark, sf):
+    """A whole monitoring run: train part as reference, valid part as batch."""
+    from ..plans.monitoring import build_monitor, evaluate_batch, summary_table
+
+    versions = {"model": "m1", "reference": "r1", "policy": "p1", "monitor": "c1"}
+    parted = split.stratified_split(fixtures.application(spark, sf))
+    joined = wide.wide_table(parted, wide.aggregate_children(fixtures.bureau(spark, sf)))
+    monitor = build_monitor(frozen.model(), part(joined, "train"), versions, frozen.RULE)
+    report = evaluate_batch(monitor, part(joined, "valid"), TARGET, "observed")
+    return rounded(summary_table(spark, report))
