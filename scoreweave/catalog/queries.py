@@ -24,6 +24,7 @@ from ..operators import (
     wide,
     woe,
 )
+from ..session import apply_settings, spread_small
 from . import frozen
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,7 +37,11 @@ BOOTSTRAP_DRAWS = 20
 
 
 def query(run: Query) -> Query:
-    REGISTRY[run.__name__] = run
+    def prepared(spark: SparkSession, sf: str) -> DataFrame:
+        apply_settings(spark)
+        return run(spark, sf)
+
+    REGISTRY[run.__name__] = prepared
     return run
 
 
@@ -62,21 +67,14 @@ def features(spark: SparkSession, sf: str, keep=(ID, TARGET)) -> DataFrame:
     return business_features(model_table(spark, sf), keep)
 
 
-def with_membership(spark: SparkSession, sf: str, df: DataFrame) -> DataFrame:
-    """Attach the partition: cuts come from the narrow application columns only."""
-    parts = split.stratified_split(fixtures.application(spark, sf).select(ID, TARGET))
-    if ID in df.columns and TARGET in df.columns:
-        # The assignment is an expression over (id, target): no join needed.
-        return split.stratified_split(df, validate=False)
-    return df.join(split.membership(parts), ID)
+def parted_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Modelling table plus partition; the split reads id and label only."""
+    parted = split.stratified_split(fixtures.application(spark, sf))
+    return wide.wide_table(parted, wide.aggregate_children(fixtures.bureau(spark, sf)))
 
 
 def split_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Features of every row plus its partition; the split reads id and label only."""
-    base = fixtures.application(spark, sf)
-    parted = split.stratified_split(base)
-    joined = wide.wide_table(parted, wide.aggregate_children(fixtures.bureau(spark, sf)))
-    return business_features(joined, (ID, TARGET, "partition"))
+    return business_features(parted_table(spark, sf), (ID, TARGET, "partition"))
 
 
 def part(df: DataFrame, name: str) -> DataFrame:
@@ -84,11 +82,11 @@ def part(df: DataFrame, name: str) -> DataFrame:
 
 
 def train_fit(spark: SparkSession, sf: str):
-    """Features by partition, edges and WOE of the training part."""
-    everything = split_features(spark, sf)
-    train = part(everything, "train").persist()
+    """Features of every row, features of the training part, edges."""
+    table = parted_table(spark, sf)
+    train = business_features(spread_small(part(table, "train"), ID), (ID, TARGET)).persist()
     spec = binning.fit_bins(train, FEATURES)
-    return everything, train, spec
+    return business_features(table, (ID, TARGET, "partition")), train, spec
 
 
 # --- load, reconciliation, profile ---------------------------------------------------
@@ -605,9 +603,7 @@ def logistic_scores(spark, sf):
 
 
 def train_raw(spark, sf):
-    parted = split.stratified_split(fixtures.application(spark, sf))
-    joined = wide.wide_table(parted, wide.aggregate_children(fixtures.bureau(spark, sf)))
-    return part(joined, "train")
+    return part(parted_table(spark, sf), "train")
 
 
 TREE_ROUNDS = 5
@@ -710,8 +706,7 @@ def monitor_summary(spark, sf):
     from ..plans.monitoring import build_monitor, evaluate_batch, summary_table
 
     versions = {"model": "m1", "reference": "r1", "policy": "p1", "monitor": "c1"}
-    parted = split.stratified_split(fixtures.application(spark, sf))
-    joined = wide.wide_table(parted, wide.aggregate_children(fixtures.bureau(spark, sf)))
+    joined = parted_table(spark, sf)
     monitor = build_monitor(frozen.model(), part(joined, "train"), versions, frozen.RULE)
     report = evaluate_batch(monitor, part(joined, "valid"), TARGET, "observed")
     return rounded(summary_table(spark, report))

@@ -57,33 +57,25 @@ def binary_label(value: Column | str) -> Column:
     )
 
 
-def numeric_or_missing(value: Column | str, data_type: T.DataType, name: str) -> Column:
-    """Double with NULL as the only missing value; infinities and text are refused."""
-    raw = _col(value)
+def numeric_or_missing(name: str, data_type: T.DataType) -> str:
+    """Double with NULL as the only missing value, as SQL text.
+
+    Infinities and unreadable text are refused. NaN compares greater than infinity,
+    so it matches no branch and falls to NULL.
+    """
     if isinstance(data_type, (T.BooleanType, T.DateType, T.TimestampType, T.ArrayType, T.MapType, T.StructType)):
         raise GateError(f"column {name} is not numeric")
+    if not isinstance(data_type, (T.DoubleType, T.FloatType, T.StringType)):
+        return f"CAST({name} AS DOUBLE)"
+    x = f"CAST({name} AS DOUBLE)"
+    infinite = f"WHEN abs({x}) = double('inf') THEN raise_error('column {name} holds an infinite value')"
     if isinstance(data_type, T.StringType):
-        x = F.when(
-            raw.isNotNull() & raw.try_cast("double").isNull(),
-            F.raise_error(F.lit(f"column {name} holds a non-numeric value")),
-        ).otherwise(raw.try_cast("double"))
-    else:
-        x = raw.cast("double")
-    if isinstance(data_type, (T.DoubleType, T.FloatType, T.StringType)):
-        return (
-            F.when(F.isnan(x), F.lit(None).cast("double"))
-            .when(F.abs(x) == F.lit(float("inf")), F.raise_error(F.lit(f"column {name} holds an infinite value")))
-            .otherwise(x)
+        x = f"try_cast({name} AS DOUBLE)"
+        infinite = (
+            f"WHEN abs({x}) = double('inf') OR ({x} IS NULL AND {name} IS NOT NULL) "
+            f"THEN raise_error('column {name} holds a value that is not a finite number')"
         )
-    return x
-
-
-def count_record(value: Column | str, name: str) -> Column:
-    """Count that must be present, whole and not negative."""
-    x = _col(value)
-    return F.when((x >= 0) & (x % 1 == 0), x).otherwise(
-        F.raise_error(F.lit(f"{name} must be a non-missing whole number >= 0"))
-    )
+    return f"CASE WHEN abs({x}) < double('inf') THEN {x} {infinite} END"
 
 
 def rule_violations(df: DataFrame, rules: dict[str, Column]) -> dict[str, int]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 
 from pyspark.sql import Column
@@ -37,21 +38,39 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
 
 
-def balanced_position(x: Column, edges, values=None) -> Column:
+def sql_literal(value) -> str:
+    """SQL text of a frozen parameter."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, int):
+        return str(value)
+    if isinstance(value, float):
+        return f"{value!r}D" if math.isfinite(value) else f"double('{value}')"
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def balanced_case(x: str, edges, values=None) -> str:
     """Number of edges below ``x`` (right-closed bins) as a balanced CASE tree.
 
     ``values`` replaces the position by a literal per bin. Depth is logarithmic in
-    the number of edges and everything stays in generated code.
+    the number of edges and everything stays in generated code. The result is SQL
+    text: learned parameters become one parsed expression, however many there are.
     """
     cuts = [float(e) for e in edges]
-    leaves = list(range(len(cuts) + 1)) if values is None else list(values)
+    leaves = [sql_literal(v) for v in (range(len(cuts) + 1) if values is None else values)]
     if len(leaves) != len(cuts) + 1:
         raise ValueError("one value per bin is required")
 
-    def build(low: int, high: int) -> Column:
+    def build(low: int, high: int) -> str:
         if low == high:
-            return F.lit(leaves[low])
+            return leaves[low]
         middle = (low + high) // 2
-        return F.when(x <= F.lit(cuts[middle]), build(low, middle)).otherwise(build(middle + 1, high))
+        return f"CASE WHEN {x} <= {sql_literal(cuts[middle])} THEN {build(low, middle)} ELSE {build(middle + 1, high)} END"
 
     return build(0, len(cuts))
+
+
+def balanced_position(x: str, edges) -> Column:
+    return F.expr(balanced_case(x, edges))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from . import guards
 from .columns import RAW_COLUMNS
@@ -21,22 +20,17 @@ RATIOS = {
 }
 
 
-def _flag(condition: Column) -> Column:
+def _flag(condition: str, name: str) -> str:
     """0/1 flag; a comparison with a missing value is false."""
-    return F.coalesce(condition, F.lit(False)).cast("int")
+    return f"CASE WHEN {condition} THEN 1 ELSE 0 END AS {name}"
 
 
-def _unless(condition: Column, value: Column) -> Column:
-    """Value, or NULL where the condition holds."""
-    return F.when(~F.coalesce(condition, F.lit(False)), value)
-
-
-def _masked_with_flags(name: str, invalid: Column) -> list[Column]:
-    x = F.col(name)
+def _masked_with_flags(name: str, valid: str, invalid: str) -> list[str]:
+    """Value where valid (missing stays missing) plus its two flags."""
     return [
-        _unless(invalid, x).alias(name),
-        _flag(x.isNull()).alias(f"{name}_missing"),
-        _flag(invalid).alias(f"{name}_invalid"),
+        f"CASE WHEN {valid} THEN {name} END AS {name}",
+        _flag(f"{name} IS NULL", f"{name}_missing"),
+        _flag(invalid, f"{name}_invalid"),
     ]
 
 
@@ -59,48 +53,40 @@ FEATURES = (
 
 
 def business_features(df: DataFrame, keep: tuple[str, ...] = ("sk_id_curr",)) -> DataFrame:
-    """Derive the 35 features; ``keep`` columns pass through untouched."""
+    """Derive the 35 features; ``keep`` columns pass through untouched.
+
+    Expressions are short on purpose: the whole projection has to stay below the size
+    at which the JVM stops compiling a generated method.
+    """
     guards.require_columns(df, RAW_COLUMNS)
     types = {f.name: f.dataType for f in df.schema.fields}
-    raw = df.select(
-        *keep, *[guards.numeric_or_missing(c, types[c], c).alias(c) for c in RAW_COLUMNS]
-    )
-
-    birth, employed = F.col("days_birth"), F.col("days_employed")
-    sentinel = employed == EMPLOYED_SENTINEL
-    employed_bad = (employed > 0) & ~sentinel
-    count = guards.count_record("bureau_cnt", "bureau_cnt")
+    raw = df.selectExpr(*keep, *[f"{guards.numeric_or_missing(c, types[c])} AS {c}" for c in RAW_COLUMNS])
 
-    columns: list[Column] = []
+    masked: list[str] = []
     for name in AMOUNTS:
-        columns += _masked_with_flags(name, F.col(name) < 0)
-    columns += [
-        _flag(birth.isNull()).alias("days_birth_missing"),
-        _flag(birth >= 0).alias("days_birth_invalid"),
-        _unless(birth >= 0, (0 - birth) / DAYS_PER_YEAR).alias("age_years"),
-        _flag(employed.isNull()).alias("days_employed_missing"),
-        _flag(sentinel).alias("days_employed_sentinel"),
-        _flag(employed_bad).alias("days_employed_invalid"),
-        _unless(sentinel | employed_bad, (0 - employed) / DAYS_PER_YEAR).alias("employed_years"),
+        masked += _masked_with_flags(name, f"{name} >= 0", f"{name} < 0")
+    masked += [
+        _flag("days_birth IS NULL", "days_birth_missing"),
+        _flag("days_birth >= 0", "days_birth_invalid"),
+        f"CASE WHEN days_birth < 0 THEN (0 - days_birth) / {DAYS_PER_YEAR}D END AS age_years",
+        _flag("days_employed IS NULL", "days_employed_missing"),
+        _flag(f"days_employed = {EMPLOYED_SENTINEL}", "days_employed_sentinel"),
+        _flag(f"days_employed > 0 AND days_employed <> {EMPLOYED_SENTINEL}", "days_employed_invalid"),
+        f"CASE WHEN days_employed <= 0 THEN (0 - days_employed) / {DAYS_PER_YEAR}D END AS employed_years",
     ]
     for name in SCORES:
-        columns += _masked_with_flags(name, (F.col(name) < 0) | (F.col(name) > 1))
-    columns += [count.alias("bureau_cnt")]
-
-    masked = raw.select(*keep, *columns)
-    income = F.col("amt_income_total")
+        masked += _masked_with_flags(name, f"{name} BETWEEN 0 AND 1", f"{name} < 0 OR {name} > 1")
+    masked.append(
+        "CASE WHEN bureau_cnt >= 0 AND bureau_cnt % 1 = 0 THEN bureau_cnt "
+        "ELSE raise_error('bureau_cnt must be a non-missing whole number >= 0') END AS bureau_cnt"
+    )
     derived = {
-        "employment_age_inconsistent": _flag(F.col("employed_years") > F.col("age_years")),
-        "bureau_has_record": _flag(F.col("bureau_cnt") > 0),
-        "income_zero": _flag(income == 0),
-        **{
-            name: F.when(income > 0, F.col(numerator) / income)
-            for name, numerator in RATIOS.items()
-        },
+        "employment_age_inconsistent": _flag("employed_years > age_years", "employment_age_inconsistent"),
+        "bureau_has_record": _flag("bureau_cnt > 0", "bureau_has_record"),
+        "income_zero": _flag("amt_income_total = 0", "income_zero"),
+        **{n: f"CASE WHEN amt_income_total > 0 THEN {x} / amt_income_total END AS {n}" for n, x in RATIOS.items()},
     }
-    return masked.select(
-        *keep, *[derived[f].alias(f) if f in derived else F.col(f) for f in FEATURES]
-    )
+    return raw.selectExpr(*keep, *masked).selectExpr(*keep, *[derived.get(f, f) for f in FEATURES])
 
 
 def flag_columns(columns, *suffixes: str) -> list[str]:
@@ -110,14 +96,14 @@ def flag_columns(columns, *suffixes: str) -> list[str]:
 def row_diagnostics(features: DataFrame, keep: tuple[str, ...] = ("sk_id_curr",)) -> DataFrame:
     """Per-row data-quality counts over all 35 features."""
 
-    def total(suffix: str) -> Column:
-        return sum((F.col(c) for c in flag_columns(FEATURES, suffix)), F.lit(0)).cast("long")
+    def total(suffix: str, name: str) -> str:
+        return f"CAST({' + '.join(flag_columns(FEATURES, suffix))} AS BIGINT) AS {name}"
 
-    counts = [
-        total("_missing").alias("raw_missing_count"),
-        total("_invalid").alias("invalid_value_count"),
-        total("_sentinel").alias("sentinel_count"),
-        F.col("employment_age_inconsistent").cast("long").alias("employment_age_inconsistent"),
-        F.col("income_zero").cast("long").alias("income_zero"),
-    ]
-    return features.select(*keep, *counts)
+    return features.selectExpr(
+        *keep,
+        total("_missing", "raw_missing_count"),
+        total("_invalid", "invalid_value_count"),
+        total("_sentinel", "sentinel_count"),
+        "CAST(employment_age_inconsistent AS BIGINT) AS employment_age_inconsistent",
+        "CAST(income_zero AS BIGINT) AS income_zero",
+    )

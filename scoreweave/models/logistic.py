@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
-from functools import reduce
 from math import prod
 
 from pyspark.ml.classification import LogisticRegression
@@ -14,10 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions import guards
 from ..functions.columns import ID, TARGET
-from ..functions.math import sigmoid
+from ..functions.math import sigmoid, sql_literal
 from ..functions.rules import FEATURES, business_features
 from ..operators.binning import BinSpec, fit_bins
-from ..operators.woe import WoeModel, fit_woe, select_encoded, unknown_column, woe_column
+from ..operators.woe import WoeModel, fit_woe, select_encoded, unknown_sql, woe_sql
+from ..session import spread_small
 from .configs import LOGISTIC
 
 
@@ -39,18 +39,17 @@ class LogisticModel:
     iterations: int = 0
     selection: tuple[tuple[str, float, str], ...] = ()
 
-    def term(self, feature: str) -> Column:
+    def term_sql(self, feature: str, factor: float = 1.0) -> str:
         """``coefficient * woe`` of one feature, read straight from its bin."""
-        coefficient = self.coefficients[self.selected.index(feature)]
+        coefficient = factor * self.coefficients[self.selected.index(feature)]
         scaled = {b: coefficient * w for b, w in self.woe.mapping(feature).items()}
-        return self.bins[feature].lookup(scaled, 0.0)
+        return self.bins[feature].lookup_sql(scaled, 0.0)
 
     def log_odds(self) -> Column:
-        return reduce(lambda a, b: a + b, (self.term(f) for f in self.selected), F.lit(0.0)) + F.lit(self.intercept)
+        return F.expr(" + ".join([*(self.term_sql(f) for f in self.selected), sql_literal(self.intercept)]))
 
     def unknown_selected(self) -> Column:
-        flags = (unknown_column(self.bins, self.woe, f).cast("long") for f in self.selected)
-        return reduce(lambda a, b: a + b, flags, F.lit(0).cast("long"))
+        return F.expr(f"CAST({' + '.join(unknown_sql(self.bins, self.woe, f) for f in self.selected)} AS BIGINT)")
 
     def coefficient_report(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(zip(self.selected, self.coefficients)), "feature string, coefficient double")
@@ -126,7 +125,7 @@ def fit_logistic(
         raise ValueError("C must be finite and positive")
     if isinstance(max_iter, bool) or max_iter < 1:
         raise ValueError("max_iter must be a positive whole number")
-    features = business_features(raw, (id_col, target)).persist()
+    features = business_features(spread_small(raw, id_col), (id_col, target)).persist()
     try:
         bins = fit_bins(features, FEATURES, n_bins)
         woe = fit_woe(features, bins, target, alpha, 20)
@@ -138,7 +137,7 @@ def fit_logistic(
         rows, bad = sum(r["n_samples"] for r in first), sum(r["n_bad"] for r in first)
 
         design = features.select(
-            *[woe_column(bins, woe, f).alias(f) for f in selected],
+            *[F.expr(woe_sql(bins, woe, f)).alias(f) for f in selected],
             guards.binary_label(target).cast("double").alias("y"),
         )
         combinations = 2 * prod(len(bins[f].labels) for f in selected)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import guards
 from ..functions.columns import MISSING, OUTSIDE, numeric_bin_name
-from ..functions.math import balanced_position
+from ..functions.math import balanced_case, sql_literal
 from .quantiles import exact_quantiles
 
 # HLL estimates above this are certainly beyond any allowed bin number.
@@ -36,21 +36,25 @@ class FeatureBins:
             return (OUTSIDE, MISSING)
         return (*(numeric_bin_name(i) for i in range(len(self.edges) + 1)), MISSING)
 
-    def position(self, value: Column | None = None) -> Column:
-        """Index into ``labels``."""
-        x = F.col(self.feature).cast("double") if value is None else value
-        return F.when(x.isNull(), F.lit(len(self.labels) - 1)).otherwise(balanced_position(x, self.edges))
+    @property
+    def number(self) -> str:
+        return f"CAST({self.feature} AS DOUBLE)"
 
-    def lookup(self, values: dict[str, object], default) -> Column:
+    def lookup_sql(self, values: dict[str, object], default) -> str:
         """Value of the row's bin, straight from the number (no label in between)."""
-        x = F.col(self.feature).cast("double")
         leaves = [values.get(label, default) for label in self.labels[:-1]]
-        return F.when(x.isNull(), F.lit(values.get(MISSING, default))).otherwise(
-            balanced_position(x, self.edges, leaves)
-        )
+        missing = sql_literal(values.get(MISSING, default))
+        return f"CASE WHEN {self.feature} IS NULL THEN {missing} ELSE {balanced_case(self.number, self.edges, leaves)} END"
 
-    def label(self) -> Column:
-        return self.lookup({name: name for name in self.labels}, None)
+    def position_sql(self, start: int = 0) -> str:
+        """Index into ``labels``, counted from ``start``."""
+        return self.lookup_sql({label: start + i for i, label in enumerate(self.labels)}, None)
+
+    def lookup(self, values: dict[str, object], default) -> Column:
+        return F.expr(self.lookup_sql(values, default))
+
+    def label_sql(self) -> str:
+        return self.lookup_sql({name: name for name in self.labels}, None)
 
 
 @dataclass(frozen=True)
@@ -94,18 +98,13 @@ class BinSpec:
 
 def column_profile(df: DataFrame, columns) -> dict[str, dict]:
     """Rows, non-null rows, min, max and approximate distinct values in one scan."""
-    aggregates = [F.count("*").alias("rows")]
-    for c in columns:
-        x = F.col(c).cast("double")
-        aggregates += [
-            F.count(x).alias(f"{c}__n"),
-            F.min(x).alias(f"{c}__lo"),
-            F.max(x).alias(f"{c}__hi"),
-            F.approx_count_distinct(x).alias(f"{c}__d"),
-        ]
-    row = df.agg(*aggregates).first()
+    aggregates = []
+    for i, c in enumerate(columns):
+        x = f"CAST({c} AS DOUBLE)"
+        aggregates += [f"count({x}) AS n{i}", f"min({x}) AS lo{i}", f"max({x}) AS hi{i}", f"approx_count_distinct({x}) AS d{i}"]
+    row = df.selectExpr("count(*) AS rows", *aggregates).first()
     return {
-        c: {"rows": row["rows"], **{k: row[f"{c}__{k}"] for k in ("n", "lo", "hi", "d")}} for c in columns
+        c: {"rows": row["rows"], **{k: row[f"{k}{i}"] for k in ("n", "lo", "hi", "d")}} for i, c in enumerate(columns)
     }
 
 
@@ -126,7 +125,7 @@ def fit_bins(
     few = [c for c in columns if profile[c]["n"] and profile[c]["d"] <= max(FEW_VALUES, 4 * n_bins)]
     distinct: dict[str, list[float]] = {}
     if few:
-        row = df.agg(*[F.collect_set(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in few]).first()
+        row = df.selectExpr(*[f"collect_set(CAST({c} AS DOUBLE) + 0D) AS {c}" for c in few]).first()
         distinct = {c: sorted(row[c]) for c in few}
 
     wide = {
@@ -137,7 +136,7 @@ def fit_bins(
     options = dict(limits)
     if small_cells is not None:
         options["small_cells"] = small_cells
-    numeric = df.select(*[F.col(c).cast("double").alias(c) for c in wide]) if wide else df
+    numeric = df.selectExpr(*[f"CAST({c} AS DOUBLE) AS {c}" for c in wide]) if wide else df
     # Same points as an even grid over [0, 1], computed as step * index.
     points = [i * (1.0 / n_bins) for i in range(1, n_bins)]
     quantiles = exact_quantiles(numeric, wide, points, **options)
@@ -159,7 +158,7 @@ def fit_bins(
 def apply_bins(df: DataFrame, spec: BinSpec, keep: tuple[str, ...] = ("sk_id_curr",)) -> DataFrame:
     """Label columns from frozen edges: one projection, no shuffle."""
     guards.require_same_columns([c for c in df.columns if c not in keep], spec.names)
-    return df.select(*keep, *[f.label().alias(f.feature) for f in spec.features])
+    return df.selectExpr(*keep, *[f"{f.label_sql()} AS {f.feature}" for f in spec.features])
 
 
 def bin_counts(df: DataFrame, spec: BinSpec, measures: dict[str, Column] | None = None) -> DataFrame:
@@ -169,9 +168,7 @@ def bin_counts(df: DataFrame, spec: BinSpec, measures: dict[str, Column] | None
     shuffle carries (features x bins) rows per task whatever the data size.
     """
     measures = measures or {}
-    codes = F.array(
-        *[(f.position() + F.lit(i * CODE_STEP)).cast("int") for i, f in enumerate(spec.features)]
-    )
+    codes = F.expr(f"array({', '.join(f.position_sql(i * CODE_STEP) for i, f in enumerate(spec.features))})")
     named = {f"m{i}": name for i, name in enumerate(measures)}
     long = df.select(
         *[measures[name].alias(short) for short, name in named.items()], F.explode(codes).alias("code")
@@ -179,8 +176,10 @@ def bin_counts(df: DataFrame, spec: BinSpec, measures: dict[str, Column] | None
     grouped = long.groupBy("code").agg(
         F.count("*").alias("n_samples"), *[F.sum(short).alias(name) for short, name in named.items()]
     )
-    names = F.array(*[F.lit(f.feature) for f in spec.features])
-    labels = F.array(*[F.array(*[F.lit(x) for x in f.labels]) for f in spec.features])
+    names = F.expr(f"array({', '.join(sql_literal(f.feature) for f in spec.features)})")
+    labels = F.expr(
+        f"array({', '.join('array(' + ', '.join(map(sql_literal, f.labels)) + ')' for f in spec.features)})"
+    )
     which = F.floor(F.col("code") / CODE_STEP).cast("int")
     return grouped.select(
         F.element_at(names, which + 1).alias("feature"),

@@ -47,7 +47,7 @@ def dense_index(df: DataFrame, y: str, seed: int, id_col: str = ID) -> DataFrame
         )
         .select(y, "hb", "start")
     )
-    within = F.row_number().over(Window.partitionBy(y, "hb").orderBy("h", id_col)) - 1
+    within = F.row_number().over(Window.partitionBy(y, "hb").orderBy("h")) - 1
     return (
         keyed.withColumn("within", within)
         .join(starts, [y, "hb"])

@@ -37,7 +37,7 @@ def calibration_bins(
     z = NormalDist().inv_cdf((1.0 + confidence) / 2.0)
     edges = equal_edges(n_bins)
     spark = df.sparkSession
-    placed = _inputs(df, y, p).select(balanced_position(F.col("p"), edges[1:-1]).alias("position"), "y", "p")
+    placed = _inputs(df, y, p).select(balanced_position("p", edges[1:-1]).alias("position"), "y", "p")
     counted = placed.groupBy("position").agg(
         F.count("*").alias("n"), F.sum("y").alias("b"), F.sum("p").alias("s")
     )
@@ -78,7 +78,7 @@ def calibration_summary(
     q, label = F.col("p"), F.col("y")
     per_bin = (
         _inputs(df, y, p)
-        .groupBy(balanced_position(q, edges[1:-1]).alias("position"))
+        .groupBy(balanced_position("p", edges[1:-1]).alias("position"))
         .agg(
             F.count("*").alias("n"),
             F.sum("y").alias("b"),
@@ -110,7 +110,7 @@ def reliability_table(df: DataFrame, y: str, p: str, n_bins: int = 10, **limits)
     points = [i * (1.0 / n_bins) for i in range(n_bins)] + [1.0]
     edges = sorted(set(exact_quantiles(rows, {"p": (span["n"], span["lo"], span["hi"])}, points, **limits)["p"]))
     return (
-        rows.groupBy(balanced_position(F.col("p"), edges[1:-1]).alias("bin_index"))
+        rows.groupBy(balanced_position("p", edges[1:-1]).alias("bin_index"))
         .agg(
             F.min("p").alias("lower"),
             F.max("p").alias("upper"),

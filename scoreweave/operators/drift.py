@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import guards
 from ..functions.columns import MISSING
+from ..functions.math import sql_literal
 from .binning import BinSpec, bin_counts, fit_bins
 
 
@@ -87,26 +88,17 @@ def psi_summary(df: DataFrame, reference: DriftReference) -> DataFrame:
 
     Shares of all rows; a reference without values has no range (NULL).
     """
-    outside = []
+    outside, entries = [], []
     for i, f in enumerate(reference.spec.features):
-        x = F.col(f.feature).cast("double")
-        low = F.lit(None).cast("double") if f.low is None else F.avg(F.coalesce(x < f.low, F.lit(False)).cast("int"))
-        high = F.lit(None).cast("double") if f.high is None else F.avg(F.coalesce(x > f.high, F.lit(False)).cast("int"))
-        outside += [low.alias(f"lo{i}"), high.alias(f"hi{i}")]
-    ranges = df.agg(*outside).select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(f.feature).alias("feature"),
-                        F.col(f"lo{i}").alias("below_min_share"),
-                        F.col(f"hi{i}").alias("above_max_share"),
-                    )
-                    for i, f in enumerate(reference.spec.features)
-                ]
-            )
+        for side, bound, sign in (("lo", f.low, "<"), ("hi", f.high, ">")):
+            if bound is None:
+                outside.append(f"CAST(NULL AS DOUBLE) AS {side}{i}")
+            else:
+                outside.append(f"count_if({f.number} {sign} {sql_literal(bound)}) / count(*) AS {side}{i}")
+        entries.append(
+            f"named_struct('feature', {sql_literal(f.feature)}, 'below_min_share', lo{i}, 'above_max_share', hi{i})"
         )
-    )
+    ranges = df.selectExpr(*outside).selectExpr(f"inline(array({', '.join(entries)}))")
     missing = F.col("bin") == MISSING
     summary = psi_bins(df, reference).groupBy("feature").agg(
         F.sum("psi_component").alias("psi"),

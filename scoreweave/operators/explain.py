@@ -70,17 +70,10 @@ def group_members(features) -> dict[str, list[str]]:
     return members
 
 
-def group_sums(terms: dict[str, Column]) -> dict[str, Column]:
-    """Signed sum per business group; the total is preserved."""
-    return {
-        g: reduce(lambda a, b: a + b, (terms[f] for f in fs)) for g, fs in group_members(terms).items()
-    }
-
-
 def group_contributions(contributions: DataFrame, features, keep=(ID,)) -> DataFrame:
-    """Wide group columns from wide contribution columns, row by row."""
-    sums = group_sums({f: F.col(f) for f in features})
-    return contributions.select(*keep, *[c.alias(g) for g, c in sums.items()])
+    """Signed sum per business group, row by row; the total is preserved."""
+    members = group_members(features)
+    return contributions.selectExpr(*keep, *[f"{' + '.join(fs)} AS {g}" for g, fs in members.items()])
 
 
 def linear_contributions(features: DataFrame, model, keep=(ID,)) -> DataFrame:
@@ -89,7 +82,7 @@ def linear_contributions(features: DataFrame, model, keep=(ID,)) -> DataFrame:
         *keep,
         F.lit(model.intercept).alias("base_log_odds"),
         model.log_odds().alias("model_log_odds"),
-        *[model.term(f).alias(f) for f in model.selected],
+        *[F.expr(model.term_sql(f)).alias(f) for f in model.selected],
     )
 
 
@@ -169,9 +162,7 @@ def review_counts(diagnostics: DataFrame) -> DataFrame:
 
 def quality_counts(features: DataFrame) -> DataFrame:
     """Rows carrying an invalid value and rows carrying a special code."""
-    def any_of(suffix: str) -> Column:
-        return reduce(lambda a, b: a | b, (F.col(c) > 0 for c in flag_columns(FEATURES, suffix)))
+    def any_of(suffix: str, name: str) -> str:
+        return f"count_if({' OR '.join(f'{c} > 0' for c in flag_columns(FEATURES, suffix))}) AS {name}"
 
-    return features.agg(
-        F.count_if(any_of("_invalid")).alias("invalid_rows"), F.count_if(any_of("_sentinel")).alias("sentinel_rows")
-    )
+    return features.selectExpr(any_of("_invalid", "invalid_rows"), any_of("_sentinel", "sentinel_rows"))

@@ -21,8 +21,9 @@ PREFIX = 4
 
 
 def hash_key(id_col: Column | str, seed: int) -> Column:
-    x = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), x.cast("string")))
+    """``md5(seed:id):id`` - hash order, and unique because the id is part of it."""
+    x = (F.col(id_col) if isinstance(id_col, str) else id_col).cast("string")
+    return F.concat(F.md5(F.concat_ws(":", F.lit(str(seed)), x)), F.lit(":"), x)
 
 
 def class_quotas(total: int, counts: dict, wanted: int) -> dict:
@@ -39,13 +40,13 @@ def class_quotas(total: int, counts: dict, wanted: int) -> dict:
 def hash_cuts(
     df: DataFrame, wanted: dict, seed: int, id_col: str = ID, class_col: str | None = None
 ) -> dict:
-    """Key and id of the k-th row in hash order, per class and k.
+    """Key of the k-th row in hash order, per class and k.
 
     ``wanted`` maps a class to a list of ranks (1-based). Bucket counts combine
     map-side; only rows of the boundary buckets are ranked.
     """
     label = F.col(class_col) if class_col else F.lit(0)
-    keyed = df.select(label.alias("c"), F.col(id_col).alias("i"), hash_key(id_col, seed).alias("h"))
+    keyed = df.select(label.alias("c"), hash_key(id_col, seed).alias("h"))
     bucket = F.substring("h", 1, PREFIX)
     ends = (
         keyed.groupBy("c", bucket.alias("b"))
@@ -66,7 +67,7 @@ def hash_cuts(
     for c, b in boundary:
         inside = inside | ((F.col("c") == c) & (bucket == b))
     ranked = keyed.filter(inside).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("c", bucket).orderBy("h", "i"))
+        "rank", F.row_number().over(Window.partitionBy("c", bucket).orderBy("h"))
     )
     start = F.lit(None).cast("long")
     for (c, b), before in boundary.items():
@@ -75,12 +76,18 @@ def hash_cuts(
     for c, k in ranks:
         keep = keep | ((F.col("c") == c) & (F.col("k") == k))
     found = ranked.withColumn("k", F.col("rank") + start).filter(keep).collect()
-    return {(r["c"], r["k"]): (r["h"], r["i"]) for r in found}
+    return {(r["c"], r["k"]): r["h"] for r in found}
 
 
-def _upto(cut: tuple, key: Column, id_value: Column) -> Column:
-    h, i = cut
-    return (key < h) | ((key == h) & (id_value <= i))
+def _range_name(key: Column, label: Column, ends: list[dict], names: list[str]) -> Column:
+    """Name of the key range a row falls into; the key is computed once per row."""
+    passed = F.lit(1)
+    for end in ends:
+        cut = F.lit("")
+        for c, value in end.items():
+            cut = F.when(label == c, F.lit(value)).otherwise(cut)
+        passed = passed + (key > cut).cast("int")
+    return F.element_at(F.array(*[F.lit(n) for n in names]), passed)
 
 
 def _fractions(valid_size: float, test_size: float) -> None:
@@ -132,14 +139,8 @@ def stratified_split(
         raise ValueError("every part must hold both classes")
 
     cuts = hash_cuts(df, {c: [test[c], test[c] + valid[c]] for c in counts}, seed, id_col, target)
-    key, i = hash_key(id_col, seed), F.col(id_col)
-    part = F.lit("train")
-    for c in counts:
-        mine = F.col(target) == c
-        part = F.when(mine & _upto(cuts[c, test[c] + valid[c]], key, i), F.lit("valid")).otherwise(part)
-    for c in counts:
-        mine = F.col(target) == c
-        part = F.when(mine & _upto(cuts[c, test[c]], key, i), F.lit("test")).otherwise(part)
+    ends = [{c: cuts[c, test[c]] for c in counts}, {c: cuts[c, test[c] + valid[c]] for c in counts}]
+    part = _range_name(hash_key(id_col, seed), F.col(target), ends, ["test", "valid", "train"])
     return df.withColumn("partition", part)
 
 
@@ -156,11 +157,8 @@ def stratified_halves(
     total = sum(counts.values())
     second = class_quotas(total, counts, math.ceil(second_share * total))
     cuts = hash_cuts(df, {c: [second[c]] for c in counts}, seed, id_col, target)
-    part = F.lit("calibration")
-    for c in counts:
-        if second[c]:
-            chosen = (F.col(target) == c) & _upto(cuts[c, second[c]], hash_key(id_col, seed), F.col(id_col))
-            part = F.when(chosen, F.lit("selection")).otherwise(part)
+    end = {c: cuts[c, second[c]] for c in counts if second[c]}
+    part = _range_name(hash_key(id_col, seed), F.col(target), [end], ["selection", "calibration"])
     return df.withColumn("inner_partition", part)
 
 
@@ -199,8 +197,8 @@ def first_per_group(df: DataFrame, n: int, group: str = "partition", id_col: str
 
 def seeded_sample(df: DataFrame, n: int, seed: int = 42, id_col: str = ID) -> DataFrame:
     """The ``n`` rows with the smallest hash keys; labels play no part."""
-    key, i = hash_key(id_col, seed), F.col(id_col)
+    key = hash_key(id_col, seed)
     if n <= 10_000:
-        return df.orderBy(key, i).limit(n)
+        return df.orderBy(key).limit(n)
     cut = hash_cuts(df, {0: [n]}, seed, id_col)
-    return df.filter(_upto(cut[0, n], key, i)) if cut else df
+    return df.filter(key <= cut[0, n]) if cut else df

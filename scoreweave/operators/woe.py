@@ -144,20 +144,20 @@ def fit_woe(df: DataFrame, spec: BinSpec, target: str = TARGET, alpha: float = 0
     return WoeModel.from_table(woe_table(df, spec, target, alpha, min_bin_samples), spec.names, alpha)
 
 
-def woe_column(spec: BinSpec, model: WoeModel, feature: str) -> Column:
+def woe_sql(spec: BinSpec, model: WoeModel, feature: str) -> str:
     """Encoded value of a numeric feature; an unseen bin is neutral."""
-    return spec[feature].lookup(model.mapping(feature), 0.0)
+    return spec[feature].lookup_sql(model.mapping(feature), 0.0)
 
 
-def unknown_column(spec: BinSpec, model: WoeModel, feature: str) -> Column:
-    """Whether the row's bin was never seen in training."""
+def unknown_sql(spec: BinSpec, model: WoeModel, feature: str) -> str:
+    """1 where the row's bin was never seen in training, else 0."""
     known = model.mapping(feature)
-    return spec[feature].lookup({label: label not in known for label in spec[feature].labels}, True)
+    return spec[feature].lookup_sql({label: int(label not in known) for label in spec[feature].labels}, 1)
 
 
 def apply_woe(df: DataFrame, spec: BinSpec, model: WoeModel, features=None, keep=("sk_id_curr",)) -> DataFrame:
     names = list(features or model.features)
-    return df.select(*keep, *[woe_column(spec, model, f).alias(f) for f in names])
+    return df.selectExpr(*keep, *[f"{woe_sql(spec, model, f)} AS {f}" for f in names])
 
 
 def apply_woe_labels(bins: DataFrame, model: WoeModel, keep=("sk_id_curr",), unknown_policy: str = "neutral") -> DataFrame:
@@ -179,10 +179,7 @@ def apply_woe_labels(bins: DataFrame, model: WoeModel, keep=("sk_id_curr",), unk
 def unknown_report(df: DataFrame, spec: BinSpec, model: WoeModel, selected=()) -> DataFrame:
     """Unknown-bin count and rate per feature in one scan."""
     names = list(model.features)
-    row = df.agg(
-        F.count("*").alias("n_samples"),
-        *[F.count_if(unknown_column(spec, model, f)).alias(f) for f in names],
-    )
+    row = df.selectExpr("count(*) AS n_samples", *[f"sum({unknown_sql(spec, model, f)}) AS {f}" for f in names])
     entries = [
         F.struct(
             F.lit(f).alias("feature"),
@@ -258,7 +255,7 @@ def select_encoded(df: DataFrame, spec: BinSpec, model: WoeModel, iv_threshold:
     pairs = [
         (a, b) for i, a in enumerate(eligible) for b in eligible[i + 1:] if profile[a] == profile[b]
     ]
-    encoded = {f: woe_column(spec, model, f) for f in {x for p in pairs for x in p}}
+    encoded = {f: F.expr(woe_sql(spec, model, f)) for f in {x for p in pairs for x in p}}
     outcome = keep_first(eligible, equal_pairs(df, encoded, pairs))
     log = []
     for f, value in iv.items():
@@ -275,16 +272,15 @@ def select_encoded(df: DataFrame, spec: BinSpec, model: WoeModel, iv_threshold:
 def select_raw(df: DataFrame, features, id_col: str = "sk_id_curr") -> list[dict]:
     """Selection log in column order for raw features (NULL counts as a value)."""
     features = list(features)
-    value = {f: F.col(f).cast("double") + F.lit(0.0) for f in features}
-    aggregates = [F.count("*").alias("rows")]
+    value = {f: F.expr(f"CAST({f} AS DOUBLE) + 0D") for f in features}
+    aggregates = []
     for f in features:
+        x = f"CAST({f} AS DOUBLE) + 0D"
         aggregates += [
-            F.count(f).alias(f"{f}__n"),
-            F.min(value[f]).alias(f"{f}__lo"),
-            F.max(value[f]).alias(f"{f}__hi"),
-            F.bit_xor(F.xxhash64(F.col(id_col), value[f])).alias(f"{f}__x"),
+            f"count({f}) AS {f}__n", f"min({x}) AS {f}__lo", f"max({x}) AS {f}__hi",
+            f"bit_xor(xxhash64({id_col}, {x})) AS {f}__x",
         ]
-    row = df.agg(*aggregates).first()
+    row = df.selectExpr("count(*) AS rows", *aggregates).first()
     mark = {f: tuple(row[f"{f}__{k}"] for k in ("n", "lo", "hi", "x")) for f in features}
     constant = {
         f for f in features

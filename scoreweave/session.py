@@ -38,3 +38,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def shared_table_path(spark: SparkSession, name: str) -> str:
     """Return a fresh path for a written intermediate table."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+# Generated methods above 8,000 bytes are never compiled by the JVM. With this limit
+# Spark falls back to split projections for the widest expressions, which are.
+SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+# Inputs below this size may sit in one file split and leave all other cores idle.
+SMALL_INPUT = 1 << 30
+
+
+def apply_settings(spark: SparkSession) -> None:
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Estimated size of everything ``df`` scans, from file statistics only."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def spread_small(df: DataFrame, key: str, limit: int = SMALL_INPUT) -> DataFrame:
+    """Use all cores on a small input that is about to be scanned many times.
+
+    Large inputs already come in many splits and are returned unchanged: they never
+    pay for this shuffle.
+    """
+    if input_bytes(df) >= limit:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
