@@ -17,9 +17,8 @@ from ..functions.columns import MISSING, OUTSIDE, numeric_bin_name
 from ..functions.math import balanced_case, sql_literal
 from .quantiles import exact_quantiles
 
-# HLL estimates above this are certainly beyond any allowed bin number.
-FEW_VALUES = 256
 CODE_STEP = 4096
+SEED_ROWS = 1000
 
 
 @dataclass(frozen=True)
@@ -97,15 +96,45 @@ class BinSpec:
 
 
 def column_profile(df: DataFrame, columns) -> dict[str, dict]:
-    """Rows, non-null rows, min, max and approximate distinct values in one scan."""
+    """Rows, non-null rows, min and max per column in one scan."""
     aggregates = []
     for i, c in enumerate(columns):
         x = f"CAST({c} AS DOUBLE)"
-        aggregates += [f"count({x}) AS n{i}", f"min({x}) AS lo{i}", f"max({x}) AS hi{i}", f"approx_count_distinct({x}) AS d{i}"]
+        aggregates += [f"count({x}) AS n{i}", f"min({x}) AS lo{i}", f"max({x}) AS hi{i}"]
     row = df.selectExpr("count(*) AS rows", *aggregates).first()
-    return {
-        c: {"rows": row["rows"], **{k: row[f"{k}{i}"] for k in ("n", "lo", "hi", "d")}} for i, c in enumerate(columns)
-    }
+    return {c: {"rows": row["rows"], **{k: row[f"{k}{i}"] for k in ("n", "lo", "hi")}} for i, c in enumerate(columns)}
+
+
+def few_values(df: DataFrame, profile: dict[str, dict], limit: int) -> dict[str, list[float] | None]:
+    """Exact distinct values per column, or None where there are more than ``limit``.
+
+    A handful of rows proposes values; then the smallest and largest value outside
+    the known ones are asked for until none is left or the limit is passed. Every
+    round is a plain min/max scan and adds at least one value, so the number of
+    rounds is bounded by ``limit`` and no value set is ever gathered.
+    """
+    columns = [c for c, p in profile.items() if p["n"]]
+    seed = df.selectExpr(*[f"CAST({c} AS DOUBLE) + 0D AS {c}" for c in columns]).limit(SEED_ROWS).collect() if columns else []
+    known = {c: {profile[c]["lo"], profile[c]["hi"]} for c in columns}
+    for c in columns:
+        known[c].update(r[c] for r in seed if r[c] is not None)
+    done: dict[str, list[float] | None] = {}
+    while True:
+        done.update({c: None for c in columns if len(known[c]) > limit})
+        columns = [c for c in columns if c not in done]
+        if not columns:
+            return done
+        aggregates = []
+        for i, c in enumerate(columns):
+            values = ", ".join(sql_literal(float(v)) for v in sorted(known[c]))
+            other = f"CASE WHEN CAST({c} AS DOUBLE) NOT IN ({values}) THEN CAST({c} AS DOUBLE) END"
+            aggregates += [f"min({other}) AS lo{i}", f"max({other}) AS hi{i}"]
+        row = df.selectExpr(*aggregates).first()
+        for i, c in enumerate(columns):
+            if row[f"lo{i}"] is None:
+                done[c] = sorted(known[c])
+            else:
+                known[c].update((row[f"lo{i}"], row[f"hi{i}"]))
 
 
 def fit_bins(
@@ -120,19 +149,8 @@ def fit_bins(
     if not columns or profile[columns[0]]["rows"] == 0:
         raise ValueError("bins need at least one row and one column")
 
-    # A sketch estimate never exceeds the true count this far, so every column with
-    # at most n_bins values is among the candidates; their sets stay small.
-    few = [c for c in columns if profile[c]["n"] and profile[c]["d"] <= max(FEW_VALUES, 4 * n_bins)]
-    distinct: dict[str, list[float]] = {}
-    if few:
-        row = df.selectExpr(*[f"collect_set(CAST({c} AS DOUBLE) + 0D) AS {c}" for c in few]).first()
-        distinct = {c: sorted(row[c]) for c in few}
-
-    wide = {
-        c: (p["n"], p["lo"], p["hi"])
-        for c, p in profile.items()
-        if p["n"] and len(distinct.get(c, ())) not in range(1, n_bins + 1)
-    }
+    distinct = few_values(df, profile, n_bins)
+    wide = {c: (p["n"], p["lo"], p["hi"]) for c, p in profile.items() if p["n"] and distinct[c] is None}
     options = dict(limits)
     if small_cells is not None:
         options["small_cells"] = small_cells

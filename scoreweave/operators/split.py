@@ -37,46 +37,49 @@ def class_quotas(total: int, counts: dict, wanted: int) -> dict:
     return quota
 
 
+def bucket_counts(df: DataFrame, seed: int, id_col: str = ID, class_col: str | None = None) -> dict:
+    """Rows per class and hash bucket: at most 65,536 numbers per class, whatever the data."""
+    label = guards.binary_label(class_col) if class_col else F.lit(0)
+    rows = (
+        df.groupBy(label.alias("c"), F.substring(hash_key(id_col, seed), 1, PREFIX).alias("b"))
+        .agg(F.count("*").alias("n"))
+        .toPandas()
+    )
+    return {
+        int(c): dict(zip(part["b"], part["n"].astype(int))) for c, part in rows.sort_values("b").groupby("c")
+    }
+
+
 def hash_cuts(
-    df: DataFrame, wanted: dict, seed: int, id_col: str = ID, class_col: str | None = None
+    df: DataFrame, counts: dict, wanted: dict, seed: int, id_col: str = ID, class_col: str | None = None
 ) -> dict:
-    """Key of the k-th row in hash order, per class and k.
+    """Key of the k-th row in hash order, per class and k (1-based).
 
-    ``wanted`` maps a class to a list of ranks (1-based). Bucket counts combine
-    map-side; only rows of the boundary buckets are ranked.
+    The bucket holding each rank is known from the counts; only rows of those few
+    buckets are ranked.
     """
-    label = F.col(class_col) if class_col else F.lit(0)
+    boundary, ranks = {}, {}
+    for c, ks in wanted.items():
+        for k in ks:
+            before = 0
+            for b, n in counts[c].items():
+                if before < k <= before + n:
+                    boundary[c, b] = before
+                    ranks.setdefault((c, b), []).append(k - before)
+                before += n
+    if not ranks:
+        return {}
+    label = F.col(class_col).cast("int") if class_col else F.lit(0)
     keyed = df.select(label.alias("c"), hash_key(id_col, seed).alias("h"))
     bucket = F.substring("h", 1, PREFIX)
-    ends = (
-        keyed.groupBy("c", bucket.alias("b"))
-        .agg(F.count("*").alias("n"))
-        .withColumn(
-            "upto",
-            F.sum("n").over(Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)),
-        )
+    inside = F.expr(" OR ".join(f"(c = {c} AND substring(h, 1, {PREFIX}) = '{b}')" for c, b in ranks))
+    ranked = keyed.filter(inside).select(
+        "c", bucket.alias("b"), "h", F.row_number().over(Window.partitionBy("c", bucket).orderBy("h")).alias("rank")
     )
-    ranks = [(c, k) for c, ks in wanted.items() for k in ks if k > 0]
-    if not ranks:
-        return {}
-    hit = F.lit(False)
-    for c, k in ranks:
-        hit = hit | ((F.col("c") == c) & (F.col("upto") >= k) & (F.col("upto") - F.col("n") < k))
-    boundary = {(r["c"], r["b"]): r["upto"] - r["n"] for r in ends.filter(hit).collect()}
-    inside = F.lit(False)
-    for c, b in boundary:
-        inside = inside | ((F.col("c") == c) & (bucket == b))
-    ranked = keyed.filter(inside).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("c", bucket).orderBy("h"))
+    hit = F.expr(
+        " OR ".join(f"(c = {c} AND b = '{b}' AND rank = {k})" for (c, b), ks in ranks.items() for k in ks)
     )
-    start = F.lit(None).cast("long")
-    for (c, b), before in boundary.items():
-        start = F.when((F.col("c") == c) & (bucket == b), F.lit(before)).otherwise(start)
-    keep = F.lit(False)
-    for c, k in ranks:
-        keep = keep | ((F.col("c") == c) & (F.col("k") == k))
-    found = ranked.withColumn("k", F.col("rank") + start).filter(keep).collect()
-    return {(r["c"], r["k"]): r["h"] for r in found}
+    return {(r["c"], r["rank"] + boundary[r["c"], r["b"]]): r["h"] for r in ranked.filter(hit).collect()}
 
 
 def _range_name(key: Column, label: Column, ends: list[dict], names: list[str]) -> Column:
@@ -98,15 +101,13 @@ def _fractions(valid_size: float, test_size: float) -> None:
         raise ValueError("the training part must keep a positive share")
 
 
-def _class_counts(df: DataFrame, target: str, id_col: str, validate: bool) -> dict:
-    if validate:
-        guards.require_integer_id(df, id_col)
-        guards.require_unique_key(df, [id_col])
-    rows = df.groupBy(guards.binary_label(target).alias("y")).agg(F.count("*").alias("n")).collect()
-    counts = {r["y"]: r["n"] for r in rows}
+def _buckets(df: DataFrame, target: str, id_col: str, seed: int) -> tuple[dict, dict]:
+    """Bucket counts plus class totals; both label classes must be there."""
+    buckets = bucket_counts(df, seed, id_col, target)
+    counts = {c: sum(b.values()) for c, b in buckets.items()}
     if set(counts) != {0, 1}:
         raise ValueError("a stratified split needs both label classes")
-    return counts
+    return buckets, counts
 
 
 def stratified_split(
@@ -126,7 +127,10 @@ def stratified_split(
     _fractions(valid_size, test_size)
     if isinstance(seed, bool) or not isinstance(seed, int) or not 0 <= seed < 2**32:
         raise ValueError("seed must be a whole number in [0, 2**32)")
-    counts = _class_counts(df, target, id_col, validate)
+    if validate:
+        guards.require_integer_id(df, id_col)
+        guards.require_unique_key(df, [id_col])
+    buckets, counts = _buckets(df, target, id_col, seed)
     total = sum(counts.values())
     n_test = math.ceil(test_size * total)
     test = class_quotas(total, counts, n_test)
@@ -138,7 +142,7 @@ def stratified_split(
     if any(q[c] < 1 for q in (test, valid) for c in counts) or any(left[c] - valid[c] < 1 for c in counts):
         raise ValueError("every part must hold both classes")
 
-    cuts = hash_cuts(df, {c: [test[c], test[c] + valid[c]] for c in counts}, seed, id_col, target)
+    cuts = hash_cuts(df, buckets, {c: [test[c], test[c] + valid[c]] for c in counts}, seed, id_col, target)
     ends = [{c: cuts[c, test[c]] for c in counts}, {c: cuts[c, test[c] + valid[c]] for c in counts}]
     part = _range_name(hash_key(id_col, seed), F.col(target), ends, ["test", "valid", "train"])
     return df.withColumn("partition", part)
@@ -153,10 +157,10 @@ def stratified_halves(
 ) -> DataFrame:
     """Split one part into ``calibration`` and ``selection``."""
     _fractions(second_share / 2, second_share / 2)
-    counts = _class_counts(df, target, id_col, False)
+    buckets, counts = _buckets(df, target, id_col, seed)
     total = sum(counts.values())
     second = class_quotas(total, counts, math.ceil(second_share * total))
-    cuts = hash_cuts(df, {c: [second[c]] for c in counts}, seed, id_col, target)
+    cuts = hash_cuts(df, buckets, {c: [second[c]] for c in counts}, seed, id_col, target)
     end = {c: cuts[c, second[c]] for c in counts if second[c]}
     part = _range_name(hash_key(id_col, seed), F.col(target), [end], ["selection", "calibration"])
     return df.withColumn("inner_partition", part)
@@ -200,5 +204,5 @@ def seeded_sample(df: DataFrame, n: int, seed: int = 42, id_col: str = ID) -> Da
     key = hash_key(id_col, seed)
     if n <= 10_000:
         return df.orderBy(key).limit(n)
-    cut = hash_cuts(df, {0: [n]}, seed, id_col)
+    cut = hash_cuts(df, bucket_counts(df, seed, id_col), {0: [n]}, seed, id_col)
     return df.filter(key <= cut[0, n]) if cut else df
