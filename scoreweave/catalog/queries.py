@@ -24,7 +24,7 @@ from ..operators import (
     wide,
     woe,
 )
-from ..session import apply_settings, spread_small
+from ..session import apply_settings
 from . import frozen
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,7 +84,7 @@ def part(df: DataFrame, name: str) -> DataFrame:
 def train_fit(spark: SparkSession, sf: str):
     """Features of every row, features of the training part, edges."""
     table = parted_table(spark, sf)
-    train = business_features(spread_small(part(table, "train"), ID), (ID, TARGET)).persist()
+    train = business_features(part(table, "train"), (ID, TARGET)).persist()
     spec = binning.fit_bins(train, FEATURES)
     return business_features(table, (ID, TARGET, "partition")), train, spec
 
@@ -455,7 +455,7 @@ def bootstrap_intervals(spark, sf):
 
 
 def _drift(spark, sf):
-    """Reference: training part. Current: the whole table with higher amounts."""
+    """Reference: training part. Current: validation part with higher amounts."""
     everything = split_features(spark, sf)
     reference = drift.fit_reference(part(everything, "train"), FEATURES)
     return part(everything, "valid").withColumn("amt_credit", F.col("amt_credit") * 1.25), reference

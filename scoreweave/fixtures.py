@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import spread_small
+
 APPLICATION = """
 SELECT
   o_orderkey AS sk_id_curr,
@@ -70,11 +72,13 @@ def _over(spark: SparkSession, text: str, source: str, df: DataFrame) -> DataFra
 
 
 def application(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over(spark, APPLICATION, "orders", spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return spread_small(_over(spark, APPLICATION, "orders", orders), "sk_id_curr")
 
 
 def bureau(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over(spark, BUREAU, "lineitem", spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return spread_small(_over(spark, BUREAU, "lineitem", lineitem), "sk_id_curr")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import guards
 from ..functions.columns import MISSING, OUTSIDE, numeric_bin_name
 from ..functions.math import balanced_case, sql_literal
+from ..session import kept
 from .quantiles import exact_quantiles
 
 CODE_STEP = 4096
@@ -145,6 +146,13 @@ def fit_bins(
     if isinstance(n_bins, bool) or not isinstance(n_bins, int) or n_bins < 2:
         raise ValueError("n_bins must be a whole number >= 2")
     guards.forbid_columns(columns)
+    if df.is_cached:
+        return _fit(df, columns, n_bins, small_cells, limits)
+    with kept(df.select(*columns)) as rows:
+        return _fit(rows, columns, n_bins, small_cells, limits)
+
+
+def _fit(df: DataFrame, columns: list[str], n_bins: int, small_cells: int | None, limits: dict) -> BinSpec:
     profile = column_profile(df, columns)
     if not columns or profile[columns[0]]["rows"] == 0:
         raise ValueError("bins need at least one row and one column")

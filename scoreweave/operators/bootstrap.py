@@ -19,7 +19,12 @@ from ..functions import guards
 from ..functions.columns import ID
 from .ordered import bucket_edges, cumulative
 from .ranking import METRICS, ranking_aggregates
-from .split import PREFIX, hash_key
+from .split import hash_key
+
+# Index rows (about 40 bytes each) that may be sent to every task.
+BROADCAST_ROWS = 1_000_000
+# Hash prefix length in hex digits: 65,536 equal buckets per class.
+PREFIX = 4
 
 
 @dataclass(frozen=True)
@@ -112,32 +117,30 @@ def paired_bootstrap(
     if min(sizes.get(0, 0), sizes.get(1, 0)) < 2:
         raise ValueError("each class needs at least two rows")
 
-    # Draw 'None' is the observed sample with weight one.
-    weights = slot_indices(spark, sizes, n_bootstrap, seed).groupBy("draw", "y", "idx").agg(F.count("*").alias("w"))
-    drawn = weights.join(dense_index(rows, "y", seed, id_col), ["y", "idx"]).select(
-        "draw", "y", "base", "challenger", "w"
+    # Draw -1 is the observed sample with weight one. The index table travels to the
+    # slots only while its row count, known here, is small.
+    index = dense_index(rows, "y", seed, id_col).select("y", "idx", "base", "challenger")
+    if sum(sizes.values()) <= BROADCAST_ROWS:
+        index = F.broadcast(index)
+    drawn = slot_indices(spark, sizes, n_bootstrap, seed).join(index, ["y", "idx"]).select("draw", "y", "base", "challenger")
+    point = rows.select(F.lit(-1).cast("long").alias("draw"), "y", "base", "challenger")
+    paired = drawn.unionByName(point).groupBy("draw", "y", "base", "challenger").agg(F.count("*").alias("w"))
+
+    # Both models in one pass over the same weights; shared edges order either of them.
+    both_models = F.expr("inline(array(named_struct('model', 'base', 'p', base), named_struct('model', 'challenger', 'p', challenger)))")
+    long = paired.select("draw", "y", "w", both_models).select(
+        "draw", "model", "p", (F.col("w") * F.col("y")).alias("bad"), (F.col("w") * (1 - F.col("y"))).alias("good")
     )
-    point = rows.select(F.lit(-1).cast("long").alias("draw"), "y", "base", "challenger", F.lit(1).cast("long").alias("w"))
-    paired = (
-        drawn.unionByName(point)
-        .groupBy("draw", "y", "base", "challenger")
-        .agg(F.sum("w").alias("w"))
+    edges = sorted({*bucket_edges(rows, "base"), *bucket_edges(rows, "challenger")})
+    curve = cumulative(long, "p", ["bad", "good"], ("draw", "model"), True, edges)
+    per_model = curve.groupBy("draw", "model").agg(*ranking_aggregates())
+    both = per_model.groupBy("draw").agg(
+        *[
+            F.max(F.when(F.col("model") == model, F.col(m))).alias(f"{model}_{m}")
+            for model in ("base", "challenger")
+            for m in METRICS
+        ]
     )
-
-    def metrics(model: str) -> DataFrame:
-        edges = bucket_edges(rows, model)
-        classed = paired.select(
-            "draw",
-            F.col(model).alias("p"),
-            (F.col("w") * F.col("y")).alias("bad"),
-            (F.col("w") * (1 - F.col("y"))).alias("good"),
-        )
-        curve = cumulative(classed, "p", ["bad", "good"], ("draw",), True, edges)
-        return curve.groupBy("draw").agg(*ranking_aggregates()).select(
-            "draw", *[F.col(m).alias(f"{model}_{m}") for m in METRICS]
-        )
-
-    both = metrics("base").join(metrics("challenger"), "draw")
     draws = both.select(
         "*", *[(F.col(f"challenger_{m}") - F.col(f"base_{m}")).alias(f"difference_{m}") for m in METRICS]
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,8 @@ from pyspark.sql.window import Window
 
 from ..functions import guards
 from ..functions.columns import MISSING
-from ..functions.math import sql_literal
-from .binning import BinSpec, bin_counts, fit_bins
+from ..session import kept
+from .binning import BinSpec, FeatureBins, bin_counts, fit_bins
 
 
 @dataclass(frozen=True)
@@ -36,8 +37,10 @@ def fit_reference(df: DataFrame, columns, n_bins: int = 5, epsilon: float = 1e-6
     """Learn bins on the reference and count every bin, empty ones included."""
     if isinstance(epsilon, bool) or not 0 < epsilon < 1:
         raise ValueError("epsilon must lie strictly between 0 and 1")
-    spec = fit_bins(df, columns, n_bins, **limits)
-    found = {(r["feature"], r["bin"]): r["n_samples"] for r in bin_counts(df, spec).collect()}
+    columns = list(columns)
+    with kept(df if df.is_cached else df.select(*columns)) as rows:
+        spec = fit_bins(rows, columns, n_bins, **limits)
+        found = {(r["feature"], r["bin"]): r["n_samples"] for r in bin_counts(rows, spec).collect()}
     counts = tuple((f.feature, b, found.get((f.feature, b), 0)) for f in spec.features for b in f.labels)
     first = spec.features[0].feature
     size = sum(n for f, _, n in counts if f == first)
@@ -59,28 +62,55 @@ def _bin_columns(counts: DataFrame, n_reference, n_current, bins_per_feature, ep
     )
 
 
-def psi_bins(df: DataFrame, reference: DriftReference) -> DataFrame:
-    """Per (feature, bin): both counts, shares, smoothed shares, component.
+def current_counts(df: DataFrame, reference: DriftReference) -> DataFrame:
+    """Rows per (feature, bin) with the part outside the reference range, in one scan.
 
-    The bin table is the frozen one, so its size is fixed by the reference.
+    The end bins are cut once more at the reference minimum and maximum; the pieces
+    are counted apart and put back together afterwards.
     """
-    spark = df.sparkSession
     guards.require_columns(df, reference.spec.names)
-    current = bin_counts(df, reference.spec).withColumnRenamed("n_samples", "current_count")
+    cut, names = [], []
+    for f in reference.spec.features:
+        if f.all_missing:
+            cut.append(f)
+            names += [(f.feature, b, b, False, False) for b in f.labels]
+            continue
+        wider = FeatureBins(f.feature, (math.nextafter(f.low, -math.inf), *f.edges, f.high), False, None, None)
+        cut.append(wider)
+        inner = f.labels[:-1]
+        pieces = [(inner[0], True, False), *[(b, False, False) for b in inner], (inner[-1], False, True), (MISSING, False, False)]
+        names += [(f.feature, piece, b, lo, hi) for piece, (b, lo, hi) in zip(wider.labels, pieces)]
+    table = df.sparkSession.createDataFrame(
+        names, "feature string, piece string, bin string, below boolean, above boolean"
+    )
+    counted = bin_counts(df, BinSpec(reference.spec.n_bins, tuple(cut))).withColumnRenamed("bin", "piece")
+    joined = table.join(counted, ["feature", "piece"], "left").withColumn("n", F.coalesce("n_samples", F.lit(0)))
+    return joined.groupBy("feature", "bin").agg(
+        F.sum("n").cast("long").alias("current_count"),
+        F.sum(F.when(F.col("below"), F.col("n")).otherwise(0)).alias("below"),
+        F.sum(F.when(F.col("above"), F.col("n")).otherwise(0)).alias("above"),
+    )
+
+
+def _psi(df: DataFrame, reference: DriftReference) -> DataFrame:
     per_feature = {f.feature: len(f.labels) for f in reference.spec.features}
-    dims = spark.createDataFrame(
+    dims = df.sparkSession.createDataFrame(
         [(f, b, n, per_feature[f]) for f, b, n in reference.counts],
         "feature string, bin string, reference_count long, k int",
     )
     # The window partition is one feature's defined bins.
-    joined = (
-        dims.join(current, ["feature", "bin"], "left")
-        .withColumn("current_count", F.coalesce("current_count", F.lit(0)).cast("long"))
-        .withColumn("n_current", F.sum("current_count").over(Window.partitionBy("feature")))
-    )
-    return _bin_columns(joined, F.lit(reference.size), F.col("n_current"), F.col("k"), reference.epsilon).drop(
-        "k", "n_current"
+    joined = dims.join(current_counts(df, reference), ["feature", "bin"]).withColumn(
+        "n_current", F.sum("current_count").over(Window.partitionBy("feature"))
     )
+    return _bin_columns(joined, F.lit(reference.size), F.col("n_current"), F.col("k"), reference.epsilon)
+
+
+def psi_bins(df: DataFrame, reference: DriftReference) -> DataFrame:
+    """Per (feature, bin): both counts, shares, smoothed shares, component.
+
+    The bin table is the frozen one, so its size is fixed by the reference.
+    """
+    return _psi(df, reference).drop("k", "n_current", "below", "above")
 
 
 def psi_summary(df: DataFrame, reference: DriftReference) -> DataFrame:
@@ -88,19 +118,13 @@ def psi_summary(df: DataFrame, reference: DriftReference) -> DataFrame:
 
     Shares of all rows; a reference without values has no range (NULL).
     """
-    outside, entries = [], []
-    for i, f in enumerate(reference.spec.features):
-        for side, bound, sign in (("lo", f.low, "<"), ("hi", f.high, ">")):
-            if bound is None:
-                outside.append(f"CAST(NULL AS DOUBLE) AS {side}{i}")
-            else:
-                outside.append(f"count_if({f.number} {sign} {sql_literal(bound)}) / count(*) AS {side}{i}")
-        entries.append(
-            f"named_struct('feature', {sql_literal(f.feature)}, 'below_min_share', lo{i}, 'above_max_share', hi{i})"
-        )
-    ranges = df.selectExpr(*outside).selectExpr(f"inline(array({', '.join(entries)}))")
+    return summarise(_psi(df, reference), reference)
+
+
+def summarise(bins: DataFrame, reference: DriftReference) -> DataFrame:
     missing = F.col("bin") == MISSING
-    summary = psi_bins(df, reference).groupBy("feature").agg(
+    no_range = F.col("feature").isin([f.feature for f in reference.spec.features if f.low is None])
+    summary = bins.groupBy("feature").agg(
         F.sum("psi_component").alias("psi"),
         F.lit(reference.size).cast("long").alias("reference_size"),
         F.sum("current_count").alias("current_size"),
@@ -109,5 +133,11 @@ def psi_summary(df: DataFrame, reference: DriftReference) -> DataFrame:
         (F.sum(F.when(F.col("reference_count") == 0, F.col("current_count")).otherwise(0)) / F.sum("current_count")).alias(
             "new_bin_share"
         ),
+        F.max(F.when(~no_range, F.lit(0.0))).alias("zero"),
+        (F.sum("below") / F.sum("current_count")).alias("below_min_share"),
+        (F.sum("above") / F.sum("current_count")).alias("above_max_share"),
     )
-    return summary.join(ranges, "feature")
+    # ``zero`` is NULL for a feature without reference range.
+    return summary.withColumn("below_min_share", F.col("below_min_share") + F.col("zero")).withColumn(
+        "above_max_share", F.col("above_max_share") + F.col("zero")
+    ).drop("zero")

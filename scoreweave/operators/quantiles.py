@@ -157,9 +157,17 @@ def exact_quantiles(
     if not columns:
         return {}
     if sum(n for n, _, _ in columns.values()) <= small_cells:
-        points = F.array(*[F.lit(float(p)) for p in probabilities])
-        row = df.agg(*[F.percentile(c, points).alias(c) for c in columns]).first()
-        return {c: list(row[c]) for c in columns}
+        # One value map per column, each in its own group, so columns spread over tasks.
+        names = list(columns)
+        pairs = ", ".join(f"named_struct('slot', {i}, 'value', {c})" for i, c in enumerate(names))
+        points = ", ".join(f"{float(p)!r}D" for p in probabilities)
+        rows = (
+            df.selectExpr(f"inline(array({pairs}))")
+            .groupBy("slot")
+            .agg(F.expr(f"percentile(value, array({points}))").alias("q"))
+            .collect()
+        )
+        return {names[r["slot"]]: list(r["q"]) for r in rows}
     positions = {c: [(n - 1) * p for p in probabilities] for c, (n, _, _) in columns.items()}
     ranks = {
         c: [r for x in xs for r in {math.floor(x), math.ceil(x)}] for c, xs in positions.items()

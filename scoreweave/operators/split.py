@@ -16,8 +16,10 @@ from pyspark.sql.window import Window
 from ..functions import guards
 from ..functions.columns import ID, TARGET
 
-# Hash prefix length in hex digits: 65,536 equal buckets per class.
-PREFIX = 4
+# Hash prefix length in hex digits: 4,096 equal buckets per class and level.
+PREFIX = 3
+# A boundary bucket above this many rows is cut by further digits before ranking.
+RANK_LIMIT = 1_000_000
 
 
 def hash_key(id_col: Column | str, seed: int) -> Column:
@@ -37,49 +39,82 @@ def class_quotas(total: int, counts: dict, wanted: int) -> dict:
     return quota
 
 
-def bucket_counts(df: DataFrame, seed: int, id_col: str = ID, class_col: str | None = None) -> dict:
-    """Rows per class and hash bucket: at most 65,536 numbers per class, whatever the data."""
+def _counts(keyed: DataFrame, digits: int) -> dict:
+    """Rows per class and hash prefix, in prefix order."""
+    rows = keyed.groupBy("c", F.substring("h", 1, digits).alias("b")).agg(F.count("*").alias("n")).collect()
+    found: dict = {}
+    for r in sorted(rows, key=lambda r: (r["c"], r["b"])):
+        found.setdefault(r["c"], {})[r["b"]] = r["n"]
+    return found
+
+
+def _keyed(df: DataFrame, seed: int, id_col: str, class_col: str | None) -> DataFrame:
     label = guards.binary_label(class_col) if class_col else F.lit(0)
-    rows = (
-        df.groupBy(label.alias("c"), F.substring(hash_key(id_col, seed), 1, PREFIX).alias("b"))
-        .agg(F.count("*").alias("n"))
-        .toPandas()
-    )
-    return {
-        int(c): dict(zip(part["b"], part["n"].astype(int))) for c, part in rows.sort_values("b").groupby("c")
-    }
+    return df.select(label.alias("c"), hash_key(id_col, seed).alias("h"))
+
+
+def bucket_counts(df: DataFrame, seed: int, id_col: str = ID, class_col: str | None = None) -> dict:
+    """Rows per class and hash bucket: at most 4,096 numbers per class, whatever the data."""
+    return _counts(_keyed(df, seed, id_col, class_col), PREFIX)
+
+
+def _locate(counts: dict, wanted: list[tuple]) -> list[tuple]:
+    """(class, k, prefix, rows before, rows inside) of the bucket holding each rank."""
+    spots = []
+    for c, k, start in wanted:
+        before = start
+        for b, n in counts[c].items():
+            if before < k <= before + n:
+                spots.append((c, k, b, before, n))
+                break
+            before += n
+    return spots
 
 
 def hash_cuts(
-    df: DataFrame, counts: dict, wanted: dict, seed: int, id_col: str = ID, class_col: str | None = None
+    df: DataFrame,
+    counts: dict,
+    wanted: dict,
+    seed: int,
+    id_col: str = ID,
+    class_col: str | None = None,
+    rank_limit: int = RANK_LIMIT,
 ) -> dict:
     """Key of the k-th row in hash order, per class and k (1-based).
 
-    The bucket holding each rank is known from the counts; only rows of those few
-    buckets are ranked.
+    The bucket holding each rank is known from the counts. Buckets that are still
+    large are counted again by longer prefixes; only rows of small ones are ranked.
     """
-    boundary, ranks = {}, {}
-    for c, ks in wanted.items():
-        for k in ks:
-            before = 0
-            for b, n in counts[c].items():
-                if before < k <= before + n:
-                    boundary[c, b] = before
-                    ranks.setdefault((c, b), []).append(k - before)
-                before += n
-    if not ranks:
-        return {}
-    label = F.col(class_col).cast("int") if class_col else F.lit(0)
-    keyed = df.select(label.alias("c"), hash_key(id_col, seed).alias("h"))
-    bucket = F.substring("h", 1, PREFIX)
-    inside = F.expr(" OR ".join(f"(c = {c} AND substring(h, 1, {PREFIX}) = '{b}')" for c, b in ranks))
-    ranked = keyed.filter(inside).select(
-        "c", bucket.alias("b"), "h", F.row_number().over(Window.partitionBy("c", bucket).orderBy("h")).alias("rank")
-    )
-    hit = F.expr(
-        " OR ".join(f"(c = {c} AND b = '{b}' AND rank = {k})" for (c, b), ks in ranks.items() for k in ks)
-    )
-    return {(r["c"], r["rank"] + boundary[r["c"], r["b"]]): r["h"] for r in ranked.filter(hit).collect()}
+    keyed = _keyed(df, seed, id_col, class_col)
+    spots = _locate(counts, [(c, k, 0) for c, ks in wanted.items() for k in ks if k > 0])
+    digits = PREFIX
+
+    def members(spots: list[tuple], digits: int) -> DataFrame:
+        parts = {(c, b) for c, _, b, _, _ in spots}
+        return keyed.filter(" OR ".join(f"(c = {c} AND substring(h, 1, {digits}) = '{b}')" for c, b in sorted(parts)))
+
+    done: list[tuple] = []
+    while large := [x for x in spots if x[4] > rank_limit]:
+        done += [(x, digits) for x in spots if x[4] <= rank_limit]
+        inside = members(large, digits)
+        digits += PREFIX
+        deeper = _counts(inside, digits)
+        spots = [
+            spot
+            for c, k, b, before, _ in large
+            for spot in _locate({c: {p: n for p, n in deeper[c].items() if p.startswith(b)}}, [(c, k, before)])
+        ]
+    done += [(x, digits) for x in spots]
+    cuts = {}
+    for level in sorted({d for _, d in done}):
+        here = [x for x, d in done if d == level]
+        bucket = F.substring("h", 1, level)
+        order = Window.partitionBy("c", bucket).orderBy("h")
+        ranked = members(here, level).select("c", bucket.alias("b"), "h", F.row_number().over(order).alias("rank"))
+        hit = " OR ".join(f"(c = {c} AND b = '{b}' AND rank = {k - before})" for c, k, b, before, _ in here)
+        found = {(r["c"], r["b"], r["rank"]): r["h"] for r in ranked.filter(hit).collect()}
+        cuts.update({(c, k): found[c, b, k - before] for c, k, b, before, _ in here})
+    return cuts
 
 
 def _range_name(key: Column, label: Column, ends: list[dict], names: list[str]) -> Column:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.storagelevel import StorageLevel
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -68,3 +71,19 @@ def spread_small(df: DataFrame, key: str, limit: int = SMALL_INPUT) -> DataFrame
     if input_bytes(df) >= limit:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep ``df`` in memory and on disk while it is scanned several times.
+
+    A frame the caller already keeps is used as it is.
+    """
+    if df.is_cached:
+        yield df
+        return
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
