@@ -124,12 +124,12 @@ def paired_bootstrap(
         index = F.broadcast(index)
     drawn = slot_indices(spark, sizes, n_bootstrap, seed).join(index, ["y", "idx"]).select("draw", "y", "base", "challenger")
     point = rows.select(F.lit(-1).cast("long").alias("draw"), "y", "base", "challenger")
-    paired = drawn.unionByName(point).groupBy("draw", "y", "base", "challenger").agg(F.count("*").alias("w"))
 
-    # Both models in one pass over the same weights; shared edges order either of them.
+    # Both models in one pass over the same slots. A task holds whole draws in sequence,
+    # so equal probabilities of a draw already combine before the shuffle.
     both_models = F.expr("inline(array(named_struct('model', 'base', 'p', base), named_struct('model', 'challenger', 'p', challenger)))")
-    long = paired.select("draw", "y", "w", both_models).select(
-        "draw", "model", "p", (F.col("w") * F.col("y")).alias("bad"), (F.col("w") * (1 - F.col("y"))).alias("good")
+    long = drawn.unionByName(point).select("draw", "y", both_models).select(
+        "draw", "model", "p", F.col("y").cast("long").alias("bad"), (1 - F.col("y")).cast("long").alias("good")
     )
     edges = sorted({*bucket_edges(rows, "base"), *bucket_edges(rows, "challenger")})
     curve = cumulative(long, "p", ["bad", "good"], ("draw", "model"), True, edges)

@@ -113,6 +113,13 @@ def psi_bins(df: DataFrame, reference: DriftReference) -> DataFrame:
     return _psi(df, reference).drop("k", "n_current", "below", "above")
 
 
+def psi_reports(df: DataFrame, reference: DriftReference) -> tuple[DataFrame, DataFrame]:
+    """Bin table and summary from one scan; the bin table's size is fixed by the reference."""
+    full = _psi(df, reference)
+    table = df.sparkSession.createDataFrame(full.collect(), full.schema)
+    return table.drop("k", "n_current", "below", "above"), summarise(table, reference)
+
+
 def psi_summary(df: DataFrame, reference: DriftReference) -> DataFrame:
     """Per feature: PSI, sizes, missing rates, new-bin share, out-of-range shares.
 

@@ -90,8 +90,9 @@ def hash_cuts(
     digits = PREFIX
 
     def members(spots: list[tuple], digits: int) -> DataFrame:
-        parts = {(c, b) for c, _, b, _, _ in spots}
-        return keyed.filter(" OR ".join(f"(c = {c} AND substring(h, 1, {digits}) = '{b}')" for c, b in sorted(parts)))
+        # One membership test, so the hash is computed once per row.
+        parts = sorted({f"{c}{b}" for c, _, b, _, _ in spots})
+        return keyed.filter(F.concat(F.col("c").cast("string"), F.substring("h", 1, digits)).isin(parts))
 
     done: list[tuple] = []
     while large := [x for x in spots if x[4] > rank_limit]:

@@ -24,7 +24,8 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def missing_files(spark: SparkSession, folder: str, expected=INVENTORY) -> list[str]:
     wanted = spark.createDataFrame([(n,) for n in expected], "name string")
-    found = list_files(spark, folder).select("name")
+    # A source may be one file or a folder of part files under the same name.
+    found = list_files(spark, folder).select(F.explode(F.split("path", "/")).alias("name")).distinct()
     lost = {r["name"] for r in wanted.join(found, "name", "left_anti").collect()}
     return [n for n in expected if n in lost]
 

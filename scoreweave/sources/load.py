@@ -8,6 +8,7 @@ unreferenced folder and never a half-visible table.
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -112,10 +113,17 @@ def stage_file(spark: SparkSession, path: str, contract: FileContract, target: s
     if broken:
         raise GateError(f"{contract.file_name}: rows breaking rules: {broken}")
     stored = spark.read.parquet(target)
-    duplicated = compare.duplicate_keys(stored, list(contract.key)).count()
-    if duplicated:
-        raise GateError(f"{contract.file_name}: {duplicated} duplicated keys")
-    return {"read": counts["rows"], "stored": stored.count(), "headers": headers, "columns": columns, "extra": extra}
+    keys = (
+        stored.groupBy(*contract.key)
+        .agg(F.count("*").alias("n"))
+        .agg(F.sum("n").alias("stored"), F.count_if(F.col("n") > 1).alias("duplicated"))
+        .first()
+    )
+    if keys["duplicated"]:
+        raise GateError(f"{contract.file_name}: {keys['duplicated']} duplicated keys")
+    return {
+        "read": counts["rows"], "stored": keys["stored"] or 0, "headers": headers, "columns": columns, "extra": extra,
+    }
 
 
 def error_class(error: BaseException) -> str | None:
@@ -158,9 +166,13 @@ def load_tables(
             raise GateError(f"load {load_id} already succeeded")
 
         stage = "staging"
-        staged = {
-            c.table: stage_file(spark, f"{folder}/{c.file_name}", c, warehouse.table(load_id, c.table)) for c in contracts
-        }
+        # The files are independent: both are read and written at the same time.
+        with ThreadPoolExecutor(len(contracts)) as pool:
+            running = {
+                c.table: pool.submit(stage_file, spark, f"{folder}/{c.file_name}", c, warehouse.table(load_id, c.table))
+                for c in contracts
+            }
+            staged = {table: job.result() for table, job in running.items()}
         stage = "derive"
         stored = {c.table: spark.read.parquet(warehouse.table(load_id, c.table)) for c in contracts}
         wide.aggregate_children(stored[bureau.table]).write.parquet(warehouse.table(load_id, "feat_bureau"))
@@ -176,28 +188,28 @@ def load_tables(
 
         stage = "reconcile"
         pairs = {f"{t}_rows": (s["read"], s["stored"]) for t, s in staged.items()}
-        report = _rows(
-            compare.reconciliation(
+        checks = {
+            "report": compare.reconciliation(
                 stored[application.table], stored[bureau.table], aggregate, model_input, list(PAIRED), pairs
-            )
-        )
+            ),
+            "linkage": compare.linkage(stored[application.table], stored[bureau.table]),
+            "gaps": reduce(
+                lambda a, b: a.unionByName(b),
+                [compare.missing_counts(stored[t], list(fields), t) for t, fields in MISSING_FIELDS.items()],
+            ),
+        }
+        with ThreadPoolExecutor(len(checks)) as pool:
+            report, linkage, gaps = pool.map(_rows, checks.values())
         failed = [r for r in report if not r["ok"]]
         if failed:
             raise GateError(f"reconciliation: {failed}")
-        linkage = _rows(compare.linkage(stored[application.table], stored[bureau.table]))[0]
-        gaps = _rows(
-            reduce(
-                lambda a, b: a.unionByName(b),
-                [compare.missing_counts(stored[t], list(fields), t) for t, fields in MISSING_FIELDS.items()],
-            )
-        )
         record = {
             "load_id": load_id,
             "contract_version": CONTRACT_VERSION,
             "input_files": digests,
             "headers": {t: {k: s[k] for k in ("headers", "columns", "extra")} for t, s in staged.items()},
             "counts": {t: {k: s[k] for k in ("read", "stored")} for t, s in staged.items()},
-            "linkage": linkage,
+            "linkage": linkage[0],
             "missing_values": gaps,
             "reconciliation": report,
         }
