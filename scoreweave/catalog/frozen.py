@@ -47,7 +47,6 @@ COEFFICIENTS = {
 
 INTERCEPT = -2.0
 RULE = ApprovalRule("threshold", 0.09)
-TOTAL_GOOD, TOTAL_BAD = 900, 100
 
 
 def _rows() -> tuple[dict, ...]:

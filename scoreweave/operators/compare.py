@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ID
+from ..functions.guards import require_unique_key
 
 
 def _side_counts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -174,13 +175,15 @@ def content_fingerprint(
 
     Rows are hashed, row digests are hashed per fixed key block and the block
     digests level by level, ``block`` children at a time. A block covers ``block``
-    consecutive integer keys, so no level gathers an unbounded list.
+    consecutive integer keys and keys are checked to be unique first, so no level
+    gathers an unbounded list.
     """
-    require_key = F.when(F.col(key).isNotNull(), F.col(key)).otherwise(
+    require_unique_key(df, [key])
+    present = F.when(F.col(key).isNotNull(), F.col(key)).otherwise(
         F.raise_error(F.lit("fingerprint key must be present"))
     )
     level = df.select(
-        require_key.cast("long").alias("position"),
+        present.cast("long").alias("position"),
         F.sha2(F.concat(*[_tagged(c) for c in columns]), 256).alias("digest"),
     )
     span = level.agg(F.min("position").alias("low"), F.max("position").alias("high")).first()

@@ -10,7 +10,7 @@ from scoreweave.functions.math import clipped_log_odds, sigmoid
 from scoreweave.functions.rules import business_features
 from scoreweave.models import logistic, platt, scorecard, trees
 from scoreweave.operators import explain, policy, split
-from scoreweave.plans import experiment, monitoring, scoring
+from scoreweave.plans import experiment, monitoring
 from scoreweave.sources import runs
 from scoreweave.streaming import score as stream
 
