@@ -125,9 +125,9 @@ def paired_bootstrap(
     drawn = slot_indices(spark, sizes, n_bootstrap, seed).join(index, ["y", "idx"]).select("draw", "y", "base", "challenger")
     point = rows.select(F.lit(-1).cast("long").alias("draw"), "y", "base", "challenger")
 
-    # Both models in one pass over the same slots. A task holds whole draws in sequence,
+    # Both models (0 and 1) in one pass over the same slots. A task holds whole draws in sequence,
     # so equal probabilities of a draw already combine before the shuffle.
-    both_models = F.expr("inline(array(named_struct('model', 'base', 'p', base), named_struct('model', 'challenger', 'p', challenger)))")
+    both_models = F.expr("inline(array(named_struct('model', 0, 'p', base), named_struct('model', 1, 'p', challenger)))")
     long = drawn.unionByName(point).select("draw", "y", both_models).select(
         "draw", "model", "p", F.col("y").cast("long").alias("bad"), (1 - F.col("y")).cast("long").alias("good")
     )
@@ -136,8 +136,8 @@ def paired_bootstrap(
     per_model = curve.groupBy("draw", "model").agg(*ranking_aggregates())
     both = per_model.groupBy("draw").agg(
         *[
-            F.max(F.when(F.col("model") == model, F.col(m))).alias(f"{model}_{m}")
-            for model in ("base", "challenger")
+            F.max(F.when(F.col("model") == code, F.col(m))).alias(f"{model}_{m}")
+            for code, model in enumerate(("base", "challenger"))
             for m in METRICS
         ]
     )
