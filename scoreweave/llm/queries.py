@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lengths
+from . import bpe, lengths, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -27,6 +27,12 @@ def op1_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_decode(docs).drop("text")
 
 
+@query
+def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    return quality.judge(docs).drop("lang", "source", "n_lines", "failed_rules")
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return lengths.token_counts(table(spark, sf, "documents"))
