@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lengths, quality
+from . import bpe, lengths, neardup, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -33,6 +33,11 @@ def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(docs).drop("lang", "source", "n_lines", "failed_rules")
 
 
+@query
+def op4_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf, "documents"))
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return lengths.token_counts(table(spark, sf, "documents"))
