@@ -22,8 +22,8 @@ MIN_ROWS = 100
 # Ratio of each metric and the least distance between the outer quartile and the fence.
 METRICS = {
     "symbols": ("n_symbols / word_chars", 0.1),
-    "dup_lines": ("n_dup_lines / n_lines", 0.2),
-    "repeats": ("n_repeat_words / n_words", 0.1),
+    "dup_lines": ("n_dup_lines / n_lines", 0.5),
+    "repeats": ("n_repeat_words / n_words", 0.25),
     "word_length": ("word_chars / n_words", 2.0),
 }
 
@@ -111,8 +111,11 @@ def sketch(rows: DataFrame, groups: tuple[str, ...]) -> DataFrame:
 
 
 def limits(sketches: DataFrame, lang: str, source: str) -> DataFrame:
-    """Fences ``low_*`` and ``high_*`` of each (language, source); small groups use merged sketches."""
-    view = sketches.withColumnsRenamed({lang: "g_lang", source: "g_source"})
+    """Fences ``low_*`` and ``high_*`` of each (language, source); small groups use merged sketches.
+
+    The eight fences over all rows are the only values that reach the driver.
+    """
+    view = stored(sketches, "quality-sketches").withColumnsRenamed({lang: "g_lang", source: "g_source"})
     merged = view.sparkSession.sql(
         f"""
         WITH merged AS (
@@ -147,13 +150,9 @@ def limits(sketches: DataFrame, lang: str, source: str) -> DataFrame:
     by_lang = wide.filter("level = 1").select(
         F.col("g_lang").alias("l_lang"), F.col("total").alias("l_total"), *[F.col(n).alias(f"l_{n}") for n in names]
     )
-    overall = wide.filter("level = 3").select(F.lit(1).alias("one"), *[F.col(n).alias(f"o_{n}") for n in names])
-    joined = (
-        own.withColumn("one", F.lit(1))
-        .join(by_lang, F.col("g_lang").eqNullSafe(F.col("l_lang")))
-        .join(overall, "one")
-    )
-    choose = lambda n: F.when(F.col("total") >= MIN_ROWS, F.col(n)).when(F.col("l_total") >= MIN_ROWS, F.col(f"l_{n}")).otherwise(F.col(f"o_{n}"))
+    overall = wide.filter("level = 3").select(*names).first() or dict.fromkeys(names)
+    joined = own.join(by_lang, F.col("g_lang").eqNullSafe(F.col("l_lang")))
+    choose = lambda n: F.when(F.col("total") >= MIN_ROWS, F.col(n)).when(F.col("l_total") >= MIN_ROWS, F.col(f"l_{n}")).otherwise(F.lit(overall[n]))
     return joined.select("g_lang", "g_source", F.col("total").alias("group_rows"), *[choose(n).alias(n) for n in names])
 
 
