@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, lengths, neardup, quality
+from . import bpe, decontaminate, lengths, neardup, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -33,6 +34,12 @@ def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(docs).drop("lang", "source", "n_lines", "failed_rules")
 
 
+@query
+def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items")
+
+
 @query
 def op4_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf, "documents"))
