@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lengths, neardup, quality
+from . import bpe, decontaminate, language, lengths, neardup, quality, toxicity
+from .tools import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -48,3 +49,19 @@ def op4_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return lengths.token_counts(table(spark, sf, "documents"))
+
+
+@query
+def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    held_out = fold("doc_id", 3) == 1
+    found = language.detect(docs.withColumn("held_out", held_out), train=~F.col("held_out"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = toxicity.detect(docs, table(spark, sf, "labels"), train=fold("_k", 3) != 1)
+    held_out = fold("doc_id", 3) == 1
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
