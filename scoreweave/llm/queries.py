@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, lengths, neardup, quality, toxicity
+from . import bpe, decontaminate, hmm, language, lengths, neardup, quality, toxicity
 from .tools import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,13 @@ def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op8_language_model(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held_out = fold("doc_id", 10) == 0
+    return hmm.language_model(docs.withColumn("held_out", held_out), train=~F.col("held_out"))
+
+
 @query
 def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
