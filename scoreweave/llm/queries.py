@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hmm, language, lengths, neardup, quality, toxicity
+from . import bpe, decontaminate, hmm, language, lengths, links, neardup, quality, toolcalls, toxicity
 from .tools import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,12 @@ def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return lengths.token_counts(table(spark, sf, "documents"))
 
 
+@query
+def op6_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    return links.judge(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query
 def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
@@ -72,3 +78,10 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     found = toxicity.detect(docs, table(spark, sf, "labels"), train=fold("_k", 3) != 1)
     held_out = fold("doc_id", 3) == 1
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
+
+
+@query
+def op10_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
+    calls, results = toolcalls.chat_calls(table(spark, sf, "conversations"))
+    schemas = spark.createDataFrame([("reply", toolcalls.REPLY)], "name string, schema string")
+    return toolcalls.link_calls(calls, results, schemas)
