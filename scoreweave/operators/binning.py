@@ -18,7 +18,6 @@ from ..functions.math import balanced_case, sql_literal
 from ..session import kept
 from .quantiles import exact_quantiles
 
-CODE_STEP = 4096
 SEED_ROWS = 1000
 
 
@@ -191,10 +190,12 @@ def bin_counts(df: DataFrame, spec: BinSpec, measures: dict[str, Column] | None
     """Rows and summed measures per (feature, bin), only for bins that occur.
 
     Each row becomes one integer code per feature; the codes combine map-side, so the
-    shuffle carries (features x bins) rows per task whatever the data size.
+    shuffle carries (features x bins) rows per task whatever the data size. Codes are
+    spaced by the feature with the most labels.
     """
     measures = measures or {}
-    codes = F.expr(f"array({', '.join(f.position_sql(i * CODE_STEP) for i, f in enumerate(spec.features))})")
+    step = max(len(f.labels) for f in spec.features)
+    codes = F.expr(f"array({', '.join(f.position_sql(i * step) for i, f in enumerate(spec.features))})")
     named = {f"m{i}": name for i, name in enumerate(measures)}
     long = df.select(
         *[measures[name].alias(short) for short, name in named.items()], F.explode(codes).alias("code")
@@ -206,10 +207,10 @@ def bin_counts(df: DataFrame, spec: BinSpec, measures: dict[str, Column] | None
     labels = F.expr(
         f"array({', '.join('array(' + ', '.join(map(sql_literal, f.labels)) + ')' for f in spec.features)})"
     )
-    which = F.floor(F.col("code") / CODE_STEP).cast("int")
+    which = F.floor(F.col("code") / step).cast("int")
     return grouped.select(
         F.element_at(names, which + 1).alias("feature"),
-        F.element_at(F.element_at(labels, which + 1), F.col("code") % CODE_STEP + 1).alias("bin"),
+        F.element_at(F.element_at(labels, which + 1), F.col("code") % step + 1).alias("bin"),
         "n_samples",
         *measures,
     )

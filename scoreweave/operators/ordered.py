@@ -14,20 +14,20 @@ from pyspark.sql.window import Window
 
 # Rows (before collapsing ties) one ordered bucket should hold.
 BUCKET_ROWS = 1_000_000
-MAX_BUCKETS = 4096
 
 
 def bucket_edges(df: DataFrame, value: str, bucket_rows: int = BUCKET_ROWS) -> list[float]:
     """Cut points holding about ``bucket_rows`` rows apart, as literals.
 
-    Literals keep the buckets identical when lost tasks are computed again.
+    Literals keep the buckets identical when lost tasks are computed again. Their number
+    follows the rows, so a bucket does not grow with the data.
     """
     rows = df.agg(F.count("*").alias("n")).first()["n"]
-    buckets = min(MAX_BUCKETS, -(-rows // bucket_rows))
+    buckets = -(-rows // bucket_rows)
     if buckets <= 1:
         return []
     points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    cuts = df.agg(F.percentile_approx(value, points, 10 * MAX_BUCKETS).alias("q")).first()["q"]
+    cuts = df.agg(F.percentile_approx(value, points, max(10_000, 10 * buckets)).alias("q")).first()["q"]
     return sorted(set(cuts))
 
 
@@ -64,7 +64,7 @@ def cumulative(
             *[F.sum(m).over(whole).alias(f"total_{m}") for m in measures],
         )
 
-    # At most MAX_BUCKETS rows per ``by`` group.
+    # One row per bucket and ``by`` group: a millionth of the rows.
     per_bucket = Window.partitionBy(*by).orderBy(direction("bucket"))
     before = per_bucket.rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

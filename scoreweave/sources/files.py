@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.guards import GateError
+from ..session import shared_table_path
 from .contract import INVENTORY
 
-# A whole file is hashed in one record, so only files below this size are.
-WHOLE_FILE_LIMIT = 1 << 30
+# Lines of one leaf of the digest tree.
+LEAF_LINES = 4096
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,27 +37,38 @@ def check_inventory(spark: SparkSession, folder: str, expected=INVENTORY) -> Non
         raise FileNotFoundError(f"missing source files: {lost}")
 
 
-def file_digests(spark: SparkSession, path: str, whole_limit: int = WHOLE_FILE_LIMIT) -> DataFrame:
-    """(name, length, digest) per file.
+def file_digests(spark: SparkSession, path: str, leaf_lines: int = LEAF_LINES) -> DataFrame:
+    """(name, length, digest) per file: one definition for every size.
 
-    Files up to ``whole_limit`` get SHA-256 of their bytes. Larger ones are never
-    pulled into one record: their digest is an order-independent sum of line hashes.
+    The digest is a tree of SHA-256 values: over each line, over leaves of ``leaf_lines`` lines in
+    their order, and over the leaves in their order together with the length in bytes. Files are
+    read in splits of any size; lines are numbered through a file by the counts of its splits.
+    Files without a byte are not listed.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    name = F.element_at(F.split("path", "/"), -1).alias("name")
-    small = files.filter(F.col("length") <= whole_limit).select(
-        name, "length", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("digest")
-    )
-    large = [r["path"] for r in files.filter(F.col("length") > whole_limit).select("path").collect()]
-    if not large:
-        return small
-    lines = spark.read.text(large).select(F.col("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"))
-    summed = lines.groupBy("path", "length").agg(
-        F.count("*").alias("n"), F.sum(F.xxhash64("value").cast("decimal(38,0)")).alias("s")
-    )
-    return small.unionByName(
-        summed.select(name, "length", F.concat(F.lit("lines:"), F.col("n").cast("string"), F.lit(":"), F.col("s").cast("string")).alias("digest"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    lines = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
+    found = lines.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("row"),
+        F.unhex(F.sha2("value", 256)).alias("hash"),
     )
+    target = shared_table_path(spark, "line-digests")
+    found.write.parquet(target)
+    rows = spark.read.parquet(target)
+    splits = rows.groupBy("path", "split").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    line = F.col("start") + F.col("row") - F.col("first")
+    placed = rows.join(splits, ["path", "split"]).select("path", F.floor(line / leaf_lines).alias("leaf"), line.alias("line"), "hash")
+    in_order = lambda key, value: F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: F.hex(x[value]))
+    leaves = placed.groupBy("path", "leaf").agg(F.unhex(F.sha2(F.array_join(in_order("line", "hash"), ""), 256)).alias("hash"))
+    roots = leaves.groupBy("path").agg(F.array_join(in_order("leaf", "hash"), "").alias("leaves"))
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    roots = roots.select(plain.alias("key"), "leaves")
+    joined = files.select(plain.alias("key"), "path", "length").join(roots, "key", "left")
+    root = F.sha2(F.concat_ws(":", F.col("length").cast("string"), F.coalesce("leaves", F.lit(""))), 256)
+    return joined.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.concat(F.lit("tree:"), root).alias("digest"))
 
 
 def provenance(left: DataFrame, right: DataFrame) -> DataFrame:

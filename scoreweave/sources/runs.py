@@ -19,14 +19,19 @@ def run_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RUN_SCHEMA).parquet(path)
 
 
+def require_new(spark: SparkSession, path: str, run_id: str) -> None:
+    """Refuse an id that is already recorded."""
+    if not run_table(spark, path).filter(F.col("run_id") == run_id).isEmpty():
+        raise ValueError(f"run {run_id} is already recorded")
+
+
 def save_run(spark: SparkSession, path: str, run_id: str, batch_id: str, status: str, record: dict) -> None:
     """Append one record; an id is never overwritten."""
     for value, name in ((run_id, "run_id"), (batch_id, "batch_id")):
         if not isinstance(value, str) or not value.strip():
             raise ValueError(f"{name} must be a non-blank string")
     payload = json.dumps(plain(record), ensure_ascii=False, allow_nan=False)
-    if not run_table(spark, path).filter(F.col("run_id") == run_id).isEmpty():
-        raise ValueError(f"run {run_id} is already recorded")
+    require_new(spark, path, run_id)
     row = spark.createDataFrame(
         [(run_id, batch_id, status, payload)], "run_id string, batch_id string, status string, payload string"
     ).withColumn("run_at", F.current_timestamp())

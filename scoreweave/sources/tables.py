@@ -19,7 +19,7 @@ def load_model_table(spark: SparkSession, path: str) -> DataFrame:
     Required CSV columns are read as numbers, other columns stay text.
     """
     if path.lower().rstrip("/").endswith(".csv"):
-        text = spark.read.option("header", True).option("inferSchema", False).csv(path)
+        text = spark.read.option("header", True).option("inferSchema", False).option("escape", '"').csv(path)
         guards.require_columns(text, [ID, TARGET, *RAW_COLUMNS])
         numbers = {ID: "long", TARGET: "int", **{c: "double" for c in RAW_COLUMNS}}
         df = text.select(*[F.col(c).cast(numbers[c]).alias(c) if c in numbers else F.col(c) for c in text.columns])

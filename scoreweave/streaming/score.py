@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -32,13 +33,13 @@ def score_stream(
 def monitor_stream(source: DataFrame, monitor: Monitor, runs_path: str, checkpoint: str, name: str) -> StreamingQuery:
     """One recorded monitoring run per micro-batch.
 
-    The batch number is part of the run id, so a batch replayed after a failure is
-    recognised and recorded once.
+    The batch number is part of the run id, so a batch that was done is recognised when
+    it is replayed. A batch that failed is run again.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
         run_id = f"{name}-{number}"
-        done = runs.run_table(batch.sparkSession, runs_path).filter(f"run_id = '{run_id}'")
+        done = runs.run_table(batch.sparkSession, runs_path).filter((F.col("run_id") == run_id) & (F.col("status") == "done"))
         if batch.isEmpty() or not done.isEmpty():
             return
         run_and_record(monitor, batch, runs_path, run_id, f"{name}-batch-{number}")

@@ -102,9 +102,13 @@ def test_digests_and_provenance(spark, tmp_path):
     folder = source(tmp_path)
     digests = files.file_digests(spark, folder)
     found = {r["name"]: r["digest"] for r in digests.collect()}
-    assert found["bureau.csv"] == "sha256:" + hashlib.sha256(BUREAU.encode()).hexdigest()
-    by_lines = {r["name"]: r["digest"] for r in files.file_digests(spark, folder, 0).collect()}
-    assert by_lines["bureau.csv"].startswith("lines:5:")
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest().upper()
+    for leaf in (2, files.LEAF_LINES):
+        lines = [sha(x) for x in BUREAU.split("\n")[:-1]]
+        leaves = [sha("".join(lines[i : i + leaf])) for i in range(0, len(lines), leaf)]
+        want = "tree:" + sha(f"{len(BUREAU)}:" + "".join(leaves)).lower()
+        got = {r["name"]: r["digest"] for r in files.file_digests(spark, folder, leaf).collect()}
+        assert got["bureau.csv"] == want
     other = digests.withColumn("digest", F.when(F.col("name") == "bureau.csv", F.lit("x")).otherwise(F.col("digest")))
     verdicts = {r["name"]: r["verdict"] for r in files.provenance(digests, other).collect()}
     assert verdicts == {"bureau.csv": "different", "application_train.csv": "same"}
@@ -163,3 +167,56 @@ def test_compare_operators(spark):
     assert tuple(compare.per_field_compare(a, b, ["x"]).first()) == ("x", 2, 1, 1, 1)
     assert not compare.same_id_set(a, b) and compare.same_id_set(a, a)
     assert contract.schema_problems(a, "feat_bureau")[0].endswith("missing")
+
+
+@pytest.mark.parametrize("leaf", [1, 2, 4096])
+def test_digest_depends_on_the_order_of_lines(spark, tmp_path, leaf):
+    for name, text in (("a", "a\nb\n"), ("b", "b\na\n"), ("c", "a\nb")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "f").write_text(text)
+    found = [files.file_digests(spark, str(tmp_path / n), leaf).first()["digest"] for n in "abc"]
+    assert len(set(found)) == 3
+
+
+def test_digest_does_not_depend_on_splits(spark, tmp_path):
+    (tmp_path / "big").write_text("".join(f"line {i * i}\n" for i in range(20000)))
+    once = files.file_digests(spark, str(tmp_path / "big")).first()["digest"]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+        assert files.file_digests(spark, str(tmp_path / "big")).first()["digest"] == once
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_part_files_need_one_header(spark, tmp_path):
+    folder = source(tmp_path)
+    head, *rows = APPLICATION.splitlines(keepends=True)
+    (tmp_path / "in" / "application_train.csv").unlink()
+    (tmp_path / "in" / "application_train.csv").mkdir()
+    parts = tmp_path / "in" / "application_train.csv"
+    (parts / "part-0.csv").write_text(head + rows[0])
+    (parts / "part-1.csv").write_text(head.replace("AMT_INCOME_TOTAL,AMT_CREDIT", "AMT_CREDIT,AMT_INCOME_TOTAL") + rows[1])
+    house = load.Warehouse(str(tmp_path / "house"))
+    with pytest.raises(load.LoadStageError) as error:
+        load.load_tables(spark, folder, house, "one")
+    assert error.value.stage == "staging" and "header" in str(error.value)
+    (parts / "part-1.csv").write_text(head + rows[1] + rows[2])
+    load.load_tables(spark, folder, house, "one")
+    assert load.read_table(spark, house, "model_input").count() == 3
+
+
+def test_doubled_quotes(spark, tmp_path):
+    text = APPLICATION.replace("1,0,Cash loans", '1,0,"Cash ""x"", loans"')
+    house = load.Warehouse(str(tmp_path / "house"))
+    load.load_tables(spark, source(tmp_path, text), house, "one")
+    names = {r["name_contract_type"] for r in load.read_table(spark, house, "application_train").collect()}
+    assert names == {'Cash "x", loans', "Cash loans", "Revolving loans"}
+
+
+def test_failed_load_can_be_repeated(spark, tmp_path):
+    house = load.Warehouse(str(tmp_path / "house"))
+    with pytest.raises(load.LoadStageError):
+        load.load_tables(spark, source(tmp_path, APPLICATION.replace(",150000,", ",a lot,"), name="bad"), house, "one")
+    load.load_tables(spark, source(tmp_path), house, "one")
+    assert load.read_table(spark, house, "model_input", "one").count() == 3

@@ -174,3 +174,17 @@ def test_selection_keeps_first_of_equal_columns(spark):
     spec = binning.fit_bins(df, ["a", "b", "d"])
     encoded = {r["feature"]: r["selection_reason"] for r in woe.select_encoded(df, spec, woe.fit_woe(df, spec), 0.0)}
     assert encoded == {"a": "keep", "b": "drop_duplicate_of:a", "d": "drop_constant"}
+
+
+def test_bin_codes_of_many_labels_stay_apart(spark):
+    """More than 4,096 labels in one feature must not reach into the next feature's codes."""
+    from scoreweave.operators.binning import BinSpec, FeatureBins, bin_counts
+
+    wide = FeatureBins("x", tuple(float(i) for i in range(4200)), False, 0.0, 4200.0)
+    spec = BinSpec(4200, (wide, FeatureBins("y", (0.5,), False, 0.0, 1.0)))
+    df = spark.createDataFrame([(4199.5, 0.0), (4199.5, 1.0), (4100.5, 1.0), (None, None)], "x double, y double")
+    found = {(r["feature"], r["bin"]): r["n_samples"] for r in bin_counts(df, spec).collect()}
+    assert found == {
+        ("x", wide.labels[4200]): 2, ("x", wide.labels[4101]): 1, ("x", wide.labels[-1]): 1,
+        ("y", spec["y"].labels[0]): 1, ("y", spec["y"].labels[1]): 2, ("y", spec["y"].labels[-1]): 1,
+    }
