@@ -1,11 +1,10 @@
 """Near duplicates by a chosen-path set similarity join over word shingles.
 
 Every document is a set of shingles and carries 64 minwise tokens of it. A tree starts with all
-documents and sends each to the node of one minwise token; a node with too many documents that
-are not yet known to belong together chooses one or two further tokens (chosen by its path, so alike for
-all its documents) and branches again. Small nodes are compared exhaustively. Similar documents
-take the same path often, others part; independent trees are repeated until a pair at the
-threshold meets with the target recall.
+documents and sends each to the node of one minwise token; a node with many documents chooses one or two
+further tokens (by its path, so alike for all its documents) and branches again. Small nodes are
+compared exhaustively. Similar documents take the same path often, others part; independent trees are
+repeated until a pair at the threshold meets with the target recall.
 """
 
 from __future__ import annotations
@@ -16,40 +15,44 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .tools import Hashes, shingle_hashes, space_words, stored
+from .tools import LOWER, shingle_hashes, stored, word_hashes
 
 COORDINATES = 64
 SECOND_BRANCH = 0.25
-SMALL = 50
-MAX_DEPTH = 8
+# Nodes of at most PAIRED documents give pairs, those of at most CAPACITY are compared inside one task;
+# larger ones branch, and what is still larger at MAX_DEPTH is compared in blocks of that size.
+PAIRED = 50
+CAPACITY = 1000
+BLOCK_BYTES = 16 << 20
+MAX_DEPTH = 6
 # Differing sketch bits (of 64) above which a pair is passed over: at a similarity of 0.8 a bit differs
 # with probability 0.1, and more than 22 of 64 do with probability 2e-8.
 BITS = 22
 PROFILE = "n_shingles long, k1 long, k2 long, sketch long, coords array<int>"
 
-_SEEDS = np.random.default_rng(20240229)
-_A = _SEEDS.integers(1, 1 << 63, (COORDINATES, 1), dtype=np.uint64) | np.uint64(1)
-_B = _SEEDS.integers(0, 1 << 63, (COORDINATES, 1), dtype=np.uint64)
+_FACTORS = np.random.default_rng(20240229).integers(1, 1 << 32, (COORDINATES, 1), dtype=np.uint32) | np.uint32(1)
 
 
-def shingle_set(text: str | None, size: int, hashes: Hashes) -> np.ndarray:
+def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct shingle hashes; a text of fewer words is one shingle, one of none has none."""
-    words = space_words((text or "").encode())
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(shingle_hashes(hashes.of(words), min(size, len(words))))
+    words = word_hashes((text or "").encode(), LOWER)
+    if not len(words):
+        return words
+    values = np.sort(shingle_hashes(words, min(size, len(words))))
+    return values[np.append(True, values[1:] != values[:-1])]
 
 
 def minwise(values: np.ndarray) -> np.ndarray:
-    """The minwise token of each coordinate (32 bits)."""
-    least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(values), 2048):
-        np.minimum(least, (values[None, i : i + 2048] * _A + _B).min(axis=1), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32)
+    """The minwise token of each coordinate: least value under a multiplication modulo 2^32."""
+    least = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
+    short = (values >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(short), 4096):
+        np.minimum(least, (short[None, i : i + 4096] * _FACTORS).min(axis=1), out=least)
+    return least
 
 
 def trees_for(recall: float, similarity: float = 0.8, depth: int = 6) -> int:
@@ -66,12 +69,11 @@ def profiles(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
     @F.pandas_udf(PROFILE)
     def profile(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hashes = Hashes()
         bits = np.uint64(1) << np.arange(COORDINATES, dtype=np.uint64)
         for texts in batches:
             rows = []
             for t in texts:
-                values = shingle_set(t, size, hashes)
+                values = shingle_set(t, size)
                 digest = np.frombuffer(xxhash.xxh3_128_digest(values.tobytes()), "<i8")
                 tokens = minwise(values)
                 parity = (tokens * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint64)
@@ -87,9 +89,8 @@ def shingle_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
     @F.pandas_udf("binary")
     def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hashes = Hashes()
         for texts in batches:
-            yield pd.Series([shingle_set(t, size, hashes).tobytes() for t in texts])
+            yield pd.Series([shingle_set(t, size).tobytes() for t in texts])
 
     return docs.select(F.col(key).alias("rec"), packed.asNondeterministic()(F.col(text)).alias("set"))
 
@@ -106,24 +107,47 @@ def shared_shingles(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([shared(a, b) for a, b in zip(left, right, strict=True)], dtype="int64")
 
 
-def _possible(a: str, b: str, percent: int) -> F.Column:
+def _possible(a: str, b: str, percent: int) -> Column:
     """Size bound and bit sketch of a pair whose sides are the struct columns ``a`` and ``b``."""
     na, nb = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
     bits = F.bit_count(F.col(f"{a}.sketch").bitwiseXOR(F.col(f"{b}.sketch")))
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (bits <= BITS)
 
 
-def verified(pairs: DataFrame, records: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``) whose full sets reach the threshold."""
-    narrow = F.struct("n_shingles", "sketch")
-    left = records.select(F.col("rec").alias("a"), narrow.alias("l"))
-    right = records.select(F.col("rec").alias("b"), narrow.alias("r"))
-    near = pairs.join(left, "a").join(right, "b").filter(_possible("l", "r", percent)).select("a", "b", "l.n_shingles", F.col("r.n_shingles").alias("m"))
-    near = near.join(sets.select(F.col("rec").alias("a"), F.col("set").alias("sa")), "a")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (``a``, ``b``, sizes ``na``, ``nb``) whose full sets reach the threshold."""
+    near = pairs.join(sets.select(F.col("rec").alias("a"), F.col("set").alias("sa")), "a")
     near = near.join(sets.select(F.col("rec").alias("b"), F.col("set").alias("sb")), "b")
     shared = near.withColumn("shared", shared_shingles.asNondeterministic()("sa", "sb"))
-    both = F.col("n_shingles") + F.col("m") - F.col("shared")
-    return shared.filter(100 * F.col("shared") >= percent * both).select("a", "b")
+    return shared.filter(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+
+
+def spanning_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links that join the components of a group: full sets, all pairs of different components.
+
+    Shingles that two or more members share become bits; a member is compared with those after it
+    that are not yet in its component.
+    """
+    group = group.drop_duplicates(["rec", "set"], ignore_index=True)
+    sets = [np.frombuffer(x, np.uint64) for x in group["set"]]
+    sizes = np.array([len(x) for x in sets])
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    common = count[place] > 1
+    bit = (np.cumsum(count > 1) - 1)[place[common]]
+    bits = np.zeros((len(sets), int((count > 1).sum()) // 64 + 1), np.uint64)
+    np.bitwise_or.at(bits, (row[common], bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    component, links = np.arange(len(sets)), []
+    for i in range(len(sets)):
+        others = i + 1 + np.flatnonzero(component[i + 1 :] != component[i])
+        others = others[100 * np.minimum(sizes[i], sizes[others]) >= percent * np.maximum(sizes[i], sizes[others])]
+        shared = np.bitwise_count(bits[i] & bits[others]).sum(axis=1, dtype=np.int64)
+        near = others[100 * shared >= percent * (sizes[i] + sizes[others] - shared)]
+        joined, first = np.unique(component[near], return_index=True)
+        links += [(i, k) for k in near[first]]
+        component[np.isin(component, joined)] = component[i]
+    left, right = np.array(links, np.int64).reshape(-1, 2).T
+    return pd.DataFrame({"a": group["rec"].to_numpy()[left], "b": group["rec"].to_numpy()[right]})
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -156,8 +180,8 @@ def _mapped(rows: DataFrame, column: str, labels: DataFrame) -> DataFrame:
 
 
 def _grouped(rows: DataFrame, name: str) -> DataFrame:
-    """Members of the nodes that two or more records reach, with size and smallest member."""
-    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("rec").alias("pivot")).filter("size > 1")
+    """Members of the nodes that two or more records reach, with the size of the node."""
+    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("total")).filter("size > 1")
     return stored(rows.join(sizes, "node"), name)
 
 
@@ -168,51 +192,54 @@ def _children(rows: DataFrame, records: DataFrame) -> DataFrame:
     second = F.pmod(first + 1 + F.pmod(draw("second"), F.lit(COORDINATES - 1)), F.lit(COORDINATES))
     twice = F.pmod(draw("branches"), F.lit(1000)) < int(1000 * SECOND_BRANCH)
     chosen = F.when(twice, F.array(first, second)).otherwise(F.array(first)).cast("array<int>")
-    tokens = records.select("rec", "coords")
-    exploded = rows.select("node", "rec", "n_shingles", "sketch", F.explode(chosen).alias("c")).join(tokens, "rec")
-    return exploded.select(
-        F.xxhash64("node", "c", F.element_at("coords", F.col("c") + 1)).alias("node"), "rec", "n_shingles", "sketch"
+    joined = rows.select("node", "rec", "n_shingles", "sketch", chosen.alias("chosen")).join(records.select("rec", "coords"), "rec")
+    return joined.select(
+        F.explode(F.transform("chosen", lambda c: F.xxhash64("node", c, F.get("coords", c)))).alias("node"), "rec", "n_shingles", "sketch"
     )
 
 
-def similar_components(records: DataFrame, members: DataFrame, text: str, size: int, percent: int, recall: float) -> DataFrame:
-    """``rec`` and ``root`` of all records that a link joins to a smaller one.
+def leaves(records: DataFrame, trees: int) -> DataFrame:
+    """``node``, ``rec``, ``n_shingles``, ``sketch``, ``size``, ``total`` of the nodes where branching ends."""
+    node = F.explode(F.transform(F.slice("coords", 1, trees), lambda c, i: F.xxhash64(i, c)))
+    rows = _grouped(records.select("rec", "n_shingles", "sketch", node.alias("node")), "nodes")
+    done = rows.filter(F.col("size") <= CAPACITY)
+    for _ in range(MAX_DEPTH - 1):
+        rows = rows.filter(F.col("size") > CAPACITY)
+        if rows.isEmpty():
+            return done
+        rows = _grouped(_children(rows, records), "nodes")
+        done = done.unionByName(rows.filter(F.col("size") <= CAPACITY))
+    return done.unionByName(rows.filter(F.col("size") > CAPACITY))
+
+
+def similar_links(records: DataFrame, members: DataFrame, size: int, percent: int, recall: float) -> DataFrame:
+    """Links (``a``, ``b``) that join all components of similar records.
 
     ``records`` are class representatives (``rec``, ``n_shingles``, ``sketch``, ``coords``); ``members``
-    holds their texts under ``rec``.
+    holds texts under ``rec``. Pairs of small nodes are made distinct over the trees and confirmed one
+    by one. Members of larger nodes that have a possible partner there go to one task a node, or one
+    for each two blocks of a node, and come back as a spanning forest.
     """
-    trees = trees_for(recall, percent / 100)
-    node = F.explode(F.transform(F.slice("coords", 1, trees), lambda c, i: F.xxhash64(i, c)))
-    rows = _grouped(records.select("rec", "n_shingles", "sketch", node.alias("node")), "nodes")
-    met = rows.select("rec").distinct()
-    sets = stored(shingle_sets(members.join(met.hint("shuffle_hash"), "rec", "left_semi"), "rec", text, size), "sets")
-    labels, left, depth = None, None, 1
-    while True:
-        stars = rows.filter("rec <> pivot").select(F.col("pivot").alias("a"), F.col("rec").alias("b"))
-        pairs = (stars if left is None else stars.unionByName(left)).distinct()
-        links = stored(verified(pairs, records, sets, percent), "links")
-        if labels is None:
-            labels = contracted(links)
-        else:
-            more = contracted(_mapped(_mapped(links, "a", labels), "b", labels))
-            labels = stored(_mapped(labels, "root", more).unionByName(more), "labels")
-        rooted = _mapped(rows.filter("size > 2").select("node", "rec", "n_shingles", "sketch", F.col("rec").alias("root")), "root", labels)
-        counts = rooted.groupBy("node", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("node")
-        mixed = counts.agg(F.sum("n").alias("total"), F.max(F.struct("n", "root")).alias("major")).filter("total > major.n")
-        small = (F.col("total") - F.col("major.n") <= SMALL) | F.lit(depth >= MAX_DEPTH)
-        mixed = mixed.select("node", F.col("major.root").alias("major"), small.alias("small"))
-        open_rows = stored(rooted.join(mixed, "node"), "mixed")
-        if open_rows.isEmpty():
-            return labels
-        side = F.struct("rec", "root", "n_shingles", "sketch")
-        minor = open_rows.filter("small AND root <> major").select("node", side.alias("l"))
-        every = open_rows.filter("small").select("node", side.alias("r"))
-        near = minor.join(every, "node").filter((F.col("l.root") != F.col("r.root")) & _possible("l", "r", percent))
-        left = stored(near.select(F.least("l.rec", "r.rec").alias("a"), F.greatest("l.rec", "r.rec").alias("b")).distinct(), "pairs")
-        rows = _grouped(_children(open_rows.filter("NOT small"), records), "nodes")
-        if left.isEmpty() and rows.isEmpty():
-            return labels
-        depth += 1
+    nodes = leaves(records, trees_for(recall, percent / 100))
+    side = F.struct("rec", "n_shingles", "sketch")
+    small = nodes.filter(F.col("size") <= PAIRED).select("node", side.alias("l"))
+    met = small.join(small.withColumnRenamed("l", "r"), "node").filter((F.col("l.rec") < F.col("r.rec")) & _possible("l", "r", percent))
+    pairs = stored(met.select(F.col("l.rec").alias("a"), F.col("r.rec").alias("b"), F.col("l.n_shingles").alias("na"), F.col("r.n_shingles").alias("nb")).distinct(), "pairs")
+    large = nodes.filter(F.col("size") > PAIRED).select("node", "size", "total", side.alias("l"))
+    partner = large.select(F.col("node").alias("p_node"), F.col("l").alias("r"))
+    active = (F.col("node") == F.col("p_node")) & (F.col("l.rec") != F.col("r.rec")) & _possible("l", "r", percent)
+    active_rows = stored(large.join(partner, active, "left_semi").select("node", "size", "total", "l.rec"), "active")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("rec")).union(active_rows.select("rec")).distinct()
+    sets = stored(shingle_sets(members.join(needed.hint("shuffle_hash"), "rec", "left_semi"), "rec", "text", size), "sets")
+    links = verified(pairs, sets, percent)
+    blocks = F.greatest(F.ceil(F.col("size") / CAPACITY), F.ceil(8 * F.col("total") / BLOCK_BYTES)).cast("int")
+    own = F.pmod(F.xxhash64("rec"), blocks).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = active_rows.withColumn("blocks", blocks).withColumn("own", own).select("node", "rec", "own", other.alias("other"))
+    dealt = dealt.select("node", "rec", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("k"))
+    kind = records.schema["rec"].dataType.simpleString()
+    compared = dealt.join(sets, "rec").groupBy("node", "i", "k").applyInPandas(lambda g: spanning_links(g, percent), f"a {kind}, b {kind}")
+    return stored(links.union(compared), "links")
 
 
 def near_duplicates(
@@ -229,12 +256,10 @@ def near_duplicates(
     least ``percent`` / 100, confirmed on the full sets; ``component_id`` is the smallest key reachable
     over links. Words are runs of bytes other than ASCII white space, with A-Z lower-cased.
 
-    Equal sets are one class with one representative, so copies never meet in pairs. Inside a node
-    all members are compared with its smallest one; members outside the largest known
-    component (up to 50) are compared with all, others branch on; at the last depth every rest is
-    compared, so no node is dropped. Node members are counted before they are joined, sets are
-    read once more for records that met any other, and every step is a written table below the
-    shared folder. ``recall`` sets the number of trees for a pair at the very threshold.
+    Equal sets are one class with one representative, so copies never meet. Node members are counted
+    before they are joined, sets are read once more for records that have a possible partner, and
+    every step is a written table below the shared folder. No node is dropped: see
+    :func:`similar_links`. ``recall`` sets the number of trees for a pair at the very threshold.
 
     Texts that are null or have no word have no set and are linked with nothing. Texts of fewer
     words than a shingle are one shingle. Whole texts are used at any length. Repeated rows get
@@ -249,7 +274,7 @@ def near_duplicates(
     records = stored(
         filled.join(classes.drop("copies"), ["rec", "k1", "k2"], "left_semi").select("rec", "n_shingles", "sketch", "coords"), "records"
     )
-    labels = similar_components(records, base, "text", size, percent, recall)
+    labels = contracted(similar_links(records, base, size, percent, recall))
     of_class = classes.join(labels, "rec", "left").filter("copies > 1 OR root IS NOT NULL")
     of_class = of_class.select("k1", "k2", F.coalesce("root", "rec").alias("component_id"))
     joined = rows.select("rec", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2"], "left")
@@ -257,3 +282,18 @@ def near_duplicates(
     return joined.select(
         F.col("rec").alias(key), "n_shingles", component.alias("component_id"), F.col("rec").eqNullSafe(component).alias("kept")
     )
+
+
+def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` whose key is the smallest of their group of near duplicates.
+
+    Of rows that repeat a key and its text, one stays. Rows with a null key, or without a word, stay.
+    """
+    rows = near_duplicates(docs, key, text, **settings)
+    dropped = rows.filter(~F.col("kept")).select(key).distinct()
+    left = docs.join(dropped, key, "left_anti")
+    again = stored(docs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key), "repeats")
+    if again.isEmpty():
+        return left
+    once = left.join(again, key, "left_semi").dropDuplicates([key, text])
+    return left.join(again, key, "left_anti").unionByName(once)

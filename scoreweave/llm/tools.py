@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,21 +50,31 @@ def alnum_words(text: bytes) -> list[bytes]:
     return text.translate(ALNUM).split()
 
 
-class Hashes(dict):
-    """Cache of 64-bit word hashes; emptied when it holds ``limit`` words."""
+_LETTER = np.random.default_rng(20240601).integers(1, 1 << 63, 1 << 12, dtype=np.uint64) | np.uint64(1)
 
-    limit = 400_000
 
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 32:
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = value
-        return value
+def word_hashes(text: bytes, table: bytes) -> np.ndarray:
+    """64-bit hash of every word of a text, all at once.
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    ``table`` lower-cases letters and makes separators white space. A word's hash is the sum of its
+    bytes, each times a random number of its place, mixed with the length.
+    """
+    out, start = [], 0
+    text = text.translate(table)
+    while start < len(text):
+        stop = text.find(b" ", start + (1 << 20)) + 1 or len(text)
+        data = np.frombuffer(text[start:stop], np.uint8)
+        start = stop
+        inside = (data != 32) & ((data < 9) | (data > 13))
+        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        sizes = edges[1::2] - edges[::2]
+        if len(sizes):
+            first = np.cumsum(sizes) - sizes
+            letters = data[inside].astype(np.uint64) + np.uint64(1)
+            place = np.arange(len(letters)) - np.repeat(first, sizes)
+            total = np.add.reduceat(letters * (_LETTER[place & 4095] + (place >> 12).astype(np.uint64)), first)
+            out.append(mixed(total + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def mixed(values: np.ndarray) -> np.ndarray:

@@ -98,3 +98,45 @@ def test_given_table(spark):
 def test_trees_reach_the_recall():
     assert neardup.trees_for(0.9999) >= 12
     assert neardup.trees_for(0.9, 0.95) < neardup.trees_for(0.9999, 0.95)
+
+
+def test_branching_and_blocks_lose_nothing(spark, monkeypatch):
+    """Tiny limits, so that nodes branch, go to tasks, and are compared in several blocks."""
+    for name, value in (("PAIRED", 3), ("CAPACITY", 12), ("MAX_DEPTH", 2), ("BLOCK_BYTES", 4000)):
+        monkeypatch.setattr(neardup, name, value)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+    rows = [(i, edited(base, rng, rng.choice([0.005, 0.02, 0.05]))) for i in range(150)]
+    rows += [(500 + i, " ".join([*base[:30], *[f"x{rng.randrange(10**6)}" for _ in range(60)]])) for i in range(60)]
+    check(spark, rows)
+
+
+def test_spanning_links_join_all_components():
+    import numpy as np
+    import pandas as pd
+
+    rng = random.Random(3)
+    sets = []
+    for _ in range(60):
+        own = set(rng.sample(range(40), 30))
+        sets += [own, own | {100 + rng.randrange(9)}, own - {rng.choice(sorted(own))}]
+    packed = [np.array(sorted(s), np.uint64).tobytes() for s in sets]
+    links = neardup.spanning_links(pd.DataFrame({"rec": range(len(sets)), "set": packed}), 80)
+    root = list(range(len(sets)))
+    full = list(range(len(sets)))
+
+    def joined(to, a, b):
+        x, y = to[a], to[b]
+        for i, r in enumerate(to):
+            if r == x:
+                to[i] = y
+
+    for a, b in zip(links["a"], links["b"], strict=True):
+        assert 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+        joined(root, a, b)
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                joined(full, a, b)
+    same = lambda to: {tuple(i for i, r in enumerate(to) if r == x) for x in set(to)}
+    assert same(root) == same(full) and len(links) < len(sets)
