@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tools import Hashes, alnum_words, shingle_hashes, stored
+from .tools import ALNUM, alnum_words, shingle_hashes, stored, word_hashes
 
 SHINGLE = 3
 # Bits of the filter that spares the shuffle shingles no item has. Its size is fixed: with more items it
@@ -33,12 +33,11 @@ def item_windows(items: DataFrame, item: str, text: str, window: int) -> DataFra
 
     @F.pandas_udf("array<struct<words: string, length: int, hashes: array<long>>>")
     def windows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hashes = Hashes()
         for texts in batches:
             out = []
             for t in texts:
                 words = alnum_words((t or "").encode())
-                own = hashes.of(words)
+                own = word_hashes((t or "").encode(), ALNUM)
                 length = min(window, len(words))
                 out.append(
                     [
@@ -79,11 +78,10 @@ def shingle_frequencies(docs: DataFrame, text: str, bits: np.ndarray, sizes: lis
     shipped = docs.sparkSession.sparkContext.broadcast(bits)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Hashes()
         for batch in batches:
             found = []
             for t in batch["text"]:
-                own = hashes.of(alnum_words((t or "").encode()))
+                own = word_hashes((t or "").encode(), ALNUM)
                 for values in _kinds(own, sizes):
                     found.append(values[_passed(shipped.value, values)])
             values, n = np.unique(np.concatenate(found or [np.empty(0, np.uint64)]), return_counts=True)
@@ -103,19 +101,19 @@ def candidates(docs: DataFrame, text: str, bits: np.ndarray, sizes: list[int], w
 
     @F.pandas_udf("n_words long, found array<struct<place: int, hash: long, before: int, around: string>>")
     def marked(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hashes = Hashes()
         for texts in batches:
             rows = []
             for t in texts:
-                words = alnum_words((t or "").encode())
-                own = hashes.of(words)
+                own = word_hashes((t or "").encode(), ALNUM)
+                kinds = [(values, _passed(shipped.value, values)) for values in _kinds(own, sizes)]
+                words = alnum_words(t.encode()) if any(len(places) for _, places in kinds) else []
                 found = []
-                for values in _kinds(own, sizes):
-                    for i in _passed(shipped.value, values).tolist():
+                for values, places in kinds:
+                    for i in places.tolist():
                         start = max(0, i - window)
                         around = b" ".join(words[start : i + window]).decode()
                         found.append({"place": i, "hash": int(values[i].view(np.int64)), "before": i - start, "around": around})
-                rows.append((len(words), found))
+                rows.append((len(own), found))
             yield pd.DataFrame(rows, columns=["n_words", "found"])
 
     return docs.withColumn("m", marked.asNondeterministic()(F.col(text)))
@@ -205,3 +203,10 @@ def _covered(hits: DataFrame) -> DataFrame:
         """,
         view=view,
     )
+
+
+def without_items(docs: DataFrame, items: DataFrame, text: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` that hold no window of an item; see :func:`contamination`."""
+    keyed = docs.withColumn("_text_key", F.sha2(F.coalesce(text, F.lit("")), 256))
+    found = contamination(keyed.select("_text_key", text), items, "_text_key", text, **settings)
+    return keyed.join(found.filter("contaminated").select("_text_key").distinct(), "_text_key", "left_anti").drop("_text_key")

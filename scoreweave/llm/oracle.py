@@ -1,5 +1,170 @@
-"""Expected results of the text queries as DuckDB SQL, where SQL can express them."""
+"""Expected results of the text queries as DuckDB SQL, where SQL can express them.
+
+Not expressed: byte-pair merges (op1, op5), trained models (op7, op8, op9) and canonical JSON with schema
+checks (op10); their tests compare them with brute-force versions.
+"""
 
 from __future__ import annotations
 
+from . import links, quality
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STATEMENTS: dict[str, str] = {}
+
+_RATIO = " UNION ALL ".join(
+    f"SELECT doc_id, lang, source, '{m}' AS metric, CAST({ratio.split(' / ')[0]} AS DOUBLE) / {ratio.split(' / ')[1]} AS x, CAST({slack} AS DOUBLE) AS slack FROM measured WHERE NOT base_failed"
+    for m, (ratio, slack) in quality.METRICS.items()
+)
+
+STATEMENTS["op2_quality_rules"] = rf"""
+WITH base AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t,
+    [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w,
+    [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, list_slice(w, i, i + 7) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM base)
+), twice AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1
+), inside AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, unnest(range(8)) AS k FROM twice) GROUP BY doc_id
+), counted AS (
+  SELECT b.doc_id, lang, source, len(w) AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM base b LEFT JOIN inside i ON b.doc_id = i.doc_id
+), measured AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted
+), ratios AS ({_RATIO}), buckets AS (
+  SELECT lang, source, metric, slack, CASE WHEN x > 0 THEN CAST(ceil(ln(x) / ln({quality.GAMMA})) AS BIGINT) ELSE -1048576 END AS bucket,
+    count(*) AS n FROM ratios GROUP BY ALL
+), merged AS (
+  SELECT metric, slack, bucket, lang, source, 2 * grouping(lang) + grouping(source) AS level, sum(n) AS n
+  FROM buckets GROUP BY GROUPING SETS ((metric, slack, bucket, lang, source), (metric, slack, bucket, lang), (metric, slack, bucket))
+), summed AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS upto,
+    sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM merged
+), quartiles AS (
+  SELECT level, lang, source, metric, slack, max(total) AS total, min(CASE WHEN 4 * upto >= total THEN bucket END) AS b1,
+    min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS b3 FROM summed GROUP BY level, lang, source, metric, slack
+), valued AS (
+  SELECT *, CASE WHEN b1 > -1048576 THEN 2 * pow({quality.GAMMA}, b1) / (1 + {quality.GAMMA}) ELSE 0 END AS q1,
+    CASE WHEN b3 > -1048576 THEN 2 * pow({quality.GAMMA}, b3) / (1 + {quality.GAMMA}) ELSE 0 END AS q3 FROM quartiles
+), fences AS (
+  SELECT level, lang, source, metric, total, q1 - greatest({quality.FENCE} * (q3 - q1), slack) AS low,
+    q3 + greatest({quality.FENCE} * (q3 - q1), slack) AS high FROM valued
+), chosen AS (
+  SELECT o.lang, o.source, o.metric,
+    CASE WHEN o.total >= {quality.MIN_ROWS} THEN o.low WHEN g.total >= {quality.MIN_ROWS} THEN g.low ELSE a.low END AS low,
+    CASE WHEN o.total >= {quality.MIN_ROWS} THEN o.high WHEN g.total >= {quality.MIN_ROWS} THEN g.high ELSE a.high END AS high
+  FROM fences o JOIN fences g ON g.level = 1 AND g.metric = o.metric AND g.lang IS NOT DISTINCT FROM o.lang
+  JOIN fences a ON a.level = 3 AND a.metric = o.metric WHERE o.level = 0
+), broken AS (
+  SELECT DISTINCT r.doc_id FROM ratios r JOIN chosen c
+  ON c.metric = r.metric AND c.lang IS NOT DISTINCT FROM r.lang AND c.source IS NOT DISTINCT FROM r.source WHERE x < low OR x > high
+)
+SELECT m.doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND b.doc_id IS NULL AS kept
+FROM measured m LEFT JOIN broken b ON b.doc_id = m.doc_id
+"""
+
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+STATEMENTS["op3_decontamination"] = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), {_ALNUM}) AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), {_ALNUM}) AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, list_slice(w, i, i + least(10, len(w)) - 1) AS s
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)
+), places AS (
+  SELECT doc_id, n, i, list_slice(w, i, i + n - 1) AS s
+  FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT n FROM windows))
+), hits AS (
+  SELECT doc_id, i, places.n AS n, item_id FROM places JOIN windows ON places.s = windows.s
+), hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN named ON named.doc_id = d.doc_id
+"""
+
+STATEMENTS["op4_near_duplicates"] = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(list_distinct([list_slice(w, i, i + least(4, len(w)) - 1) FOR i IN range(1, greatest(len(w) - 3, 1) + 1)])) AS s
+  FROM w WHERE len(w) > 0
+), classes AS (
+  SELECT min(doc_id) AS rec, len(s) AS n, s FROM sets GROUP BY s
+), tokens AS (
+  SELECT rec, n, unnest(s) AS x FROM classes
+), links AS (
+  SELECT l.rec AS a, r.rec AS b FROM tokens l JOIN tokens r ON l.x = r.x AND l.rec < r.rec
+  GROUP BY l.rec, r.rec, l.n, r.n HAVING 100 * count(*) >= 80 * (l.n + r.n - count(*))
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT a AS v, b AS u FROM edges UNION SELECT r.v, e.b FROM reach r JOIN edges e ON r.u = e.a
+), roots AS (
+  SELECT v, least(v, min(u)) AS root FROM reach GROUP BY v
+), found AS (
+  SELECT s.doc_id, len(s.s) AS n, coalesce(root, c.rec) AS component
+  FROM sets s JOIN classes c ON s.s = c.s LEFT JOIN roots ON roots.v = c.rec
+)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, w.doc_id) AS component_id, w.doc_id = coalesce(component, w.doc_id) AS kept
+FROM w LEFT JOIN found ON found.doc_id = w.doc_id
+"""
+
+_FITS = " ".join(
+    f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{start}') THEN '{name}{start}'"
+    for _, name, start in sorted(links.RULES, key=lambda r: -len(r[1] + r[2]))
+)
+_BLOCKS = ", ".join(f"'{name}{start}'" for verdict, name, start in links.RULES if verdict == "block")
+
+
+def _walks(rounds: int) -> str:
+    """Both walks, one step a common table expression."""
+    steps = ["s0 AS MATERIALIZED (SELECT walk, host, seed AS score FROM base)"]
+    for i in range(1, rounds + 1):
+        steps.append(
+            f"s{i} AS MATERIALIZED (SELECT walk, host, sum(part) AS score FROM (SELECT walk, host, {1 - links.DAMPING} * seed AS part FROM base UNION ALL "
+            f"SELECT m.walk, m.dest, {links.DAMPING} * s.score * m.share FROM s{i - 1} s JOIN moves m ON m.walk = s.walk AND m.origin = s.host) GROUP BY walk, host)"
+        )
+    return ", ".join(steps)
+
+
+STATEMENTS["op6_url_filters"] = rf"""
+WITH p AS (
+  SELECT page_id, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), ruled AS (
+  SELECT *, CASE {_FITS} END AS rule FROM p
+), addresses AS (
+  SELECT host AS src, unnest(regexp_extract_all(html, '(?i)href\s*=\s*[\x22'']?\s*(https?://[^\x22''\s<>]+)', 1)) AS address FROM p WHERE host <> ''
+), edges AS (
+  SELECT src, dst, count(*) AS n FROM (
+    SELECT src, translate(regexp_extract(address, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS dst FROM addresses
+  ) WHERE dst <> '' AND src <> dst GROUP BY src, dst
+), moves AS (
+  SELECT 'trust' AS walk, src AS origin, dst AS dest, n / sum(n) OVER (PARTITION BY src) AS share FROM edges
+  UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM edges
+), seeds AS (
+  SELECT CASE WHEN rule IN ({_BLOCKS}) THEN 'distrust' ELSE 'trust' END AS walk, host, count(*) AS n
+  FROM ruled WHERE rule IS NOT NULL AND host <> '' GROUP BY ALL
+), base AS (
+  SELECT walk, host, n / sum(n) OVER (PARTITION BY walk) AS seed FROM seeds
+), {_walks(30)}, scores AS (
+  SELECT host, sum(CASE WHEN walk = 'trust' THEN score ELSE 0 END) AS trust, sum(CASE WHEN walk = 'distrust' THEN score ELSE 0 END) AS distrust
+  FROM s30 GROUP BY host
+)
+SELECT page_id, r.host AS host, path, rule, CASE WHEN rule IN ({_BLOCKS}) THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+  WHEN coalesce(distrust, 0) > {links.THRESHOLD} AND distrust > trust THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled r LEFT JOIN scores ON scores.host = r.host
+"""
