@@ -76,13 +76,26 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The carried words (at most ``CARRIED``) and the totals of a table of counts."""
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    end = counts.filter(F.col("word") == END).collect()
-    top = counts.filter(F.col("word") != END).orderBy(F.desc("c"), "word").limit(CARRIED - 1).collect()
-    words = [END, *[r["word"] for r in top]]
-    known = np.array([end[0]["c"] if end else 0, *[r["c"] for r in top]], np.int64)
-    return Vocabulary(words, known, min(SYMBOLS, len(words)), total["n"], total["v"])
+    """The carried words (at most ``CARRIED``) and the totals of a table of counts.
+
+    A histogram of the counts in steps of one per cent (some thousand rows) says from which count on
+    the words fit the bound; only those are fetched.
+    """
+    bucket = F.floor(F.log(F.col("c")) / F.log(F.lit(1.01))).cast("int")
+    sizes = counts.groupBy(bucket.alias("b")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
+    least, held = 1 << 30, 1
+    for row in sorted(sizes, key=lambda r: -r["b"]):
+        held += row["v"]
+        if held > CARRIED:
+            break
+        least = row["b"]
+    fetched = counts.filter((bucket >= least) | (F.col("word") == END)).collect()
+    known = sorted((r["word"] != END, -r["c"], r["word"]) for r in fetched)
+    if not known or known[0][0]:
+        known.insert(0, (False, 0, END))
+    words = [w for _, _, w in known]
+    own = np.array([-c for _, c, _ in known], np.int64)
+    return Vocabulary(words, own, min(SYMBOLS, len(words)), sum(r["n"] for r in sizes), sum(r["v"] for r in sizes))
 
 
 class Reader:
