@@ -280,7 +280,8 @@ def statements() -> dict[str, str]:
         "sk_id_curr target name_contract_type bureau_cnt bureau_active_cnt bureau_overdue_cnt "
         "bureau_overdue_days_max bureau_days_credit_recent"
     )
-    add("agg_left_join_wide", _rounded("SELECT * FROM wide", _cols(wide_plain, wide_doubles)))
+    for name in ("agg_left_join_wide", "loaded_model_table"):
+        add(name, _rounded("SELECT * FROM wide", _cols(wide_plain, wide_doubles)))
     add(
         "child_aggregate",
         _rounded(

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixtures
 from ..functions.columns import ID, RAW_COLUMNS, TARGET
@@ -24,7 +26,9 @@ from ..operators import (
     wide,
     woe,
 )
-from ..session import apply_settings
+from ..session import apply_settings, shared_table_path, written
+from ..sources import load
+from ..sources.contract import APPLICATION, BUREAU
 from . import frozen
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +38,8 @@ PAIRED = ["target", "amt_income_total", "amt_credit", "days_birth", "ext_source_
 AMOUNTS = ["amt_credit_sum", "amt_credit_sum_debt"]
 GRID = [i * 0.01 for i in range(31)]
 BOOTSTRAP_DRAWS = 20
+# The credit-record contract with a key wide enough for numbers that Spark assigns.
+WIDE_KEY_BUREAU = replace(BUREAU, columns=(("sk_id_bureau", T.LongType()), *BUREAU.columns[1:]))
 
 
 def query(run: Query) -> Query:
@@ -84,7 +90,7 @@ def part(df: DataFrame, name: str) -> DataFrame:
 def train_fit(spark: SparkSession, sf: str):
     """Features of every row, features of the training part, edges."""
     table = parted_table(spark, sf)
-    train = business_features(part(table, "train"), (ID, TARGET)).persist()
+    train = written(business_features(part(table, "train"), (ID, TARGET)), "train-features")
     spec = binning.fit_bins(train, FEATURES)
     return business_features(table, (ID, TARGET, "partition")), train, spec
 
@@ -97,6 +103,27 @@ def agg_left_join_wide(spark, sf):
     return rounded(model_table(spark, sf))
 
 
+@query
+def loaded_model_table(spark, sf):
+    """Both sources as text files, loaded through contract, staging, checks and publication.
+
+    Child keys are numbered through all records, because the contract wants them unique.
+    """
+    folder = shared_table_path(spark, "source-text")
+    parents = fixtures.application(spark, sf).withColumns(
+        {"code_gender": F.lit("F"), **{c: F.col(c).cast("int") for c in ("days_birth", "days_employed")}}
+    )
+    children = fixtures.bureau(spark, sf).withColumn("sk_id_bureau", F.monotonically_increasing_id())
+    for contract, df in ((APPLICATION, parents), (WIDE_KEY_BUREAU, children)):
+        df.select(*contract.names).write.option("header", True).csv(f"{folder}/{contract.file_name}")
+    house = load.Warehouse(f"{folder}/house")
+    load.load_tables(spark, folder, house, "query", (APPLICATION, WIDE_KEY_BUREAU))
+    stored = load.read_table(spark, house, "model_input", "query").drop("code_gender")
+    doubles = {f.name: F.col(f.name).cast("double") for f in stored.schema.fields if f.dataType.typeName() == "decimal"}
+    days = {c: F.col(c).cast("double") for c in ("days_birth", "days_employed")}
+    return rounded(stored.withColumns({**doubles, **days}).select(*model_table(spark, sf).columns))
+
+
 @query
 def child_aggregate(spark, sf):
     return rounded(wide.aggregate_children(fixtures.bureau(spark, sf)))
@@ -237,14 +264,12 @@ def quality_counts(spark, sf):
 @query
 def bin_edges(spark, sf):
     _, train, spec = train_fit(spark, sf)
-    train.unpersist()
     return rounded(spec.edge_table(spark))
 
 
 @query
 def bin_labels(spark, sf):
     everything, train, spec = train_fit(spark, sf)
-    train.unpersist()
     return binning.apply_bins(part(everything, "valid").drop(TARGET), spec)
 
 
@@ -286,7 +311,6 @@ def candidate_features(spark, sf):
 def woe_apply(spark, sf):
     everything, train, spec = train_fit(spark, sf)
     model = woe.fit_woe(train, spec)
-    train.unpersist()
     return rounded(woe.apply_woe(part(everything, "valid"), spec, model))
 
 
@@ -299,7 +323,6 @@ def unknown_bins(spark, sf):
 def encoded_selection_log(spark, sf):
     _, train, spec = train_fit(spark, sf)
     log = woe.select_encoded(train, spec, woe.fit_woe(train, spec))
-    train.unpersist()
     rows = [(r["feature"], round(r["iv"], 6), r["selection_reason"]) for r in log]
     return spark.createDataFrame(rows, "feature string, iv double, selection_reason string")
 

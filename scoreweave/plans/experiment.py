@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from hashlib import sha256
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from ..models.logistic import fit_logistic
 from ..models.platt import PlattModel, fit_platt
 from ..models.trees import fit_trees
 from ..operators import calibration, compare, ranking, split
+from ..session import written
+from ..sources import files, runs
 from . import scoring
 
 LOGISTIC, TREES = "logistic", "trees"
@@ -124,8 +127,21 @@ def run_experiment(
     return Experiment(models, calibrators, records, scheme)
 
 
-def final_evaluation(table: DataFrame, membership: DataFrame, experiment: Experiment) -> dict[str, DataFrame]:
-    """Apply the frozen chain to the test part: capability, strategy, reliability, rows."""
+def final_evaluation(
+    table: DataFrame,
+    membership: DataFrame,
+    experiment: Experiment,
+    digests: DataFrame | None = None,
+    manifest: DataFrame | None = None,
+    openings: str | None = None,
+) -> dict[str, DataFrame]:
+    """Apply the frozen chain to the test part: capability, strategy, reliability, rows.
+
+    With a ``manifest`` (``name``, ``digest``) the found ``digests`` must match it before any row is
+    scored; with ``openings`` (a path) the opening of the test part is logged.
+    """
+    if manifest is not None:
+        files.require_frozen(digests, manifest)
     overlap = membership.groupBy(ID).agg(F.count_distinct("partition").alias("n")).filter(F.col("n") > 1)
     if not overlap.isEmpty():
         raise guards.GateError("the test part overlaps another part")
@@ -134,7 +150,12 @@ def final_evaluation(table: DataFrame, membership: DataFrame, experiment: Experi
     scored = scoring.raw_probability(test, experiment.models[s.model], (ID, TARGET))
     if s.version == CALIBRATED:
         scored = scored.withColumn("p", experiment.calibrators[s.model].apply("p"))
-    scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
+    scored = written(scored, "test-scores")
+    if openings is not None:
+        mark = F.sum(F.xxhash64(ID, "p").cast("decimal(38,0)"))
+        row = scored.agg(F.count("*").alias("n"), mark.alias("mark")).first()
+        frozen = manifest.agg(F.array_join(F.array_sort(F.collect_list("digest")), ",").alias("d")).first()["d"] if manifest is not None else ""
+        runs.append_opening(table.sparkSession, openings, sha256(frozen.encode()).hexdigest(), row["n"], str(row["mark"]))
     capability = ranking.probability_report(scored, TARGET, "p").select(F.lit(s.model).alias("model"), "*")
     if s.model != LOGISTIC:
         base = scoring.raw_probability(test, experiment.models[LOGISTIC], (ID, TARGET))

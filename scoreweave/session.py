@@ -43,6 +43,16 @@ def shared_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    The table cuts the lineage: a lost executor costs a re-read, not a second run of the plan.
+    """
+    path = shared_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # Generated methods above 8,000 bytes are never compiled by the JVM. With this limit
 # Spark falls back to split projections for the widest expressions, which are.
 SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}

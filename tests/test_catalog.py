@@ -13,7 +13,7 @@ ROWS_ONLY = {
     "gbt_contributions", "platt_fit", "monitor_summary",
 }
 QUICK = [
-    "agg_left_join_wide", "reconcile_key_mismatch", "linkage_counts", "missingness_class", "business_feature_table",
+    "agg_left_join_wide", "loaded_model_table", "reconcile_key_mismatch", "linkage_counts", "missingness_class", "business_feature_table",
     "bin_labels", "woe_table", "stratified_membership", "ranking_metrics_weighted", "probability_report",
     "calibration_bins", "policy_curve", "psi_summary", "batch_prediction", "top_reasons", "bootstrap_intervals",
     "contract_violations",

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoreweave.functions.columns import RAW_COLUMNS
+from scoreweave.functions.guards import GateError
 from scoreweave.functions.math import clipped_log_odds, sigmoid
 from scoreweave.functions.rules import business_features
 from scoreweave.models import logistic, platt, scorecard, trees
@@ -137,7 +138,7 @@ def test_platt_recovers_a_shift(spark):
     assert ends[0][0] == pytest.approx(-ends[1][0])
 
 
-def test_experiment_end_to_end(spark, raw_model_table):
+def test_experiment_end_to_end(spark, tmp_path, raw_model_table):
     parted = split.stratified_split(raw_model_table)
     member = split.membership(parted)
     run = experiment.run_experiment(raw_model_table, member, tree_options={"rounds": 2, "min_rows": 30})
@@ -148,10 +149,28 @@ def test_experiment_end_to_end(spark, raw_model_table):
     assert report["capability"].filter("auc > 0.6").count() >= 1
     assert report["predictions"].count() == 180
     assert report["reliability"].agg(F.sum("n_samples")).first()[0] == 180
+    frozen = spark.createDataFrame([("model", "1"), ("table", "2")], "name string, digest string")
+    with pytest.raises(GateError):
+        experiment.final_evaluation(raw_model_table, member, run, frozen.filter("name = 'model'"), frozen)
+    for n in (1, 2):
+        experiment.final_evaluation(raw_model_table, member, run, frozen, frozen, str(tmp_path / "openings"))
+        opened = spark.read.parquet(str(tmp_path / "openings"))
+        assert opened.count() == n and opened.select("predictions_digest").distinct().count() == 1
     with pytest.raises(ValueError):
         experiment.run_experiment(raw_model_table, member.limit(10))
 
 
+def test_failed_run_can_be_repeated(spark, tmp_path, raw_model_table, model):
+    monitor = monitoring.build_monitor(model, raw_model_table, VERSIONS)
+    path = str(tmp_path / "runs")
+    with pytest.raises(GateError):
+        monitoring.run_and_record(monitor, raw_model_table.limit(0), path, "r", "b")
+    monitoring.run_and_record(monitor, raw_model_table, path, "r", "b")
+    assert sorted(r["status"] for r in runs.run_table(spark, path).collect()) == ["done", "failed"]
+    with pytest.raises(ValueError):
+        monitoring.run_and_record(monitor, raw_model_table, path, "r", "b")
+
+
 def test_monitoring(spark, tmp_path, raw_model_table, model):
     rule = policy.ApprovalRule("threshold", 0.5)
     monitor = monitoring.build_monitor(model, raw_model_table, VERSIONS, rule)
