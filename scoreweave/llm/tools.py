@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..session import shared_table_path
+from ..session import written as stored
+
+__all__ = ["ALNUM", "LOWER", "alnum_words", "fold", "mixed", "shingle_hashes", "space_words", "stored", "word_hashes"]
 
 # The ASCII characters that lower-case, and the separators of two word rules.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -15,31 +17,12 @@ ALNUM = bytes(
 )
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the shared checkpoint folder and read it back.
-
-    The table cuts the lineage: a lost executor costs a re-read, not a second run of the plan.
-    """
-    path = shared_table_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold(key: Column | str, parts: int) -> Column:
     """Fold number of a row: CRC-32 of the key's text modulo ``parts``; null for a null key."""
     column = F.col(key) if isinstance(key, str) else key
     return F.crc32(column.cast("string")) % parts
 
 
-def ranked_fraction(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """About ``rows`` rows of ``df``, chosen by a hash of ``key``; all rows if there are fewer."""
-    total = df.count()
-    if total <= rows:
-        return df
-    share = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30))
-    return df.filter(share < int(rows / total * (1 << 30)))
-
-
 def space_words(text: bytes) -> list[bytes]:
     """Lower-cased (A-Z) runs of bytes other than space and 0x09-0x0D."""
     return text.translate(LOWER).split()
