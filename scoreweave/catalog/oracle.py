@@ -402,7 +402,7 @@ UNION ALL SELECT 'children_only', count(DISTINCT sk_id_curr) FROM bureau b WHERE
         "bin_labels",
         "SELECT sk_id_curr, "
         + ", ".join(f"max(CASE WHEN feature = '{f}' THEN bin END) AS {f}" for f in FEATURES)
-        + " FROM binned WHERE partition = 'valid' GROUP BY sk_id_curr",
+        + " FROM binned GROUP BY sk_id_curr",
     )
     add("bin_counts", "SELECT feature, bin, n_samples, n_bad FROM bin_n")
     woe_cols = _cols("feature bin n_samples n_bad n_good small_bin single_class_bin", "bad_rate bad_share good_share woe iv_component")
@@ -421,7 +421,7 @@ SELECT feature, bin, count(*) AS n_samples, CAST(sum(target) AS BIGINT) AS n_bad
         "woe_apply",
         "SELECT sk_id_curr, "
         + ", ".join(f"round(max(CASE WHEN b.feature = '{f}' THEN coalesce(w.woe, 0e0) END), 6) AS {f}" for f in FEATURES)
-        + " FROM binned b LEFT JOIN woe w ON b.feature = w.feature AND b.bin = w.bin WHERE b.partition = 'valid' GROUP BY sk_id_curr",
+        + " FROM binned b LEFT JOIN woe w ON b.feature = w.feature AND b.bin = w.bin GROUP BY sk_id_curr",
     )
     add(
         "unknown_bins",

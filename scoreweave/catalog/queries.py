@@ -270,7 +270,7 @@ def bin_edges(spark, sf):
 @query
 def bin_labels(spark, sf):
     everything, train, spec = train_fit(spark, sf)
-    return binning.apply_bins(part(everything, "valid").drop(TARGET), spec)
+    return binning.apply_bins(everything.drop(TARGET, "partition"), spec)
 
 
 @query
@@ -311,7 +311,7 @@ def candidate_features(spark, sf):
 def woe_apply(spark, sf):
     everything, train, spec = train_fit(spark, sf)
     model = woe.fit_woe(train, spec)
-    return rounded(woe.apply_woe(part(everything, "valid"), spec, model))
+    return rounded(woe.apply_woe(everything.drop("partition"), spec, model))
 
 
 @query

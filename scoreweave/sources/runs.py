@@ -20,8 +20,8 @@ def run_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def require_new(spark: SparkSession, path: str, run_id: str) -> None:
-    """Refuse an id that is already recorded."""
-    if not run_table(spark, path).filter(F.col("run_id") == run_id).isEmpty():
+    """Refuse an id that is already recorded; a failed attempt may be repeated."""
+    if not run_table(spark, path).filter((F.col("run_id") == run_id) & (F.col("status") != "failed")).isEmpty():
         raise ValueError(f"run {run_id} is already recorded")
 
 
