@@ -25,8 +25,8 @@ COORDINATES = 64
 SECOND_BRANCH = 0.25
 # Nodes of at most PAIRED documents give pairs, those of at most CAPACITY are compared inside one task;
 # larger ones branch, and what is still larger at MAX_DEPTH is compared in blocks of that size.
-PAIRED = 50
-CAPACITY = 1000
+PAIRED = 10
+CAPACITY = 2000
 BLOCK_BYTES = 16 << 20
 MAX_DEPTH = 6
 # Differing sketch bits (of 64) above which a pair is passed over: at a similarity of 0.8 a bit differs
@@ -107,6 +107,19 @@ def shared_shingles(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([shared(a, b) for a, b in zip(left, right, strict=True)], dtype="int64")
 
 
+def likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``wanted``; none that is in it is lost.
+
+    A bitmap of 2^23 places in 256 blocks of 4 kB is all that is broadcast, whatever the tables hold.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 23)) + 1
+    blocks = wanted.groupBy(F.bitmap_bucket_number(place).alias("_block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
+    joined = rows.withColumn("_place", place).join(F.broadcast(blocks), F.bitmap_bucket_number("_place") == F.col("_block"))
+    bit = F.bitmap_bit_position("_place").cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return joined.filter(F.getbit(byte, bit % 8) == 1).select(*rows.columns)
+
+
 def _possible(a: str, b: str, percent: int) -> Column:
     """Size bound and bit sketch of a pair whose sides are the struct columns ``a`` and ``b``."""
     na, nb = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
@@ -229,8 +242,9 @@ def similar_links(records: DataFrame, members: DataFrame, size: int, percent: in
     partner = large.select(F.col("node").alias("p_node"), F.col("l").alias("r"))
     active = (F.col("node") == F.col("p_node")) & (F.col("l.rec") != F.col("r.rec")) & _possible("l", "r", percent)
     active_rows = stored(large.join(partner, active, "left_semi").select("node", "size", "total", "l.rec"), "active")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("rec")).union(active_rows.select("rec")).distinct()
-    sets = stored(shingle_sets(members.join(needed.hint("shuffle_hash"), "rec", "left_semi"), "rec", "text", size), "sets")
+    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("rec")).union(active_rows.select("rec")).distinct(), "needed")
+    found = likely(members, "rec", needed).join(needed.hint("shuffle_hash"), "rec", "left_semi")
+    sets = stored(shingle_sets(found, "rec", "text", size), "sets")
     links = verified(pairs, sets, percent)
     blocks = F.greatest(F.ceil(F.col("size") / CAPACITY), F.ceil(8 * F.col("total") / BLOCK_BYTES)).cast("int")
     own = F.pmod(F.xxhash64("rec"), blocks).cast("int")

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from scoreweave.llm import neardup
 
@@ -140,3 +141,10 @@ def test_spanning_links_join_all_components():
                 joined(full, a, b)
     same = lambda to: {tuple(i for i, r in enumerate(to) if r == x) for x in set(to)}
     assert same(root) == same(full) and len(links) < len(sets)
+
+
+def test_likely_loses_nothing(spark):
+    rows = spark.range(20000).withColumnRenamed("id", "rec").withColumn("_x", F.lit(1))
+    wanted = spark.range(0, 20000, 40).withColumnRenamed("id", "rec")
+    left = neardup.likely(rows, "rec", wanted)
+    assert left.join(wanted, "rec").count() == 500 and left.count() < 600 and left.columns == ["rec", "_x"]
