@@ -55,7 +55,7 @@ def minwise(values: np.ndarray) -> np.ndarray:
     return least
 
 
-def trees_for(recall: float, similarity: float = 0.8, depth: int = 6) -> int:
+def trees_for(recall: float, similarity: float = 0.8, depth: int = 4) -> int:
     """Trees after which a pair at ``similarity`` has met in a node of ``depth`` with probability ``recall``."""
     met = similarity
     for _ in range(depth - 1):
@@ -111,13 +111,15 @@ def likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """``rows`` without most of those whose ``key`` is not in ``wanted``; none that is in it is lost.
 
     A bitmap of 2^23 places in 256 blocks of 4 kB is all that is broadcast, whatever the tables hold.
+    The last filter is always true; as row numbers depend on the rows before, it keeps a later semi-join
+    behind the bitmap.
     """
     place = F.pmod(F.xxhash64(key), F.lit(1 << 23)) + 1
     blocks = wanted.groupBy(F.bitmap_bucket_number(place).alias("_block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
     joined = rows.withColumn("_place", place).join(F.broadcast(blocks), F.bitmap_bucket_number("_place") == F.col("_block"))
     bit = F.bitmap_bit_position("_place").cast("int")
     byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return joined.filter(F.getbit(byte, bit % 8) == 1).select(*rows.columns)
+    return joined.filter(F.getbit(byte, bit % 8) == 1).select(*rows.columns).filter(F.monotonically_increasing_id() >= 0)
 
 
 def _possible(a: str, b: str, percent: int) -> Column:
@@ -273,7 +275,8 @@ def near_duplicates(
     Equal sets are one class with one representative, so copies never meet. Node members are counted
     before they are joined, sets are read once more for records that have a possible partner, and
     every step is a written table below the shared folder. No node is dropped: see
-    :func:`similar_links`. ``recall`` sets the number of trees for a pair at the very threshold.
+    :func:`similar_links`. ``recall`` sets the number of trees for a pair at the very threshold
+    that must meet in a node of depth four.
 
     Texts that are null or have no word have no set and are linked with nothing. Texts of fewer
     words than a shingle are one shingle. Whole texts are used at any length. Repeated rows get
