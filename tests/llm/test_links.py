@@ -68,3 +68,18 @@ def test_links_carry_distrust_back(spark):
     out = {r.page_id: r for r in links.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [out[i].verdict for i in range(1, 7)] == ["block", "block", "allow", "allow", "allow", "allow"]
     assert "html" not in out[1].asDict() and out[2].distrust > out[2].trust == 0
+
+
+def test_light_seeds_reach_hosts_three_links_away(spark):
+    """One of three million blocked pages carries the distrust of a thousand chains of three links."""
+    chains = [(f"http://{a}{i}.org/", f"<a href='http://{b}/'>t</a>") for i in range(1000) for a, b in (("r", "light.net"), ("s", f"r{i}.org"), ("t", f"s{i}.org"))]
+    rows = [("http://light.net/es/1", None), *chains, ("http://alone.org/", None), ("http://com/", None)]
+    heavy = spark.range(3_000_000).selectExpr("-1L AS page_id", "'http://heavy.net/es/1' AS url", "CAST(NULL AS string) AS html")
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    out = {r.host: r for r in links.judge(pages.unionByName(heavy)).filter("page_id >= 0").collect()}
+    for way, name in enumerate("rst", 1):
+        for i in range(1000):
+            r = out[f"{name}{i}.org"]
+            assert r.verdict == "block"
+            assert r.distrust == pytest.approx(0.15 * 0.85**way / 1000 / 3_000_001, rel=1e-5)
+    assert out["alone.org"].verdict == out["com"].verdict == "allow"
