@@ -49,10 +49,20 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
-    """``src``, ``dst``, ``n``: how often pages of one host link to another one by a full address."""
-    found = F.explode(F.regexp_extract_all(F.col(html), F.lit(r"(?i)href\s*=\s*[\x22']?\s*(https?://[^\x22'\s<>]+)"), F.lit(1)))
-    links = pages.filter(F.col(host) != "").select(F.col(host).alias("src"), found.alias("address"))
-    pairs = links.select("src", url_host(F.col("address")).alias("dst")).filter("dst <> '' AND src <> dst")
+    """``src``, ``dst``, ``n``: how often pages of one host link to another one.
+
+    Addresses with or without their scheme (``//host/``) name the host; relative ones go to the host of
+    the page's first ``<base href>``, which is no link itself, or else stay on the page's own host.
+    """
+    full = r"(?i)^(https?:)?//"
+    named = lambda address: F.when(address.rlike(full), url_host(F.regexp_replace(address, full, "http://"))).otherwise("")
+    href = r"href\s*=\s*[\x22']?\s*([^\x22'\s<>]*)"
+    base = F.regexp_extract(html, rf"(?i)<base\b[^>]*?\s{href}", 1)
+    rest = F.when(base != "", F.regexp_replace(html, r"(?i)<base\b[^>]*>", "")).otherwise(F.col(html))
+    linking = pages.filter(F.col(host) != "").select(F.col(host).alias("src"), named(base).alias("base"), rest.alias("rest"))
+    links = linking.select("src", "base", F.explode(F.regexp_extract_all("rest", F.lit(f"(?i){href}"), F.lit(1))).alias("address"))
+    relative = ~F.col("address").rlike(r"(?i)^([a-z][a-z0-9+.-]*:|//)")
+    pairs = links.select("src", F.when(relative, F.col("base")).otherwise(named(F.col("address"))).alias("dst")).filter("dst <> '' AND src <> dst")
     return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 

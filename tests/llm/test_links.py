@@ -83,3 +83,13 @@ def test_light_seeds_reach_hosts_three_links_away(spark):
             assert r.verdict == "block"
             assert r.distrust == pytest.approx(0.15 * 0.85**way / 1000 / 3_000_001, rel=1e-5)
     assert out["alone.org"].verdict == out["com"].verdict == "allow"
+
+
+def test_addresses_without_scheme_and_base(spark):
+    rows = [
+        ("a.org", "<a href='//B.org/x'>b</a><a href=/here>a</a><a href='/go?to=http://no.org/'>a</a><a href='mailto:x@no.org'>m</a>"),
+        ("c.org", "<BASE target=_top><base target=_top HREF = '//d.org/e/'><base href='http://no.org/'><a href=f>d</a><a href='/g'>d</a><a href='HTTPS://b.org'>b</a>"),
+        ("e.org", "<base href='/sub/'><a href=f>e</a>"), ("f.org", "<base href='http://d.org/'>"), ("", "<a href='//b.org'>b</a>"), ("g.org", None),
+    ]
+    edges = links.host_edges(spark.createDataFrame(rows, "host string, html string"), "host", "html").collect()
+    assert sorted(map(tuple, edges)) == [("a.org", "b.org", 1), ("c.org", "b.org", 1), ("c.org", "d.org", 2)]
