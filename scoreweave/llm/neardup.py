@@ -29,9 +29,8 @@ PAIRED = 10
 CAPACITY = 2000
 BLOCK_BYTES = 16 << 20
 MAX_DEPTH = 6
-# Differing sketch bits (of 64) above which a pair is passed over: at a similarity of 0.8 a bit differs
-# with probability 0.1, and more than 22 of 64 do with probability 2e-8.
-BITS = 22
+# Share of the pairs at the threshold that the bit sketch may pass over.
+BITS_MISSED = 2.5e-8
 PROFILE = "n_shingles long, k1 long, k2 long, sketch long, coords array<int>"
 
 _FACTORS = np.random.default_rng(20240229).integers(1, 1 << 32, (COORDINATES, 1), dtype=np.uint32) | np.uint32(1)
@@ -55,13 +54,37 @@ def minwise(values: np.ndarray) -> np.ndarray:
     return least
 
 
-def trees_for(recall: float, similarity: float = 0.8, depth: int = 4) -> int:
-    """Trees after which a pair at ``similarity`` has met in a node of ``depth`` with probability ``recall``."""
-    met = similarity
-    for _ in range(depth - 1):
-        both = similarity * met
-        met = (1 - SECOND_BRANCH) * both + SECOND_BRANCH * (1 - (1 - both) ** 2)
-    return math.ceil(math.log(1 - recall) / math.log(1 - met))
+def missed(trees: int, similarity: float, depth: int) -> float:
+    """Share of the pairs at ``similarity`` that meet in no node of ``depth`` of ``trees`` trees.
+
+    Exact: all trees share the coordinates of a pair, so the number of agreeing ones is summed over, and
+    of those the number among the roots, which are different coordinates.
+    """
+    total, c = 0.0, COORDINATES
+    for a in range(c + 1):
+        both, one = a * (a - 1) / (c * (c - 1)), 2 * a * (c - a) / (c * (c - 1))
+        met = 1.0
+        for _ in range(depth - 1):
+            met = (1 - SECOND_BRANCH) * a / c * met + SECOND_BRANCH * (both * (1 - (1 - met) ** 2) + one * met)
+        roots = sum(math.comb(a, h) * math.comb(c - a, trees - h) * (1 - met) ** h for h in range(min(a, trees) + 1))
+        total += math.comb(c, a) * similarity**a * (1 - similarity) ** (c - a) * roots / math.comb(c, trees)
+    return total
+
+
+def trees_for(recall: float, similarity: float = 0.8, depth: int | None = None) -> int:
+    """Trees after which a pair at ``similarity`` has met in a node of ``depth`` (the largest) with probability ``recall``."""
+    for trees in range(1, COORDINATES + 1):
+        if missed(trees, similarity, depth or MAX_DEPTH) <= 1 - recall:
+            return trees
+    raise ValueError(f"{COORDINATES} coordinates do not reach a recall of {recall} at a similarity of {similarity}")
+
+
+def bits_for(similarity: float) -> int:
+    """Differing sketch bits above which a pair is passed over; a bit differs with probability (1 - similarity) / 2."""
+    p, bits, over = (1 - similarity) / 2, COORDINATES, 0.0
+    while bits and (over := over + math.comb(COORDINATES, bits) * p**bits * (1 - p) ** (COORDINATES - bits)) <= BITS_MISSED:
+        bits -= 1
+    return bits
 
 
 def profiles(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -126,7 +149,7 @@ def _possible(a: str, b: str, percent: int) -> Column:
     """Size bound and bit sketch of a pair whose sides are the struct columns ``a`` and ``b``."""
     na, nb = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
     bits = F.bit_count(F.col(f"{a}.sketch").bitwiseXOR(F.col(f"{b}.sketch")))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (bits <= BITS)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (bits <= bits_for(percent / 100))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -213,10 +236,24 @@ def _children(rows: DataFrame, records: DataFrame) -> DataFrame:
     )
 
 
-def leaves(records: DataFrame, trees: int) -> DataFrame:
-    """``node``, ``rec``, ``n_shingles``, ``sketch``, ``size``, ``total`` of the nodes where branching ends."""
-    node = F.explode(F.transform(F.slice("coords", 1, trees), lambda c, i: F.xxhash64(i, c)))
-    rows = _grouped(records.select("rec", "n_shingles", "sketch", node.alias("node")), "nodes")
+def _roots(records: DataFrame, first: int, last: int) -> DataFrame:
+    """Members of the root nodes of the trees ``first`` to ``last``."""
+    node = F.explode(F.transform(F.slice("coords", first, last - first + 1), lambda c, i: F.xxhash64(i + (first - 1), c)))
+    return _grouped(records.select("rec", "n_shingles", "sketch", node.alias("node")), "nodes")
+
+
+def leaves(records: DataFrame, recall: float, similarity: float) -> DataFrame:
+    """``node``, ``rec``, ``n_shingles``, ``sketch``, ``size``, ``total`` of the nodes where branching ends.
+
+    A pair that shares a root among the first trees meets there, unless that root branches. Only members
+    of such roots need the trees for the full depth; both ways to miss a pair add up to 1 - ``recall``.
+    """
+    some = trees_for((1 + recall) / 2, similarity, 1)
+    every = max(some, trees_for(recall + missed(some, similarity, 1), similarity))
+    rows = _roots(records, 1, some)
+    branching = stored(rows.filter(F.col("size") > CAPACITY).select("rec").distinct(), "branching")
+    if every > some and not branching.isEmpty():
+        rows = rows.unionByName(_roots(records.join(branching, "rec", "left_semi"), some + 1, every))
     done = rows.filter(F.col("size") <= CAPACITY)
     for _ in range(MAX_DEPTH - 1):
         rows = rows.filter(F.col("size") > CAPACITY)
@@ -235,7 +272,7 @@ def similar_links(records: DataFrame, members: DataFrame, size: int, percent: in
     by one. Members of larger nodes that have a possible partner there go to one task a node, or one
     for each two blocks of a node, and come back as a spanning forest.
     """
-    nodes = leaves(records, trees_for(recall, percent / 100))
+    nodes = leaves(records, recall, percent / 100)
     side = F.struct("rec", "n_shingles", "sketch")
     small = nodes.filter(F.col("size") <= PAIRED).select("node", side.alias("l"))
     met = small.join(small.withColumnRenamed("l", "r"), "node").filter((F.col("l.rec") < F.col("r.rec")) & _possible("l", "r", percent))
@@ -275,8 +312,8 @@ def near_duplicates(
     Equal sets are one class with one representative, so copies never meet. Node members are counted
     before they are joined, sets are read once more for records that have a possible partner, and
     every step is a written table below the shared folder. No node is dropped: see
-    :func:`similar_links`. ``recall`` sets the number of trees for a pair at the very threshold
-    that must meet in a node of depth four.
+    :func:`similar_links`. ``recall`` sets the number of trees for a pair at the very threshold,
+    also where it must meet in a node of the largest depth.
 
     Texts that are null or have no word have no set and are linked with nothing. Texts of fewer
     words than a shingle are one shingle. Whole texts are used at any length. Repeated rows get

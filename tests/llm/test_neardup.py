@@ -148,3 +148,43 @@ def test_likely_loses_nothing(spark):
     wanted = spark.range(0, 20000, 40).withColumnRenamed("id", "rec")
     left = neardup.likely(rows, "rec", wanted)
     assert left.join(wanted, "rec").count() == 500 and left.count() < 600 and left.columns == ["rec", "_x"]
+
+
+def test_trees_meet_at_the_largest_depth(spark, monkeypatch):
+    """Every node of two branches to the largest depth; a thousand pairs at the very threshold."""
+    for name, value in (("PAIRED", 2), ("CAPACITY", 1)):
+        monkeypatch.setattr(neardup, name, value)
+    rows = []
+    for i in range(1000):
+        words = [f"p{i}x{j}" for j in range(93)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:83], *[f"q{i}y{j}" for j in range(10)]]))]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.doc_id for r in out if r.component_id != r.doc_id - r.doc_id % 2] == []
+
+
+def test_missed_pairs_by_simulation():
+    import numpy as np
+
+    rng, n, depth = np.random.default_rng(8), 20000, 5
+
+    def meet(agree, level):
+        if level == depth:
+            return np.ones(len(agree), bool)
+        first = rng.integers(64, size=len(agree))
+        second = (first + 1 + rng.integers(63, size=len(agree))) % 64
+        rows, twice = np.arange(len(agree)), rng.random(len(agree)) < neardup.SECOND_BRANCH
+        out = np.zeros(len(agree), bool)
+        for chosen in (agree[rows, first], agree[rows, second] & twice):
+            out[chosen] |= meet(agree[chosen], level + 1)
+        return out
+
+    agree = rng.random((n, 64)) < 0.8
+    found = np.zeros(n, bool)
+    for tree in range(8):
+        on = np.flatnonzero(agree[:, tree])
+        found[on] |= meet(agree[on], 1)
+    assert (~found).mean() == pytest.approx(neardup.missed(8, 0.8, depth), rel=0.12)
+    assert neardup.missed(neardup.trees_for(0.9999), 0.8, 6) <= 1e-4 < neardup.missed(12, 0.8, 6)
+    assert neardup.bits_for(0.8) == 22 and neardup.bits_for(0.5) > 22
+    with pytest.raises(ValueError, match="coordinates"):
+        neardup.trees_for(0.9999, 0.5)
