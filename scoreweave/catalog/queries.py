@@ -629,22 +629,19 @@ def train_raw(spark, sf):
     return part(parted_table(spark, sf), "train")
 
 
-TREE_ROUNDS = 5
-
-
 @query
 def gbt_fit(spark, sf):
-    """Importance of a short ensemble (the default is 300 rounds)."""
+    """Importance over the whole ensemble of 300 rounds."""
     from ..models.trees import fit_trees
 
-    return fit_trees(train_raw(spark, sf), rounds=TREE_ROUNDS).importance(spark)
+    return fit_trees(train_raw(spark, sf)).importance(spark)
 
 
 @query
 def gbt_contributions(spark, sf):
     from ..models.trees import fit_trees, tree_contributions
 
-    model = fit_trees(train_raw(spark, sf), rounds=TREE_ROUNDS)
+    model = fit_trees(train_raw(spark, sf))
     return tree_contributions(features(spark, sf, (ID,)), model)
 
 

@@ -231,3 +231,29 @@ def test_streaming_scores_equal_batch_and_record_once(spark, tmp_path, raw_model
         q.awaitTermination(300)
     saved = runs.load_runs(spark, path).collect()
     assert [r["run_id"] for r in saved] == ["s-0"] and json.loads(saved[0]["payload"])["n_samples"] == 900
+
+
+@pytest.mark.parametrize("name", ["gbt_fit", "gbt_contributions"])
+def test_registered_trees_train_all_rounds(name, monkeypatch):
+    import inspect
+
+    from scoreweave.catalog import queries
+    from scoreweave.models import trees
+
+    class Fitted(Exception):
+        pass
+
+    signature, seen = inspect.signature(trees.fit_trees), {}
+
+    def fit(*args, **settings):
+        bound = signature.bind(*args, **settings)
+        bound.apply_defaults()
+        seen.update(bound.arguments)
+        raise Fitted
+
+    monkeypatch.setattr(trees, "fit_trees", fit)
+    monkeypatch.setattr(queries, "train_raw", lambda spark, sf: None)
+    monkeypatch.setattr(queries, "apply_settings", lambda spark: None)
+    with pytest.raises(Fitted):
+        queries.REGISTRY[name](None, "")
+    assert seen["rounds"] == 300
