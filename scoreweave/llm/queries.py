@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import ID
-from . import bpe, decontaminate, histories, hmm, language, lengths, links, neardup, quality, toolcalls, toxicity
+from . import bpe, decontaminate, histories, hmm, language, lengths, links, neardup, quality, toolcalls, toxicity, whitening
 from .tools import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,3 +115,13 @@ def op11_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
         F.col(ID).alias("conv_id"), F.col("depth").cast("long").alias("depth"), F.col(f"parent_{ID}").alias("parent_conv_id"), F.col("n_applications").alias("n_convs"),
         "n_children", "n_leaves", F.col("saved_bytes").alias("saved_tokens"), F.coalesce("ends_sha256", no_end).alias("ends_sha256"),
     )
+
+
+@query
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias(ID), "embedding")
+    found = whitening.whitened_applications(vectors, "embedding", components=4, scale=256)
+    return found.select(
+        F.col(ID).alias("vec_id"), F.col("component").cast("int").alias("component"), "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"),
+        "whitened", "explained", "identity_error",
+    )
