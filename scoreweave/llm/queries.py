@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import ID
-from . import bpe, decontaminate, histories, hmm, language, lengths, links, neardup, quality, toolcalls, toxicity, whitening
-from .tools import fold
+from ..functions.columns import ID, TARGET
+from . import boosted, bpe, decontaminate, histories, hmm, language, lengths, links, neardup, quality, toolcalls, toxicity, whitening
+from .tools import fold, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -125,3 +125,17 @@ def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
         F.col(ID).alias("vec_id"), F.col("component").cast("int").alias("component"), "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"),
         "whitened", "explained", "identity_error",
     )
+
+
+@query
+def op13_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias(ID), "text")
+    model_input = stored(boosted.text_statistics(docs, key=ID), "text-statistics")
+    held_out = fold(ID, 3) == 1
+    labels = table(spark, sf, "labels").groupBy(F.col("doc_id").alias(ID)).agg(F.max("quality").alias(TARGET))
+    model = boosted.fit_boosted(model_input.filter(~held_out).join(labels, ID), boosted.STATISTICS)
+    found = boosted.score_boosted(model_input, model)
+    return found.select(
+        F.col(ID).alias("doc_id"), held_out.alias("held_out"), F.col("predicted_bad_probability").alias("score"),
+        (F.col("predicted_bad_probability") >= 0.5).cast("int").alias("predicted"),
+    )
