@@ -20,11 +20,15 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ID
 from ..session import shared_table_path
+from .tools import stored
 
 # Ids are listed in blocks of their value, so no row lists more ids than this.
 BLOCK = 512
+# Least depth from which a history that nobody shares is no longer peeled record by record.
+ALONE = 16
 # A parent's row reaches its children by way of so many parts at most.
 SALTS = 1024
+CHAIN = "array<struct<key: binary, upto: bigint>>"
 
 
 class HistoryTrie(NamedTuple):
@@ -44,15 +48,13 @@ def _tagged(name: str) -> Column:
     return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("n"))
 
 
-def _key(path: Column) -> Column:
-    """Name of a sequence of records; every record has a digest of equal length."""
-    return _digest(F.aggregate(path, F.lit(b""), lambda known, record: F.concat(known, record["digest"])))
-
-
 def _histories(
     application: DataFrame, bureau: DataFrame, order_col: str, state: Sequence[str], size_col: str | None, id_col: str
 ) -> DataFrame:
-    """(id, path, depth): one row per application with the digests of its ordered records."""
+    """(id, chain, depth): one row per application with its records in order.
+
+    A record of the chain is the digest ``key`` of the history up to it, and the bytes ``upto`` there.
+    """
     sizes = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in state]
     size = reduce(lambda a, b: a + b, sizes) if size_col is None else F.coalesce(F.col(size_col), F.lit(0))
     told = [*state] if size_col is None else [*state, size_col]
@@ -62,9 +64,37 @@ def _histories(
     records = bureau.select(F.col(id_col).alias("id"), record.alias("record"))
     wanted = application.select(F.col(id_col).alias("id"), F.lit(True).alias("wanted")).distinct()
     both = records.withColumn("wanted", F.lit(None).cast("boolean")).unionByName(wanted, allowMissingColumns=True)
-    path = F.transform(F.sort_array(F.collect_list("record")), lambda r: F.struct(r["digest"].alias("digest"), r["size"].alias("size")))
-    found = both.filter("id IS NOT NULL").groupBy("id").agg(path.alias("path"), F.max("wanted").alias("wanted"))
-    return found.filter("wanted").select("id", "path", F.size("path").alias("depth"))
+    ordered = F.sort_array(F.collect_list("record"))
+    found = both.filter("id IS NOT NULL").groupBy("id").agg(ordered.alias("records"), F.max("wanted").alias("wanted"))
+
+    def extended(chain: Column, record: Column) -> Column:
+        last = F.try_element_at(chain, F.lit(-1))
+        key = _digest(F.concat(F.coalesce(last["key"], F.lit(b"")), record["digest"]))
+        return F.concat(chain, F.array(F.struct(key.alias("key"), (F.coalesce(last["upto"], F.lit(0)) + record["size"]).alias("upto"))))
+
+    chain = F.aggregate("records", F.expr(f"CAST(array() AS {CHAIN})"), extended)
+    return found.filter("wanted").select("id", chain.cast(CHAIN).alias("chain"), F.size("records").alias("depth"))
+
+
+def _at(place: Column | int, field: str) -> Column:
+    """Key or bytes of the chain after ``place`` records (one-based, from the end if negative); the root's if there are none."""
+    place = F.lit(place) if isinstance(place, int) else place
+    none = F.lit(b"") if field == "key" else F.lit(0).cast("long")
+    return F.when(place == 0, none).otherwise(F.coalesce(F.try_element_at("chain", F.when(place != 0, place).cast("int"))[field], none))
+
+
+def _entries(own: DataFrame) -> DataFrame:
+    """Equal histories as one row, with the depth ``enter`` at which it joins the peeling.
+
+    A history that shares its first 16, 32, 64, .. records with no different one is alone from there on: the nodes
+    below form a plain path, and it enters with their sums. All others enter where they end.
+    """
+    merged = stored(own.groupBy(_at(-1, "key").alias("full"), "depth").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("chain").alias("chain")), "histories-merged")
+    powers = F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.col("depth") / ALONE)).cast("int")), lambda j: (F.lit(ALONE) * F.pow(F.lit(2), j)).cast("int"))
+    marks = merged.filter(F.col("depth") >= ALONE).select("full", "chain", F.explode(powers).alias("place")).select("full", "place", _at(F.col("place"), "key").alias("key"))
+    alone = marks.groupBy("key").agg(F.count("*").alias("sharing"), F.max("full").alias("full"), F.max("place").alias("place")).filter("sharing = 1")
+    entered = merged.join(alone.groupBy("full").agg(F.min("place").alias("alone")), "full", "left")
+    return entered.withColumn("enter", F.coalesce("alone", "depth"))
 
 
 def history_trie(
@@ -92,36 +122,40 @@ def history_trie(
     Applications without a record end in the root. Records of no listed application, and null ids,
     are left out; repeated ids of ``application`` count once, repeated records each. Null states are
     states of their own, further columns are ignored, no application gives no node. One round and one
-    written table a depth: as many rounds as the longest history has records, and a row carries the
-    digests (24 bytes a record) of its path. Counts combine before each shuffle, so a common beginning
-    is no hot key; parents reach their children in salted parts.
+    written table a depth: at most 16 rounds, or twice the records that two different histories begin
+    with; what only one history has below that is added at once. A row carries the digests (24 bytes a
+    record) of its path. Counts combine before each shuffle, so a common beginning is no hot key; parents
+    reach their children in salted parts.
     """
     spark = application.sparkSession
     if dict(application.dtypes).get(id_col) not in ("bigint", "int", "smallint", "tinyint"):
         raise ValueError(f"{id_col} must be a whole number")
-    path = shared_table_path(spark, "histories")
-    own = _histories(application, bureau, order_col, state, size_col, id_col)
-    own.write.partitionBy("depth").parquet(path)
-    own = spark.read.schema(own.schema).parquet(path)
-
-    deepest = own.agg(F.max("depth")).first()[0]
+    own = stored(_histories(application, bureau, order_col, state, size_col, id_col), "histories")
+    path = shared_table_path(spark, "history-entries")
+    entries = _entries(own)
+    entries.write.partitionBy("enter").parquet(path)
+    entries = spark.read.schema(entries.schema).parquet(path)
+
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    plain = F.col("depth") > F.col("enter")
+    below = F.when(plain, (F.col("n") - 1) * (_at(-1, "upto") - _at(F.col("enter"), "upto"))).otherwise(zero)
+    flag = F.when(plain, one).otherwise(zero)
+    deepest = entries.agg(F.max("enter")).first()[0]
     levels: list[str] = []
     alive, schema = None, None
     for depth in range(-1 if deepest is None else deepest, -1, -1):
-        zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-        rows = own.filter(F.col("depth") == depth).select(
-            "path", "id", one.alias("n"), zero.alias("children"), zero.alias("leaves"), zero.alias("saved")
+        rows = entries.filter(F.col("enter") == depth).select(
+            F.slice("chain", 1, depth).alias("chain"), "id", "n", flag.alias("children"), flag.alias("leaves"), below.alias("saved")
         )
         if alive is not None:
-            stripped = alive.select(F.slice("path", 1, depth).alias("path"), "id", "n", one.alias("children"), "leaves", "saved")
+            stripped = alive.select(F.slice("chain", 1, depth).alias("chain"), "id", "n", one.alias("children"), "leaves", "saved")
             rows = rows.unionByName(stripped)
         sums = [F.sum(c).alias(c) for c in ("n", "children", "leaves", "saved")]
-        level = rows.groupBy("path").agg(F.min("id").alias("id"), *sums)
-        last = F.coalesce(F.try_element_at("path", F.lit(-1))["size"], F.lit(0))
-        parent = _key(F.slice("path", 1, depth - 1)) if depth else F.lit(None).cast("binary")
+        level = rows.groupBy(_at(-1, "key").alias("key")).agg(F.first("chain").alias("chain"), F.min("id").alias("id"), *sums)
+        last = _at(depth, "upto") - _at(max(depth - 1, 0), "upto")
         level = level.select(
-            "path", F.lit(depth).alias("depth"), _key(F.col("path")).alias("key"), parent.alias("parent_key"), "id", "n", "children",
-            F.when(F.col("children") == 0, 1).otherwise(F.col("leaves")).alias("leaves"), (F.col("saved") + (F.col("n") - 1) * last).alias("saved"),
+            "chain", F.lit(depth).alias("depth"), "key", _at(depth - 1, "key").alias("parent_key") if depth else F.lit(None).cast("binary").alias("parent_key"),
+            "id", "n", "children", F.when(F.col("children") == 0, 1).otherwise(F.col("leaves")).alias("leaves"), (F.col("saved") + (F.col("n") - 1) * last).alias("saved"),
         )
         levels.append(shared_table_path(spark, f"history-level-{depth}"))
         level.write.parquet(levels[-1])
@@ -134,18 +168,27 @@ def history_trie(
         return HistoryTrie(
             spark.createDataFrame([], nodes), spark.createDataFrame([], f"{id_col} {long}, depth int, block long, ids array<{long}>")
         )
-    nodes = spark.read.schema(schema).parquet(*levels).drop("path").withColumn("salt", F.pmod(F.hash("key"), F.lit(SALTS)))
-    parts = nodes.filter("depth > 0").select("parent_key", "salt").distinct()
-    parents = nodes.select(F.col("key").alias("parent_key"), F.col("id").alias("parent_id"))
-    known = parts.join(parents, "parent_key")
-    linked = nodes.join(known, ["parent_key", "salt"], "left").select(
+    peeled = spark.read.schema(schema).parquet(*levels).drop("chain").withColumn("salt", F.pmod(F.hash("key"), F.lit(SALTS)))
+    parts = peeled.filter("depth > 0").select("parent_key", "salt").distinct()
+    parents = peeled.select(F.col("key").alias("parent_key"), F.col("id").alias("parent_id"))
+    linked = peeled.join(parts.join(parents, "parent_key"), ["parent_key", "salt"], "left")
+    names = ("key", "id", "depth", "parent_id", "n", "children", "leaves", "saved")
+    tail = entries.filter(plain).select("*", F.explode(F.sequence(F.col("enter") + 1, F.col("depth"))).alias("place"), _at(-1, "upto").alias("end"))
+    tails = tail.select(
+        _at(F.col("place"), "key").alias("key"), "id", F.col("place").alias("depth"), F.col("id").alias("parent_id"), "n",
+        F.when(F.col("place") < F.col("depth"), one).otherwise(zero).alias("children"), one.alias("leaves"),
+        ((F.col("n") - 1) * (F.col("end") - _at(F.col("place") - 1, "upto"))).alias("saved"),
+    )
+    nodes = linked.select(*names).unionByName(tails.select(*names))
+    told = nodes.select(
         F.col("id").alias(id_col), "depth", F.col("parent_id").alias(f"parent_{id_col}"), F.col("n").alias("n_applications"),
         F.col("children").alias("n_children"), F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_bytes"),
     )
-    ended = own.select("id", _key(F.col("path")).alias("key"), F.floor(F.col("id") / BLOCK).alias("block"))
+    ended = own.select("id", _at(-1, "key").alias("key"), F.floor(F.col("id") / BLOCK).alias("block"))
     blocks = ended.groupBy("key", "block").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    ends = blocks.join(nodes.select("key", "id", "depth"), "key").select(F.col("id").alias(id_col), "depth", "block", "ids")
-    return HistoryTrie(linked, ends)
+    ending = peeled.select("key", "id", "depth").unionByName(tails.filter("children = 0").select("key", "id", "depth"))
+    ends = blocks.join(ending, "key").select(F.col("id").alias(id_col), "depth", "block", "ids")
+    return HistoryTrie(told, ends)
 
 
 def ends_digest(ends: DataFrame, id_col: str = ID) -> DataFrame:

@@ -75,6 +75,15 @@ def test_equal_histories_fill_blocks(spark):
     }
 
 
+def test_long_histories_are_peeled_to_their_shared_depth(spark):
+    rows = [(a, d, "Active" if d < cut else f"own {a}", 0) for a, cut, n in ((1, 40, 70), (2, 40, 70), (3, 5, 60), (4, 16, 16), (5, 16, 33), (6, 20, 20)) for d in range(n)]
+    rows += [(7, d, "Active" if d < 5 else "own 3", 0) for d in range(60)]
+    tables_ = tables(spark, range(1, 8), rows)
+    assert found(histories.history_trie(*tables_)) == brute(range(1, 8), rows)
+    enter = {r.id: (r.enter, r.depth) for r in histories._entries(histories._histories(*tables_, "days_credit", ["credit_active"], None, "sk_id_curr")).collect()}
+    assert enter == {1: (64, 70), 2: (64, 70), 3: (16, 60), 4: (16, 16), 5: (32, 33), 6: (20, 20)}
+
+
 def test_repeated_records_and_ties_do_not_depend_on_order(spark):
     rows = [(1, -5, "Closed", 0), (1, -5, "Active", 0), (1, -5, "Active", 0), (2, -5, "Active", 0), (2, -5, "Closed", 0), (2, -5, "Active", 0)]
     out = found(histories.history_trie(*tables(spark, [1, 2], rows)))
