@@ -1,8 +1,7 @@
 """Gradient histograms over packed rows, and the best split of every node from them.
 
 Rows are packed once as one-byte bin codes. A pass adds up gradient, curvature and row count by (node,
-feature, code) inside each task, sums them per feature across tasks and searches the splits where the
-sums meet; only one candidate per node and feature reaches the driver.
+feature, code) inside each task and then across tasks; the size of these sums does not depend on the rows.
 """
 
 from __future__ import annotations
@@ -127,11 +126,12 @@ def best_splits(
 ) -> list[Split | None]:
     """Best split of each of ``nodes`` nodes under log loss; ``add`` gives what the margins lack.
 
-    Two stages: sums per task and feature, then one search per feature. Ties go to the first feature.
+    Tasks add up their rows and a tree of tasks adds up their sums, features x nodes x 256 numbers each.
+    Ties go to the first feature.
     """
 
-    def sums(part: Iterator[Block]) -> Iterator[tuple[int, np.ndarray]]:
-        total = None
+    def sums(part: Iterator[Block]) -> Iterator[np.ndarray]:
+        total = np.zeros((features, nodes * 256, 3))
         for block in part:
             codes, y, margin = unpacked(block, features)
             place = route(codes)
@@ -140,23 +140,18 @@ def best_splits(
                 margin = margin + add(codes)
             p = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
             g, h = (p - y)[inside], (p * (1 - p))[inside]
-            if total is None:
-                total = np.zeros((features, nodes * 256, 3))
             start, codes = place[inside] * 256, codes[inside]
             for f in range(features):
                 at = start + codes[:, f]
                 total[f, :, 0] += np.bincount(at, g, nodes * 256)
                 total[f, :, 1] += np.bincount(at, h, nodes * 256)
                 total[f, :, 2] += np.bincount(at, minlength=nodes * 256)
-        if total is not None:
-            yield from enumerate(total)
+        yield total
 
-    parts = min(features, -(-blocks.getNumPartitions() // 8))
-    summed = blocks.mapPartitions(sums).reduceByKey(np.add, parts)
-    found = summed.mapValues(lambda s: best_of_feature(s.reshape(nodes, 256, 3), penalty, min_rows)).collect()
+    summed = blocks.mapPartitions(sums).treeReduce(np.add, depth=3)
     best: list[Split | None] = [None] * nodes
-    for feature, own in sorted(found, key=lambda x: x[0]):
-        for node, split in enumerate(own):
+    for feature in range(features):
+        for node, split in enumerate(best_of_feature(summed[feature].reshape(nodes, 256, 3), penalty, min_rows)):
             if split is not None and (best[node] is None or split[0] > best[node].gain):
                 best[node] = Split(split[0], feature, *split[1:])
     return best
