@@ -1,22 +1,30 @@
-"""Paired stratified bootstrap of ranking metrics.
+"""Paired stratified bootstrap of ranking metrics, in two ways.
 
-Rows of each class get a dense index; every draw takes as many slots as the class
-has rows and maps each slot to an index by hash. One weight per (draw, row) drives
-both models. Slots are generated in place, the join key is uniform, and both the
-weights and the metric curves are grouped by draw.
+:func:`paired_bootstrap` splits the draws of a class down a tree of row blocks: a node's number is split
+binomially between its halves, a block spreads its number over its rows. Every task walks from the root to
+its own block with seeded generators, so no draw is ever listed row by row, joined or sent to the driver.
+
+:func:`indexed_bootstrap` can be written as plain SQL: every draw takes as many slots as the class has rows
+and maps each slot to a dense row index by hash. It costs a join of draws x rows slots.
+
+One weight per (draw, row) drives both models either way.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import guards
 from ..functions.columns import ID
+from ..session import written
 from .ordered import bucket_edges, cumulative
 from .ranking import METRICS, ranking_aggregates
 from .split import hash_key
@@ -25,6 +33,10 @@ from .split import hash_key
 BROADCAST_ROWS = 1_000_000
 # Hash prefix length in hex digits: 65,536 equal buckets per class.
 PREFIX = 4
+# Different (label, base, challenger) rows of a block, on average, and draws a task makes at once.
+BLOCK_CELLS = 4096
+DRAWS = 50
+CELLS = "block long, goods long, bads long, labels binary, base binary, challenger binary, times binary"
 
 
 @dataclass(frozen=True)
@@ -89,26 +101,16 @@ def slot_indices(df_session, sizes: dict[int, int], n_bootstrap: int, seed: int)
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def paired_bootstrap(
-    df: DataFrame,
-    y: str,
-    base: str,
-    challenger: str,
-    n_bootstrap: int = 2000,
-    confidence: float = 0.95,
-    seed: int = 42,
-    id_col: str = ID,
-) -> BootstrapResult:
-    """Percentile intervals of base, challenger and challenger minus base."""
+def _checked(df: DataFrame, y: str, base: str, challenger: str, n_bootstrap: int, confidence: float, seed: int, id_col: str | None) -> tuple[DataFrame, dict[int, int]]:
+    """Guarded rows and the number of rows of each class."""
     if isinstance(n_bootstrap, bool) or not isinstance(n_bootstrap, int) or n_bootstrap < 2:
         raise ValueError("n_bootstrap must be a whole number >= 2")
     if isinstance(confidence, bool) or not 0 < confidence < 1:
         raise ValueError("confidence must lie strictly between 0 and 1")
     if isinstance(seed, bool) or not isinstance(seed, int) or not 0 <= seed < 2**32:
         raise ValueError("seed must be a whole number in [0, 2**32)")
-    spark = df.sparkSession
     rows = df.select(
-        id_col,
+        *([id_col] if id_col else []),
         guards.binary_label(y).alias("y"),
         guards.probability(base).alias("base"),
         guards.probability(challenger).alias("challenger"),
@@ -116,7 +118,116 @@ def paired_bootstrap(
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if min(sizes.get(0, 0), sizes.get(1, 0)) < 2:
         raise ValueError("each class needs at least two rows")
+    return rows, sizes
+
+
+def cell_blocks(rows: DataFrame, block_cells: int = BLOCK_CELLS) -> DataFrame:
+    """Equal rows as one cell with a count, in blocks of a hash; a block's cells are in order."""
+    cells = written(rows.groupBy("y", "base", "challenger").agg(F.count("*").alias("n")), "bootstrap-cells")
+    blocks = max(1, -(-cells.count() // block_cells))
+
+    def pack(group: pa.Table) -> pa.Table:
+        own = group.sort_by([("y", "ascending"), ("base", "ascending"), ("challenger", "ascending")])
+        y, n = own["y"].to_numpy().astype(np.int8), own["n"].to_numpy()
+        parts = [y, own["base"].to_numpy(), own["challenger"].to_numpy(), n]
+        values = [[own["block"][0].as_py()], [int(n[y == 0].sum())], [int(n[y == 1].sum())], *[[p.tobytes()] for p in parts]]
+        return pa.table(dict(zip(("block", "goods", "bads", "labels", "base", "challenger", "times"), values, strict=True)))
+
+    placed = cells.withColumn("block", F.pmod(F.xxhash64("y", "base", "challenger"), F.lit(blocks)))
+    return written(placed.groupBy("block").applyInArrow(pack, CELLS), "bootstrap-blocks")
+
+
+def block_share(sums: np.ndarray, block: int, size: int, draws: int, seed: tuple[int, ...]) -> np.ndarray:
+    """How many of ``size`` slots fall on ``block`` in each draw; ``sums`` are running row counts, zero first.
+
+    The numbers of all blocks of a draw add up to ``size``, because the walks to two blocks share their
+    generators down to the node where they part.
+    """
+    low, high, share = 0, len(sums) - 1, np.full(draws, size)
+    while high - low > 1:
+        middle = (low + high) // 2
+        whole = int(sums[high] - sums[low])
+        part = int(sums[middle] - sums[low]) / whole if whole else 0.0
+        left = np.random.default_rng((*seed, low, high)).binomial(share, part)
+        if block < middle:
+            high, share = middle, left
+        else:
+            low, share = middle, share - left
+    return share
+
+
+def drawn_sums(blocks: DataFrame, sizes: dict[int, int], n_bootstrap: int, seed: int) -> DataFrame:
+    """(draw, model, p, bad, good): weights of every draw, summed by probability inside each block."""
+    spark = blocks.sparkSession
+    totals = blocks.select("block", "goods", "bads").orderBy("block").collect()
+    order = {r["block"]: i for i, r in enumerate(totals)}
+    sums = [np.concatenate([[0], np.cumsum([r[c] for r in totals])]) for c in ("goods", "bads")]
+    shipped = spark.sparkContext.broadcast((order, sums, sizes))
+    chunks = -(-n_bootstrap // DRAWS)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, own_sums, own_sizes = shipped.value
+        for batch in batches:
+            for r in batch.to_pylist():
+                chunk, block = r["chunk"], places[r["block"]]
+                y, n = np.frombuffer(r["labels"], np.int8), np.frombuffer(r["times"], np.int64)
+                weights = np.zeros((DRAWS, len(y)), np.int64)
+                for c in (0, 1):
+                    mine = n[y == c]
+                    if len(mine):
+                        share = block_share(own_sums[c], block, own_sizes[c], DRAWS, (seed, chunk, c))
+                        rng = np.random.default_rng((seed, chunk, c, block))
+                        weights[:, y == c] = rng.multinomial(share, mine / mine.sum())
+                weights = weights[: n_bootstrap - chunk * DRAWS]
+                for model, name in enumerate(("base", "challenger")):
+                    p, inverse = np.unique(np.frombuffer(r[name]), return_inverse=True)
+                    by_p = np.argsort(inverse, kind="stable")
+                    first = np.searchsorted(inverse[by_p], np.arange(len(p)))
+                    bad, good = (np.add.reduceat(weights[:, by_p] * (y[by_p] == c), first, axis=1) for c in (1, 0))
+                    d, i = np.nonzero(bad + good)
+                    columns = [d + chunk * DRAWS, np.full(len(d), model, np.int32), p[i], bad[d, i], good[d, i]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["draw", "model", "p", "bad", "good"])
+
+    each = blocks.drop("goods", "bads").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    tasks = max(min(len(totals) * chunks, 4 * spark.sparkContext.defaultParallelism), blocks.rdd.getNumPartitions())
+    return each.repartition(tasks, "block", "chunk").mapInArrow(draw, "draw long, model int, p double, bad long, good long")
+
 
+def paired_bootstrap(
+    df: DataFrame,
+    y: str,
+    base: str,
+    challenger: str,
+    n_bootstrap: int = 2000,
+    confidence: float = 0.95,
+    seed: int = 42,
+    block_cells: int = BLOCK_CELLS,
+) -> BootstrapResult:
+    """Percentile intervals of base, challenger and challenger minus base.
+
+    Depends on the rows and the seed alone, not on their order or partitions. What is shuffled per
+    draw and model are sums by distinct probability of a block.
+    """
+    rows, sizes = _checked(df, y, base, challenger, n_bootstrap, confidence, seed, None)
+    blocks = cell_blocks(rows, block_cells)
+    drawn = drawn_sums(blocks, sizes, n_bootstrap, seed)
+    point = _long(rows.select(F.lit(-1).cast("long").alias("draw"), "y", "base", "challenger"))
+    return _result(drawn.unionByName(point), rows, sizes, n_bootstrap, confidence, seed)
+
+
+def indexed_bootstrap(
+    df: DataFrame,
+    y: str,
+    base: str,
+    challenger: str,
+    n_bootstrap: int = 2000,
+    confidence: float = 0.95,
+    seed: int = 42,
+    id_col: str = ID,
+) -> BootstrapResult:
+    """The same intervals from hashed slots, row by row; see the module's text."""
+    rows, sizes = _checked(df, y, base, challenger, n_bootstrap, confidence, seed, id_col)
+    spark = df.sparkSession
     # Draw -1 is the observed sample with weight one. The index table travels to the
     # slots only while its row count, known here, is small.
     index = dense_index(rows, "y", seed, id_col).select("y", "idx", "base", "challenger")
@@ -124,13 +235,19 @@ def paired_bootstrap(
         index = F.broadcast(index)
     drawn = slot_indices(spark, sizes, n_bootstrap, seed).join(index, ["y", "idx"]).select("draw", "y", "base", "challenger")
     point = rows.select(F.lit(-1).cast("long").alias("draw"), "y", "base", "challenger")
+    return _result(_long(drawn.unionByName(point)), rows, sizes, n_bootstrap, confidence, seed)
 
-    # Both models (0 and 1) in one pass over the same slots. A task holds whole draws in sequence,
-    # so equal probabilities of a draw already combine before the shuffle.
+
+def _long(weighted: DataFrame) -> DataFrame:
+    """Both models (0 and 1) in one pass over rows of weight one."""
     both_models = F.expr("inline(array(named_struct('model', 0, 'p', base), named_struct('model', 1, 'p', challenger)))")
-    long = drawn.unionByName(point).select("draw", "y", both_models).select(
+    return weighted.select("draw", "y", both_models).select(
         "draw", "model", "p", F.col("y").cast("long").alias("bad"), (1 - F.col("y")).cast("long").alias("good")
     )
+
+
+def _result(long: DataFrame, rows: DataFrame, sizes: dict[int, int], n_bootstrap: int, confidence: float, seed: int) -> BootstrapResult:
+    """Metrics per draw (draw -1 is the observed sample) and their intervals."""
     edges = sorted({*bucket_edges(rows, "base"), *bucket_edges(rows, "challenger")})
     curve = cumulative(long, "p", ["bad", "good"], ("draw", "model"), True, edges)
     per_model = curve.groupBy("draw", "model").agg(*ranking_aggregates())

@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 ROWS_ONLY = {
     "content_checksum", "content_fingerprint", "logistic_fit", "logistic_summary", "logistic_scores", "gbt_fit",
-    "gbt_contributions", "platt_fit", "monitor_summary",
+    "gbt_contributions", "platt_fit", "monitor_summary", "bootstrap_intervals_split",
 }
 QUICK = [
     "agg_left_join_wide", "loaded_model_table", "reconcile_key_mismatch", "linkage_counts", "missingness_class", "business_feature_table",

@@ -223,7 +223,7 @@ def test_bootstrap_draw_against_numpy(spark):
     y, p, _ = sample(120, 4)
     q = np.clip(p + np.linspace(-0.2, 0.2, 120).round(2), 0, 1)
     df = scored(spark, y, p).join(spark.createDataFrame([(i, float(v)) for i, v in enumerate(q)], "sk_id_curr long, q double"), "sk_id_curr")
-    result = bootstrap.paired_bootstrap(df, "y", "p", "q", 3, seed=2)
+    result = bootstrap.indexed_bootstrap(df, "y", "p", "q", 3, seed=2)
     index = {(r["y"], r["idx"]): r["sk_id_curr"] for r in bootstrap.dense_index(df, "y", 2).collect()}
     sizes = {0: int((y == 0).sum()), 1: int((y == 1).sum())}
     weights = np.zeros((3, 120))
@@ -233,3 +233,38 @@ def test_bootstrap_draw_against_numpy(spark):
         w = weights[r["draw"]]
         assert np.allclose([r[f"base_{m}"] for m in ranking.METRICS], brute(y, p, w))
         assert np.allclose([r[f"challenger_{m}"] for m in ranking.METRICS], brute(y, q, w))
+
+
+def test_bootstrap_tree_splits_every_draw_exactly(spark):
+    """Weights of all blocks add up to the class size, have the moments of a multinomial and repeat."""
+    rows = np.array([0, 3, 3, 10, 11, 20])
+    shares = np.array([bootstrap.block_share(rows, b, 20, 4000, (7, 0, 1)) for b in range(5)])
+    assert (shares.sum(axis=0) == 20).all() and (shares[1] == 0).all()
+    for b, size in enumerate(np.diff(rows)):
+        assert abs(shares[b].mean() - size) < 0.2 and abs(shares[b].var() - size * (1 - size / 20)) < 0.5
+    covariance = np.cov(shares[0], shares[4])[0, 1]
+    assert abs(covariance + 3 * 9 / 20) < 0.3
+
+
+def test_bootstrap_by_tree_against_numpy(spark):
+    """Every draw recomputed from the weights of the blocks, over many small blocks."""
+    y, p, _ = sample(200, 6)
+    q = np.clip(p + np.linspace(-0.2, 0.2, 200).round(2), 0, 1)
+    schema = "sk_id_curr long, y int, p double, q double"
+    df = spark.createDataFrame([(i, int(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(y, p, q))], schema)
+    result = bootstrap.paired_bootstrap(df, "y", "p", "q", 60, seed=3, block_cells=20)
+    draws = {r["draw"]: r for r in result.draws.collect()}
+    again = bootstrap.paired_bootstrap(df.repartition(5), "y", "p", "q", 60, seed=3, block_cells=20)
+    assert {r["draw"]: r for r in again.draws.collect()} == draws and sorted(draws) == list(range(60))
+    rows = df.selectExpr("y", "p AS base", "q AS challenger")
+    blocks = bootstrap.cell_blocks(rows, 20)
+    assert blocks.count() > 3
+    sizes = {0: int((y == 0).sum()), 1: int((y == 1).sum())}
+    sums = bootstrap.drawn_sums(blocks, sizes, 60, 3).toPandas()
+    for (draw, model), own in sums.groupby(["draw", "model"]):
+        assert own.bad.sum() == sizes[1] and own.good.sum() == sizes[0]
+        values = np.concatenate([own.p, own.p])
+        labels = np.repeat([1, 0], len(own))
+        want = brute(labels, values, np.concatenate([own.bad, own.good]))
+        name = ("base", "challenger")[model]
+        assert np.allclose([draws[draw][f"{name}_{m}"] for m in ranking.METRICS], want)
