@@ -9,7 +9,7 @@ from scoreweave.functions.columns import RAW_COLUMNS
 from scoreweave.functions.guards import GateError
 from scoreweave.functions.math import clipped_log_odds, sigmoid
 from scoreweave.functions.rules import business_features
-from scoreweave.models import logistic, platt, scorecard, trees
+from scoreweave.models import histogram, logistic, platt, scorecard, trees
 from scoreweave.operators import explain, policy, split
 from scoreweave.plans import experiment, monitoring
 from scoreweave.sources import runs
@@ -120,11 +120,77 @@ def test_tree_explanation_reconstructs_the_margin(spark, raw_model_table, forest
     scored = trees.score_tree_features(features, forest).toPandas().set_index("sk_id_curr")
     assert np.allclose(terms["model_log_odds"], scored.loc[terms.index, "log_odds"], atol=1e-9)
     assert np.allclose(terms["base_log_odds"] + terms[list(forest.selected)].sum(axis=1), terms["model_log_odds"])
-    probability = forest.ensemble  # Spark's own probability agrees with the scoring view
-    assert probability.getNumTrees == 3
+    assert len(forest.forest.roots) == 3
+    nodes = forest.node_table(spark).toPandas()
+    assert nodes[nodes.node == 0].rows.tolist() == [900] * 3 and nodes.groupby("tree").left.apply(lambda x: x.isna().sum()).max() <= 15
     assert forest.importance(spark).agg(F.sum("importance")).first()[0] == pytest.approx(1.0)
 
 
+def one_split(x, g, h, penalty, min_rows):
+    """Best (gain, feature, rows to the left) over all features, bounds and sides of the missing rows."""
+    score = lambda m: g[m].sum() ** 2 / (h[m].sum() + penalty)
+    best = (1e-10, None, None)
+    for f in range(x.shape[1]):
+        absent = np.isnan(x[:, f])
+        for side in (False, True):
+            for bound in np.unique(x[~absent, f]):
+                left = np.where(absent, side, x[:, f] <= bound)
+                if min(left.sum(), (~left).sum()) >= min_rows:
+                    gain = score(left) + score(~left) - score(np.ones(len(g), bool))
+                    if gain > best[0] + 1e-9:
+                        best = (gain, f, left)
+    return best
+
+
+def test_every_split_is_the_best_first_one(spark, raw_model_table):
+    """Three whole trees grown by hand: same splits, gains, rows and leaves, in the order of gain."""
+    raw = raw_model_table.filter("sk_id_curr < 5250").withColumn("ext_source_1", F.expr("CASE WHEN sk_id_curr % 5 > 0 THEN round(ext_source_1, 1) END"))
+    model = trees.fit_trees(raw, rounds=3, min_rows=20, leaves=6, penalty=1.0, step=0.3)
+    data = business_features(raw, ("sk_id_curr", "target")).toPandas()
+    x, y = data[list(model.selected)].to_numpy(dtype=float), data["target"].to_numpy()
+    z = np.full(len(y), model.start)
+    nodes = model.node_table(spark).toPandas()
+    for t in range(3):
+        p = 1 / (1 + np.exp(-z))
+        g, h = p - y, p * (1 - p)
+        found = [(one_split(x, g, h, 1.0, 20), np.ones(len(y), bool))]
+        gains = []
+        while len(found) < 6 and max(s[0] for s, _ in found) > 1e-9:
+            i = max(range(len(found)), key=lambda k: found[k][0][0])
+            (gain, f, _), own = found.pop(i)
+            gains.append((gain, model.selected[f], int(own.sum())))
+            inside = np.flatnonzero(own)
+            left = one_split(x[own], g[own], h[own], 1.0, 20)[2]
+            for side in (left, ~left):
+                mask = np.zeros(len(y), bool)
+                mask[inside[side]] = True
+                found.append((one_split(x[mask], g[mask], h[mask], 1.0, 20), mask))
+        own = nodes[(nodes.tree == t) & nodes.left.notna()]
+        got = sorted(zip(own.gain, own["rows"]))
+        assert np.allclose(got, sorted((a, c) for a, _, c in gains), atol=1e-7)
+        for _, mask in found:
+            z[mask] += -0.3 * g[mask].sum() / (h[mask].sum() + 1)
+    scored = trees.score_tree_features(business_features(raw), model).toPandas().set_index("sk_id_curr").loc[data["sk_id_curr"]]
+    assert np.allclose(scored["log_odds"], z, atol=1e-9)
+
+
+def test_growth_asks_seldom():
+    """A known tree of gains: best-first order, whatever is asked for ahead."""
+    split = lambda gain: histogram.Split(gain, 0, 0, False, (0.0, 1.0, 1), (0.0, 1.0, 1))
+    calls = []
+
+    def evaluate(asked, splits, children):
+        calls.append(list(asked))
+        depth = {0: 0}
+        for n in sorted(children):
+            depth.update(dict.fromkeys(children[n], depth[n] + 1))
+        return [split(10.0 / (1 + depth[n]) + 0.01 * n) if depth[n] < 4 else None for n in asked]
+
+    splits, children = trees.grow(evaluate, 12)
+    assert len(splits) == 11 and len(calls) <= 5
+    assert trees.grow(lambda *_: [None], 5) == ({}, {})
+
+
 def test_platt_recovers_a_shift(spark):
     rng = np.random.default_rng(0)
     z = rng.normal(size=3000)
