@@ -95,30 +95,33 @@ def shifted(blocks: RDD, features: int, add: Callable[[np.ndarray], np.ndarray])
     return blocks.map(moved, preservesPartitioning=True)
 
 
-def best_of_feature(sums: np.ndarray, penalty: float, min_rows: int) -> list[tuple | None]:
-    """Best (gain, code, missing_left, left, right) of one feature for every node.
+def search(sums: np.ndarray, penalty: float, min_rows: int) -> list[Split | None]:
+    """Best split of every node from features x nodes x 256 x (gradient, curvature, rows).
 
-    ``sums`` is nodes x 256 x (gradient, curvature, rows), the last code being the missing rows.
+    The last code holds the missing rows. Ties go to the first feature, missing rows on the right, the lowest code.
     """
-    out: list[tuple | None] = []
-    total, absent = sums.sum(axis=1), sums[:, MISSING]
-    below = np.cumsum(sums[:, :MISSING], axis=1)
+    nodes = sums.shape[1]
+    total, absent = sums[0].sum(axis=1), sums[:, :, MISSING]
+    below = np.cumsum(sums[:, :, :MISSING], axis=2)
     score = lambda s: s[..., 0] ** 2 / (s[..., 1] + penalty + 1e-300)
-    for node in range(len(sums)):
-        best = None
-        for missing_left in (False, True):
-            left = below[node] + absent[node] if missing_left else below[node]
-            right = total[node] - left
-            fits = (left[:, 2] >= min_rows) & (right[:, 2] >= min_rows)
-            if not fits.any():
-                continue
-            gain = np.where(fits, score(left) + score(right) - score(total[node]), -np.inf)
-            code = int(np.argmax(gain))
-            if gain[code] > LEAST_GAIN and (best is None or gain[code] > best[0]):
-                ends = [(float(s[0]), float(s[1]), int(round(s[2]))) for s in (left[code], right[code])]
-                best = (float(gain[code]), code, missing_left, *ends)
-        out.append(best)
-    return out
+    whole = score(total)[:, None]
+    gains = []
+    for left in (below, below + absent[:, :, None]):
+        right = total[:, None] - left
+        fits = (left[..., 2] >= min_rows) & (right[..., 2] >= min_rows)
+        gains.append(np.where(fits, score(left) + score(right) - whole, -np.inf))
+    gain = np.stack(gains, axis=1)  # features x sides x nodes x codes
+    best: list[Split | None] = []
+    for node in range(nodes):
+        own = gain[:, :, node]
+        feature, side, code = np.unravel_index(int(np.argmax(own)), own.shape)
+        if own[feature, side, code] <= LEAST_GAIN:
+            best.append(None)
+            continue
+        left = below[feature, node, code] + (absent[feature, node] if side else 0)
+        ends = [(float(x[0]), float(x[1]), int(round(x[2]))) for x in (left, total[node] - left)]
+        best.append(Split(float(own[feature, side, code]), int(feature), int(code), bool(side), *ends))
+    return best
 
 
 def best_splits(
@@ -149,9 +152,4 @@ def best_splits(
         yield total
 
     summed = blocks.mapPartitions(sums).treeReduce(np.add, depth=3)
-    best: list[Split | None] = [None] * nodes
-    for feature in range(features):
-        for node, split in enumerate(best_of_feature(summed[feature].reshape(nodes, 256, 3), penalty, min_rows)):
-            if split is not None and (best[node] is None or split[0] > best[node].gain):
-                best[node] = Split(split[0], feature, *split[1:])
-    return best
+    return search(summed.reshape(features, nodes, 256, 3), penalty, min_rows)
