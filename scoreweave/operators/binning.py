@@ -7,18 +7,18 @@ size depends on the number of columns, never on the data.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import guards
 from ..functions.columns import MISSING, OUTSIDE, numeric_bin_name
 from ..functions.math import balanced_case, sql_literal
-from ..session import kept
-from .quantiles import exact_quantiles
-
-SEED_ROWS = 1000
+from .quantiles import ranks_of, select_values
 
 
 @dataclass(frozen=True)
@@ -95,88 +95,32 @@ class BinSpec:
         )
 
 
-def column_profile(df: DataFrame, columns) -> dict[str, dict]:
-    """Rows, non-null rows, min and max per column in one scan."""
-    aggregates = []
-    for i, c in enumerate(columns):
-        x = f"CAST({c} AS DOUBLE)"
-        aggregates += [f"count({x}) AS n{i}", f"min({x}) AS lo{i}", f"max({x}) AS hi{i}"]
-    row = df.selectExpr("count(*) AS rows", *aggregates).first()
-    return {c: {"rows": row["rows"], **{k: row[f"{k}{i}"] for k in ("n", "lo", "hi")}} for i, c in enumerate(columns)}
+def few_values(df: DataFrame, columns, limit: int) -> dict[str, list[float] | None]:
+    """Exact different values per column, or None where there are more than ``limit``."""
+    return {c: s.distinct for c, s in select_values(df, columns, lambda n: (), limit).items()}
 
 
-def few_values(df: DataFrame, profile: dict[str, dict], limit: int) -> dict[str, list[float] | None]:
-    """Exact distinct values per column, or None where there are more than ``limit``.
+def fit_bins(df: DataFrame, columns, n_bins: int = 5) -> BinSpec:
+    """Learn edges: distinct values when there are few, else exact quantiles.
 
-    A handful of rows proposes values; then the smallest and largest value outside
-    the known ones are asked for until none is left or the limit is passed. Every
-    round is a plain min/max scan and adds at least one value, so the number of
-    rounds is bounded by ``limit`` and no value set is ever gathered.
+    One selection finds counts, ends, few-valued columns and quantiles of all columns in six passes.
     """
-    columns = [c for c, p in profile.items() if p["n"]]
-    seed = df.selectExpr(*[f"CAST({c} AS DOUBLE) + 0D AS {c}" for c in columns]).limit(SEED_ROWS).collect() if columns else []
-    known = {c: {profile[c]["lo"], profile[c]["hi"]} for c in columns}
-    for c in columns:
-        known[c].update(r[c] for r in seed if r[c] is not None)
-    done: dict[str, list[float] | None] = {}
-    while True:
-        done.update({c: None for c in columns if len(known[c]) > limit})
-        columns = [c for c in columns if c not in done]
-        if not columns:
-            return done
-        aggregates = []
-        for i, c in enumerate(columns):
-            values = ", ".join(sql_literal(float(v)) for v in sorted(known[c]))
-            other = f"CASE WHEN CAST({c} AS DOUBLE) NOT IN ({values}) THEN CAST({c} AS DOUBLE) END"
-            aggregates += [f"min({other}) AS lo{i}", f"max({other}) AS hi{i}"]
-        row = df.selectExpr(*aggregates).first()
-        for i, c in enumerate(columns):
-            if row[f"lo{i}"] is None:
-                done[c] = sorted(known[c])
-            else:
-                known[c].update((row[f"lo{i}"], row[f"hi{i}"]))
-
-
-def fit_bins(
-    df: DataFrame, columns, n_bins: int = 5, small_cells: int | None = None, **limits
-) -> BinSpec:
-    """Learn edges: distinct values when there are few, else exact quantiles."""
     columns = list(columns)
     if isinstance(n_bins, bool) or not isinstance(n_bins, int) or n_bins < 2:
         raise ValueError("n_bins must be a whole number >= 2")
     guards.forbid_columns(columns)
-    if df.is_cached:
-        return _fit(df, columns, n_bins, small_cells, limits)
-    with kept(df.select(*columns)) as rows:
-        return _fit(rows, columns, n_bins, small_cells, limits)
-
-
-def _fit(df: DataFrame, columns: list[str], n_bins: int, small_cells: int | None, limits: dict) -> BinSpec:
-    profile = column_profile(df, columns)
-    if not columns or profile[columns[0]]["rows"] == 0:
+    if not columns or df.isEmpty():
         raise ValueError("bins need at least one row and one column")
-
-    distinct = few_values(df, profile, n_bins)
-    wide = {c: (p["n"], p["lo"], p["hi"]) for c, p in profile.items() if p["n"] and distinct[c] is None}
-    options = dict(limits)
-    if small_cells is not None:
-        options["small_cells"] = small_cells
-    numeric = df.selectExpr(*[f"CAST({c} AS DOUBLE) AS {c}" for c in wide]) if wide else df
     # Same points as an even grid over [0, 1], computed as step * index.
     points = [i * (1.0 / n_bins) for i in range(1, n_bins)]
-    quantiles = exact_quantiles(numeric, wide, points, **options)
-
     fitted = []
-    for c in columns:
-        p = profile[c]
-        if not p["n"]:
+    for c, found in select_values(df, columns, ranks_of(points), n_bins).items():
+        if not found.n:
             fitted.append(FeatureBins(c, (), True, None, None))
             continue
-        if c in wide:
-            cuts = [q for q in sorted(set(quantiles[c])) if p["lo"] < q < p["hi"]]
-        else:
-            cuts = distinct[c][:-1]
-        fitted.append(FeatureBins(c, tuple(cuts), False, p["lo"], p["hi"]))
+        low, high = found.at[0], found.at[found.n - 1]
+        cuts = [q for q in sorted(set(found.quantiles(points))) if low < q < high] if found.distinct is None else found.distinct[:-1]
+        fitted.append(FeatureBins(c, tuple(cuts), False, low, high))
     return BinSpec(n_bins, tuple(fitted))
 
 
@@ -189,19 +133,35 @@ def apply_bins(df: DataFrame, spec: BinSpec, keep: tuple[str, ...] = ("sk_id_cur
 def bin_counts(df: DataFrame, spec: BinSpec, measures: dict[str, Column] | None = None) -> DataFrame:
     """Rows and summed measures per (feature, bin), only for bins that occur.
 
-    Each row becomes one integer code per feature; the codes combine map-side, so the
-    shuffle carries (features x bins) rows per task whatever the data size. Codes are
-    spaced by the feature with the most labels.
+    The bins of a row are integer codes, spaced by the feature with the most labels. A task adds up all its
+    rows in one vector of counts and one per measure (null measures count as zero), so no row is repeated per
+    feature and the shuffle carries (features x bins) rows per task whatever the data size.
     """
     measures = measures or {}
     step = max(len(f.labels) for f in spec.features)
+    size, width = step * len(spec.features), len(spec.features)
     codes = F.expr(f"array({', '.join(f.position_sql(i * step) for i, f in enumerate(spec.features))})")
     named = {f"m{i}": name for i, name in enumerate(measures)}
-    long = df.select(
-        *[measures[name].alias(short) for short, name in named.items()], F.explode(codes).alias("code")
-    )
-    grouped = long.groupBy("code").agg(
-        F.count("*").alias("n_samples"), *[F.sum(short).alias(name) for short, name in named.items()]
+    rows = df.select(codes.cast("array<int>").alias("codes"), *[measures[name].alias(short) for short, name in named.items()])
+    whole = [t in ("tinyint", "smallint", "int", "bigint") for _, t in rows.dtypes[1:]]
+    rows = rows.select("codes", *[F.col(short).cast("long" if w else "double") for short, w in zip(named, whole, strict=True)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size, np.int64)
+        sums = [np.zeros(size, np.int64 if w else np.float64) for w in whole]
+        for batch in batches:
+            flat = batch.column(0).flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+            known = flat >= 0
+            n += np.bincount(flat[known], minlength=size)
+            for total, column in zip(sums, batch.columns[1:], strict=True):
+                value = np.repeat(column.fill_null(0).to_numpy(zero_copy_only=False), width)[known]
+                np.add.at(total, flat[known], value)
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(x[seen]) for x in (np.arange(size), n, *sums)], names=["code", "n", *named])
+
+    kinds = ["code long", "n long", *[f"{short} {'long' if w else 'double'}" for short, w in zip(named, whole, strict=True)]]
+    grouped = rows.mapInArrow(count, ", ".join(kinds)).groupBy("code").agg(
+        F.sum("n").alias("n_samples"), *[F.sum(short).alias(name) for short, name in named.items()]
     )
     names = F.expr(f"array({', '.join(sql_literal(f.feature) for f in spec.features)})")
     labels = F.expr(
@@ -210,7 +170,7 @@ def bin_counts(df: DataFrame, spec: BinSpec, measures: dict[str, Column] | None
     which = F.floor(F.col("code") / step).cast("int")
     return grouped.select(
         F.element_at(names, which + 1).alias("feature"),
-        F.element_at(F.element_at(labels, which + 1), F.col("code") % step + 1).alias("bin"),
+        F.element_at(F.element_at(labels, which + 1), (F.col("code") % step + 1).cast("int")).alias("bin"),
         "n_samples",
         *measures,
     )

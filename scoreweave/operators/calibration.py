@@ -103,12 +103,11 @@ def calibration_summary(
     )
 
 
-def reliability_table(df: DataFrame, y: str, p: str, n_bins: int = 10, **limits) -> DataFrame:
+def reliability_table(df: DataFrame, y: str, p: str, n_bins: int = 10) -> DataFrame:
     """Quantile bins, right-closed, lowest value included, repeated edges dropped."""
     rows = _inputs(df, y, p)
-    span = rows.agg(F.count("*").alias("n"), F.min("p").alias("lo"), F.max("p").alias("hi")).first()
     points = [i * (1.0 / n_bins) for i in range(n_bins)] + [1.0]
-    edges = sorted(set(exact_quantiles(rows, {"p": (span["n"], span["lo"], span["hi"])}, points, **limits)["p"]))
+    edges = sorted(set(exact_quantiles(rows, ["p"], points).get("p", [])))
     return (
         rows.groupBy(balanced_position("p", edges[1:-1]).alias("bin_index"))
         .agg(
@@ -121,7 +120,7 @@ def reliability_table(df: DataFrame, y: str, p: str, n_bins: int = 10, **limits)
     )
 
 
-def describe(df: DataFrame, column: str, **limits) -> DataFrame:
+def describe(df: DataFrame, column: str) -> DataFrame:
     """Count, mean, deviation, extremes and exact quartiles of one column."""
     x = df.select(guards.finite(column, column).alias("x"))
     row = x.agg(
@@ -129,7 +128,7 @@ def describe(df: DataFrame, column: str, **limits) -> DataFrame:
         F.min("x").alias("lo"), F.max("x").alias("hi"),
     )
     known = row.first()
-    quartiles = exact_quantiles(x, {"x": (known["n"], known["lo"], known["hi"])}, [0.25, 0.5, 0.75], **limits)["x"]
+    quartiles = exact_quantiles(x, ["x"], [0.25, 0.5, 0.75]).get("x", [None] * 3)
     values = [known["n"], known["mean"], known["std"], known["lo"], *quartiles, known["hi"]]
     schema = "n long, mean double, std double, min double, q25 double, q50 double, q75 double, max double"
     return df.sparkSession.createDataFrame([tuple(values)], schema)

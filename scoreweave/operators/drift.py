@@ -33,13 +33,13 @@ class DriftReference:
         return {b: n for f, b, n in self.counts if f == feature}
 
 
-def fit_reference(df: DataFrame, columns, n_bins: int = 5, epsilon: float = 1e-6, **limits) -> DriftReference:
+def fit_reference(df: DataFrame, columns, n_bins: int = 5, epsilon: float = 1e-6) -> DriftReference:
     """Learn bins on the reference and count every bin, empty ones included."""
     if isinstance(epsilon, bool) or not 0 < epsilon < 1:
         raise ValueError("epsilon must lie strictly between 0 and 1")
     columns = list(columns)
     with kept(df if df.is_cached else df.select(*columns)) as rows:
-        spec = fit_bins(rows, columns, n_bins, **limits)
+        spec = fit_bins(rows, columns, n_bins)
         found = {(r["feature"], r["bin"]): r["n_samples"] for r in bin_counts(rows, spec).collect()}
     counts = tuple((f.feature, b, found.get((f.feature, b), 0)) for f in spec.features for b in f.labels)
     first = spec.features[0].feature

@@ -1,179 +1,166 @@
-"""Exact interpolated quantiles that never hold a column's values in one task.
+"""Exact order statistics by radix selection, for all columns and ranks at once.
 
-Small inputs use the built-in ``percentile`` (one value map per column). Larger
-ones bracket every wanted order statistic with ``percentile_approx``, whose rank
-error is bounded, shrink the brackets until few rows lie strictly inside, and read
-the exact order statistics from the counts inside. Only brackets are ever shuffled.
+A double is read as a 64-bit number of the same order. Each pass counts, for every column, the next digit of
+the numbers that begin like a wanted one; six passes fix all 64 bits. A task adds up its rows into one vector of
+counts, whose size depends on columns and ranks and never on the data, and vectors are added in a tree.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark import RDD
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-# The built-in map path is used while (rows x columns) stays below this.
-SMALL_CELLS = 20_000_000
-ACCURACY = 10_000
-INSIDE_LIMIT = 1_000_000
+DIGIT = 11
+SHIFTS = (55, 44, 33, 22, 11, 0)
+BLOCK_ROWS = 16384
+# Fewer rows than this are not worth a task of their own.
+TASK_ROWS = 65536
+# Image of a missing value; no number has it.
+MISSING = np.uint64(0xFFFFFFFFFFFFFFFF)
+SIGN = np.uint64(1 << 63)
+
+
+class Selected(NamedTuple):
+    """Non-null rows, values by rank, and all different values if there are few (else None)."""
+
+    n: int
+    at: dict[int, float]
+    distinct: list[float] | None
+
+    def quantiles(self, probabilities: Sequence[float]) -> list[float]:
+        """Linear interpolation between neighbouring order statistics."""
+        return [_interpolate(x, self.at[math.floor(x)], self.at[math.ceil(x)]) for x in ((self.n - 1) * p for p in probabilities)]
 
 
 def _interpolate(position: float, low: float, high: float) -> float:
-    """Linear interpolation between two neighbouring order statistics."""
     floor, ceil = math.floor(position), math.ceil(position)
     if floor == ceil or low == high:
         return low
     return (ceil - position) * low + (position - floor) * high
 
 
-class _Bracket:
-    """Closed value range known to contain one order statistic of one column.
+def images(values: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit numbers in the order of the doubles; both zeros are one, not-a-number is last."""
+    bits = (values + 0.0).view(np.uint64)
+    return np.where(bits & SIGN, ~bits, bits | SIGN)
 
-    ``below`` rows lie under ``low``, ``at_low`` equal it, ``inside`` lie strictly
-    between the ends. ``value`` is set once the statistic is known.
-    """
 
-    def __init__(self, column: str, rank: int, low: float, high: float):
-        self.column, self.rank = column, rank
-        self.low, self.high = low, high
-        self.below = self.at_low = self.inside = 0
-        self.value: float | None = None
-
-    def inner(self) -> Column:
-        x = F.col(self.column)
-        return F.when((x > self.low) & (x < self.high), x)
-
-    def settle(self) -> None:
-        if self.rank < self.below + self.at_low:
-            self.value = self.low
-        elif self.rank >= self.below + self.at_low + self.inside:
-            self.value = self.high
-
-
-def _measure(df: DataFrame, ranges: list[tuple[str, float, float]]) -> list[tuple[int, int, int, int]]:
-    """Rows (below, at low, strictly inside, at high) for every range, in one scan."""
-    counts = []
-    for i, (name, low, high) in enumerate(ranges):
-        x = F.col(name)
-        counts += [
-            F.count_if(x < low).alias(f"b{i}"),
-            F.count_if(x == low).alias(f"l{i}"),
-            F.count_if((x > low) & (x < high)).alias(f"i{i}"),
-            F.count_if((x == high) & (x > low)).alias(f"h{i}"),
-        ]
-    row = df.agg(*counts).first()
-    return [tuple(row[f"{k}{i}"] for k in "blih") for i in range(len(ranges))]
-
-
-def _open(df: DataFrame, brackets: list[_Bracket]) -> None:
-    measured = _measure(df, [(b.column, b.low, b.high) for b in brackets])
-    for bracket, (below, at_low, inside, _) in zip(brackets, measured):
-        bracket.below, bracket.at_low, bracket.inside = below, at_low, inside
-        bracket.settle()
-
-
-def _shrink(df: DataFrame, brackets: list[_Bracket], accuracy: int) -> None:
-    """Replace each bracket by a narrower one that still holds its statistic.
-
-    The sketch only proposes ends; exact counts decide on which side of them the
-    statistic lies, so a poor proposal costs a round and never a wrong result.
+def doubles(numbers: np.ndarray) -> np.ndarray:
+    """The doubles of :func:`images`."""
+    return np.where(numbers & SIGN, numbers & ~SIGN, ~numbers).view(np.float64)
+
+
+def _packed(df: DataFrame, columns: Sequence[str]) -> RDD:
+    """Blocks of images, column by column."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                rows = []
+                for c in part.columns:
+                    own = images(c.fill_null(0.0).to_numpy(zero_copy_only=False))
+                    own[c.is_null().to_numpy(zero_copy_only=False)] = MISSING
+                    rows.append(own)
+                data = np.stack(rows).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows]), pa.array([data], pa.binary())], names=["n", "data"])
+
+    table = df.select(*[F.expr(f"CAST({c} AS DOUBLE) AS c{i}") for i, c in enumerate(columns)]).mapInArrow(pack, "n long, data binary")
+    return table.rdd.map(tuple)
+
+
+def _counted(blocks: RDD, columns: int, active: list[np.ndarray], shift: int) -> list[np.ndarray]:
+    """Per column: (beginnings, digits) counts of the numbers that begin like an active one."""
+    starts = np.cumsum([0, *[len(a) << DIGIT for a in active]])
+    above = np.uint64(min(63, shift + DIGIT))
+    first = shift == SHIFTS[0]
+
+    def sums(part: Iterator[tuple[int, bytes]]) -> Iterator[np.ndarray]:
+        total = np.zeros(int(starts[-1]), np.int64)
+        for _, data in part:
+            for i, own in enumerate(np.frombuffer(data, np.uint64).reshape(columns, -1)):
+                if not len(active[i]):
+                    continue
+                own = own[own != MISSING]
+                digit = ((own >> np.uint64(shift)) & np.uint64((1 << DIGIT) - 1)).astype(np.int64)
+                if not first:
+                    begin = own >> above
+                    place = np.minimum(np.searchsorted(active[i], begin), len(active[i]) - 1)
+                    hit = active[i][place] == begin
+                    digit = digit[hit] + (place[hit] << DIGIT)
+                total[starts[i] : starts[i + 1]] += np.bincount(digit, minlength=int(starts[i + 1] - starts[i]))
+        yield total
+
+    found = blocks.mapPartitions(sums).treeReduce(np.add, depth=3)
+    return [found[starts[i] : starts[i + 1]].reshape(-1, 1 << DIGIT) for i in range(columns)]
+
+
+def select_values(df: DataFrame, columns: Sequence[str], ranks: Callable[[int], Sequence[int]], few: int = 0) -> dict[str, Selected]:
+    """Exact values at zero-based ``ranks(n)`` of the n non-null rows of each column.
+
+    Columns with at most ``few`` different values also list them all. Columns without a value have none.
     """
-    slack = 2.0 / accuracy
-    wanted = []
-    for i, b in enumerate(brackets):
-        share = (b.rank - b.below - b.at_low + 0.5) / b.inside
-        points = F.array(F.lit(max(0.0, share - slack)), F.lit(min(1.0, share + slack)))
-        wanted.append(F.percentile_approx(b.inner(), points, accuracy).alias(f"q{i}"))
-    row = df.agg(*wanted).first()
-    ends = [tuple(row[f"q{i}"]) for i in range(len(brackets))]
-    measured = _measure(df, [(b.column, *e) for b, e in zip(brackets, ends)])
-    for b, (low, high), (below, at_low, inside, at_high) in zip(brackets, ends, measured):
-        end = b.below + b.at_low + b.inside
-        if b.rank < below:
-            b.high, b.inside = low, below - b.below - b.at_low
-        elif b.rank < below + at_low + inside:
-            b.low, b.high, b.below, b.at_low, b.inside = low, high, below, at_low, inside
-        elif b.rank < below + at_low + inside + at_high:
-            b.value = high
-        else:
-            b.below = below + at_low + inside if high > low else below
-            b.low, b.at_low = high, at_high if high > low else at_low
-            b.inside = end - b.below - b.at_low
-        if b.value is None:
-            b.settle()
-
-
-def _read_inside(df: DataFrame, brackets: list[_Bracket]) -> None:
-    """Exact order statistics from the bounded set of rows strictly inside."""
-    members = F.array(
-        *[F.struct(F.lit(i).alias("slot"), b.inner().alias("value")) for i, b in enumerate(brackets)]
-    )
-    inside = (
-        df.select(F.explode(F.filter(members, lambda m: m["value"].isNotNull())).alias("m"))
-        .groupBy(F.col("m.slot").alias("slot"), F.col("m.value").alias("value"))
-        .agg(F.count("*").alias("n"))
-        .withColumn(
-            "reached",
-            F.sum("n").over(
-                Window.partitionBy("slot").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-            ),
-        )
-    )
-    want = F.lit(None).cast("long")
-    for i, b in enumerate(brackets):
-        want = F.when(F.col("slot") == i, F.lit(b.rank - b.below - b.at_low)).otherwise(want)
-    rows = inside.filter(F.col("reached") > want).groupBy("slot").agg(F.min("value").alias("value")).collect()
-    for row in rows:
-        brackets[row["slot"]].value = row["value"]
-
-
-def order_statistics(
-    df: DataFrame,
-    ranks: dict[str, list[int]],
-    bounds: dict[str, tuple[float, float]],
-    accuracy: int = ACCURACY,
-    inside_limit: int = INSIDE_LIMIT,
-) -> dict[tuple[str, int], float]:
-    """Exact zero-based order statistics per column."""
-    brackets = [_Bracket(c, r, *bounds[c]) for c, rs in ranks.items() for r in sorted(set(rs))]
-    _open(df, brackets)
-    while wide := [b for b in brackets if b.value is None and b.inside > inside_limit]:
-        _shrink(df, wide, accuracy)
-    if rest := [b for b in brackets if b.value is None]:
-        _read_inside(df, rest)
-    return {(b.column, b.rank): b.value for b in brackets}
-
-
-def exact_quantiles(
-    df: DataFrame,
-    columns: dict[str, tuple[int, float, float]],
-    probabilities: list[float],
-    small_cells: int = SMALL_CELLS,
-    **limits,
-) -> dict[str, list[float]]:
-    """Quantiles per column; ``columns`` maps a name to (non-null rows, min, max)."""
+    columns = list(columns)
     if not columns:
         return {}
-    if sum(n for n, _, _ in columns.values()) <= small_cells:
-        # One value map per column, each in its own group, so columns spread over tasks.
-        names = list(columns)
-        pairs = ", ".join(f"named_struct('slot', {i}, 'value', {c})" for i, c in enumerate(names))
-        points = ", ".join(f"{float(p)!r}D" for p in probabilities)
-        rows = (
-            df.selectExpr(f"inline(array({pairs}))")
-            .groupBy("slot")
-            .agg(F.expr(f"percentile(value, array({points}))").alias("q"))
-            .collect()
-        )
-        return {names[r["slot"]]: list(r["q"]) for r in rows}
-    positions = {c: [(n - 1) * p for p in probabilities] for c, (n, _, _) in columns.items()}
-    ranks = {
-        c: [r for x in xs for r in {math.floor(x), math.ceil(x)}] for c, xs in positions.items()
-    }
-    found = order_statistics(df, ranks, {c: (lo, hi) for c, (_, lo, hi) in columns.items()}, **limits)
-    return {
-        c: [_interpolate(x, found[c, math.floor(x)], found[c, math.ceil(x)]) for x in xs]
-        for c, xs in positions.items()
-    }
+    packed = _packed(df, columns).persist()
+    try:
+        rows = packed.map(lambda b: b[0]).fold(0, lambda a, b: a + b)
+        blocks = packed.coalesce(max(1, min(packed.getNumPartitions(), -(-rows // TASK_ROWS))))
+        return _selected(blocks, columns, ranks, few)
+    finally:
+        packed.unpersist()
+
+
+def _selected(blocks: RDD, columns: list[str], ranks: Callable[[int], Sequence[int]], few: int) -> dict[str, Selected]:
+    size = len(columns)
+    active = [np.zeros(1, np.uint64) for _ in columns]
+    n, wanted, listed = [0] * size, [{} for _ in columns], [few > 0] * size
+    for shift in SHIFTS:
+        counts = _counted(blocks, size, active, shift)
+        for i, own in enumerate(counts):
+            if not len(active[i]):
+                continue
+            if shift == SHIFTS[0]:
+                n[i] = int(own.sum())
+                # rank -> (place of its beginning in ``active``, rank among the numbers that begin so)
+                wanted[i] = {r: (0, r) for r in ranks(n[i])} if n[i] else {}
+            after = np.cumsum(own, axis=1)
+            begins = set()
+            steps = {}
+            for rank, (place, inside) in wanted[i].items():
+                digit = int(np.searchsorted(after[place], inside, "right"))
+                steps[rank] = (int(active[i][place]) << DIGIT | digit, inside - int(after[place, digit - 1] if digit else 0))
+                begins.add(steps[rank][0])
+            if listed[i]:
+                occurring = [int(active[i][p]) << DIGIT | int(d) for p, d in zip(*np.nonzero(own), strict=True)]
+                listed[i] = len(occurring) <= few
+                if listed[i]:
+                    begins.update(occurring)
+            active[i] = np.array(sorted(begins), np.uint64)
+            places = {int(b): p for p, b in enumerate(active[i])}
+            wanted[i] = {rank: (places[b], inside) for rank, (b, inside) in steps.items()}
+    out = {}
+    for i, c in enumerate(columns):
+        values = doubles(active[i]) if len(active[i]) else np.empty(0)
+        at = {rank: float(values[place]) for rank, (place, _) in wanted[i].items()}
+        out[c] = Selected(n[i], at, [float(v) for v in values] if listed[i] else None)
+    return out
+
+
+def ranks_of(probabilities: Sequence[float]) -> Callable[[int], list[int]]:
+    """Ranks that interpolated quantiles of n rows need, and both ends."""
+    return lambda n: sorted({0, n - 1, *[r for p in probabilities for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))]})
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict[str, list[float]]:
+    """Interpolated quantiles of the columns that have a value."""
+    found = select_values(df, columns, ranks_of(probabilities))
+    return {c: s.quantiles(probabilities) for c, s in found.items() if s.n}

@@ -97,24 +97,31 @@ def test_few_values_against_brute_force(spark):
     many = rng.normal(size=3002)
     six = np.r_[np.full(2997, 2.0), [1, 3, 4, 5, 6]]
     df = spark.createDataFrame([(float(a), float(b), float(c)) for a, b, c in zip(rare, many, six)], "a double, b double, c double")
-    profile = binning.column_profile(df, ["a", "b", "c"])
-    assert binning.few_values(df, profile, 5) == {"a": [0.0, 7.0, 9.0], "b": None, "c": None}
+    assert binning.few_values(df, ["a", "b", "c"], 5) == {"a": [0.0, 7.0, 9.0], "b": None, "c": None}
 
 
-@pytest.mark.parametrize("limit", [5, 200])
-def test_bracketed_quantiles_equal_numpy(spark, limit):
+def test_selected_quantiles_equal_numpy(spark):
     rng = np.random.default_rng(1)
     smooth = rng.normal(size=4000)
     # One value holds a third of the rows.
     hot = np.where(rng.uniform(size=4000) < 0.34, 0.25, rng.uniform(size=4000))
-    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(smooth, hot)], "a double, b double").cache()
+    # Neighbouring doubles, both signs, extremes and nulls.
+    fine = rng.choice([1.0, np.nextafter(1.0, 2), -1.0, np.nextafter(-1.0, -2), 0.0, -0.0, 5e-324, 1e308, -1e308], 4000)
+    rows = [(float(a), float(b), None if i % 7 == 0 else float(c), None) for i, (a, b, c) in enumerate(zip(smooth, hot, fine))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
     points = [0.0, 0.1, 0.25, 0.4, 0.5, 0.6000000000000001, 0.99, 1.0]
-    spans = {"a": (4000, float(smooth.min()), float(smooth.max())), "b": (4000, float(hot.min()), float(hot.max()))}
-    wide = quantiles.exact_quantiles(df, spans, points, small_cells=0, accuracy=50, inside_limit=limit)
-    small = quantiles.exact_quantiles(df, spans, points)
-    for name, values in (("a", smooth), ("b", hot)):
-        assert np.allclose(wide[name], np.quantile(values, points), rtol=0, atol=1e-12)
-        assert np.allclose(small[name], np.quantile(values, points), rtol=0, atol=1e-12)
+    known = {"a": smooth, "b": hot, "c": np.array([r[2] for r in rows if r[2] is not None]) + 0.0}
+    found = quantiles.exact_quantiles(df, list("abcd"), points)
+    assert sorted(found) == list("abc")
+    for name in "ab":
+        assert np.allclose(found[name], np.quantile(known[name], points), rtol=0, atol=1e-12)
+    ranks = [0, 1, 17, 1000, 2500, 3000]
+    picked = quantiles.select_values(df, list("abcd"), lambda n: [r for r in ranks if r < n], few=9)
+    for name, values in known.items():
+        assert picked[name].n == len(values) and picked[name].at == {r: float(np.sort(values)[r]) for r in ranks}
+    assert picked["a"].distinct is None and picked["d"] == (0, {}, [])
+    assert picked["c"].distinct == sorted(set(known["c"].tolist())) and len(picked["c"].distinct) == 8
+    assert (quantiles.doubles(quantiles.images(np.sort(known["c"]))) == np.sort(known["c"])).all()
 
 
 def labelled(spark):
