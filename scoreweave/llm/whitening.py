@@ -71,7 +71,7 @@ def _packed(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCK_ROWS):
                 m = _matrix(batch.column(0).slice(start, BLOCK_ROWS))
-                safe = m if np.abs(m.astype(np.float64)).max() < 2.0**50 else m.astype(object)
+                safe = m if np.abs(m.astype(np.float64)).max(initial=0.0) < 2.0**50 else m.astype(object)
                 sums = [str(s) for s in safe.sum(axis=0)]
                 parts = [pa.array([len(m)], pa.int64()), pa.array([sums], pa.list_(pa.string())), pa.array([m.tobytes()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(parts, names=["n", "sums", "data"])
@@ -204,7 +204,7 @@ def whiten(rows: DataFrame, model: Whitening) -> DataFrame:
             if not batch.num_rows:
                 continue
             m = _matrix(batch.column(1))
-            bound = n * int(np.abs(m.astype(np.float64)).max() + 1) + largest
+            bound = n * int(np.abs(m.astype(np.float64)).max(initial=0.0) + 1) + largest
             dtype = np.int64 if bound * bound * len(own_sums) < 1 << 62 else object
             away = n * m.astype(dtype) - np.array(own_sums, dtype)
             w = (m - own_mean) @ own_turn
