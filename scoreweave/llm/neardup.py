@@ -15,17 +15,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, NumericType
 
 from .tools import LOWER, shingle_hashes, stored, word_hashes
 
 COORDINATES = 64
 SECOND_BRANCH = 0.25
-# Nodes of at most PAIRED documents give pairs, those of at most CAPACITY are compared inside one task;
-# larger ones branch, and what is still larger at MAX_DEPTH is compared in blocks of that size.
+# Nodes of at most PAIRED documents give pairs, blocks of about STAR in larger ones first give pairs with one
+# document. Nodes of at most CAPACITY are compared inside one task; larger ones branch, and what is still larger at
+# MAX_DEPTH is compared in blocks of that size.
 PAIRED = 10
+STAR = 200
 CAPACITY = 2000
 BLOCK_BYTES = 16 << 20
 MAX_DEPTH = 6
@@ -264,34 +266,65 @@ def leaves(records: DataFrame, recall: float, similarity: float) -> DataFrame:
     return done.unionByName(rows.filter(F.col("size") > CAPACITY))
 
 
+def _stars(large: DataFrame, percent: int) -> DataFrame:
+    """Possible pairs of each member of a larger node with the smallest record of its block of the node."""
+    block = F.pmod(F.xxhash64("node", "l.rec"), F.ceil(F.col("size") / STAR))
+    centre = F.first("l").over(Window.partitionBy("node", "block").orderBy("l.rec"))
+    met = large.withColumn("block", block).select(centre.alias("c"), F.col("l").alias("m"))
+    met = met.filter((F.col("c.rec") < F.col("m.rec")) & _possible("c", "m", percent))
+    return met.select(F.col("c.rec").alias("a"), F.col("m.rec").alias("b"), F.col("c.n_shingles").alias("na"), F.col("m.n_shingles").alias("nb"))
+
+
+def _needed_sets(members: DataFrame, needed: DataFrame, size: int, name: str) -> DataFrame:
+    """Packed sets of the records in ``needed``, as a written table."""
+    found = likely(members, "rec", needed).join(needed.hint("shuffle_hash"), "rec", "left_semi")
+    return stored(shingle_sets(found, "rec", "text", size), name)
+
+
+def _open_members(large: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(``node``, ``i``, ``k``, ``rec``): members with a possible partner in another component, dealt into block pairs.
+
+    Nodes whose members are all in one component are left out by their least and greatest root.
+    """
+    rows = large.select("node", "size", "total", "l", F.col("l.rec").alias("rec"))
+    rows = rows.join(labels, "rec", "left").withColumn("root", F.coalesce("root", "rec"))
+    mixed = rows.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("node")
+    blocks = F.greatest(F.ceil(F.col("size") / CAPACITY), F.ceil(8 * F.col("total") / BLOCK_BYTES)).cast("int")
+    own = F.pmod(F.xxhash64("rec"), F.col("blocks")).cast("int")
+    rows = rows.join(mixed, "node", "left_semi").withColumn("blocks", blocks).withColumn("own", own)
+    dealt = rows.select("node", "l", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = stored(dealt.select("node", "l", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("k")), "dealt")
+    partner = dealt.select(*[F.col(c).alias(f"p_{c}") for c in ("node", "i", "k", "root")], F.col("l").alias("r"))
+    same = (F.col("node") == F.col("p_node")) & (F.col("i") == F.col("p_i")) & (F.col("k") == F.col("p_k"))
+    active = same & (F.col("root") != F.col("p_root")) & _possible("l", "r", percent)
+    return stored(dealt.join(partner, active, "left_semi").select("node", "i", "k", F.col("l.rec").alias("rec")), "active")
+
+
 def similar_links(records: DataFrame, members: DataFrame, size: int, percent: int, recall: float) -> DataFrame:
     """Links (``a``, ``b``) that join all components of similar records.
 
     ``records`` are class representatives (``rec``, ``n_shingles``, ``sketch``, ``coords``); ``members``
-    holds texts under ``rec``. Pairs of small nodes are made distinct over the trees and confirmed one
-    by one. Members of larger nodes that have a possible partner there go to one task a node, or one
-    for each two blocks of a node, and come back as a spanning forest.
+    holds texts under ``rec``. Pairs of small nodes, and of members of larger nodes with the smallest
+    record of their block, are made distinct over the trees and confirmed one by one. Larger nodes
+    that still hold several components are then compared exhaustively: members with a possible partner in
+    another component go to one task a node, or one for each two blocks of a node, and come back as a
+    spanning forest.
     """
     nodes = leaves(records, recall, percent / 100)
     side = F.struct("rec", "n_shingles", "sketch")
     small = nodes.filter(F.col("size") <= PAIRED).select("node", side.alias("l"))
     met = small.join(small.withColumnRenamed("l", "r"), "node").filter((F.col("l.rec") < F.col("r.rec")) & _possible("l", "r", percent))
-    pairs = stored(met.select(F.col("l.rec").alias("a"), F.col("r.rec").alias("b"), F.col("l.n_shingles").alias("na"), F.col("r.n_shingles").alias("nb")).distinct(), "pairs")
+    met = met.select(F.col("l.rec").alias("a"), F.col("r.rec").alias("b"), F.col("l.n_shingles").alias("na"), F.col("r.n_shingles").alias("nb"))
     large = nodes.filter(F.col("size") > PAIRED).select("node", "size", "total", side.alias("l"))
-    partner = large.select(F.col("node").alias("p_node"), F.col("l").alias("r"))
-    active = (F.col("node") == F.col("p_node")) & (F.col("l.rec") != F.col("r.rec")) & _possible("l", "r", percent)
-    active_rows = stored(large.join(partner, active, "left_semi").select("node", "size", "total", "l.rec"), "active")
-    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("rec")).union(active_rows.select("rec")).distinct(), "needed")
-    found = likely(members, "rec", needed).join(needed.hint("shuffle_hash"), "rec", "left_semi")
-    sets = stored(shingle_sets(found, "rec", "text", size), "sets")
-    links = verified(pairs, sets, percent)
-    blocks = F.greatest(F.ceil(F.col("size") / CAPACITY), F.ceil(8 * F.col("total") / BLOCK_BYTES)).cast("int")
-    own = F.pmod(F.xxhash64("rec"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = active_rows.withColumn("blocks", blocks).withColumn("own", own).select("node", "rec", "own", other.alias("other"))
-    dealt = dealt.select("node", "rec", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("k"))
+    pairs = stored(met.unionByName(_stars(large, percent)).distinct(), "pairs")
+    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("rec")).distinct(), "needed")
+    links = stored(verified(pairs, _needed_sets(members, needed, size, "sets"), percent), "links")
+    active = _open_members(large, contracted(links), percent)
+    if active.isEmpty():
+        return links
+    sets = _needed_sets(members, stored(active.select("rec").distinct(), "needed"), size, "sets")
     kind = records.schema["rec"].dataType.simpleString()
-    compared = dealt.join(sets, "rec").groupBy("node", "i", "k").applyInPandas(lambda g: spanning_links(g, percent), f"a {kind}, b {kind}")
+    compared = active.join(sets, "rec").groupBy("node", "i", "k").applyInPandas(lambda g: spanning_links(g, percent), f"a {kind}, b {kind}")
     return stored(links.union(compared), "links")
 
 
@@ -325,9 +358,10 @@ def near_duplicates(
     rows = stored(profiles(base, "rec", "text", size), "profiles")
     filled = rows.filter("n_shingles > 0 AND rec IS NOT NULL")
     classes = stored(filled.groupBy("k1", "k2").agg(F.min("rec").alias("rec"), F.count(F.lit(1)).alias("copies")), "classes")
-    records = stored(
-        filled.join(classes.drop("copies"), ["rec", "k1", "k2"], "left_semi").select("rec", "n_shingles", "sketch", "coords"), "records"
-    )
+    named = filled.join(classes, ["rec", "k1", "k2"])
+    repeated = named.filter("copies > 1").dropDuplicates(["rec", "k1", "k2"])
+    once = named.filter("copies = 1").unionByName(repeated)
+    records = stored(once.select("rec", "n_shingles", "sketch", "coords"), "records")
     labels = contracted(similar_links(records, base, size, percent, recall))
     of_class = classes.join(labels, "rec", "left").filter("copies > 1 OR root IS NOT NULL")
     of_class = of_class.select("k1", "k2", F.coalesce("root", "rec").alias("component_id"))
@@ -338,16 +372,29 @@ def near_duplicates(
     )
 
 
+def _text_names(docs: DataFrame, key: str, text: str) -> Column:
+    """Name of a row's key and text, ordered as the key is; null for a null key."""
+    digest = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 4)
+    kind = docs.schema[key].dataType
+    if isinstance(kind, NumericType):
+        return F.col(key).cast("decimal(19,0)") * F.lit(1 << 60).cast("decimal(19,0)") + digest.cast("decimal(19,0)")
+    return F.concat(F.col(key).cast("string"), F.lit("\0"), F.lpad(F.hex(digest), 15, "0"))
+
+
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` whose key is the smallest of their group of near duplicates.
 
-    Of rows that repeat a key and its text, one stays. Rows with a null key, or without a word, stay.
+    Of rows that repeat a key and its text, one stays. Rows that repeat a key with another text are
+    documents of their own: each stays or goes with its own text. Rows with a null key, or without a word,
+    stay.
     """
-    rows = near_duplicates(docs, key, text, **settings)
-    dropped = rows.filter(~F.col("kept")).select(key).distinct()
-    left = docs.join(dropped, key, "left_anti")
-    again = stored(docs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key), "repeats")
+    filled = docs.filter(F.col(key).isNotNull())
+    again = stored(filled.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key), "repeats")
     if again.isEmpty():
-        return left
-    once = left.join(again, key, "left_semi").dropDuplicates([key, text])
-    return left.join(again, key, "left_anti").unionByName(once)
+        rows = near_duplicates(docs, key, text, **settings)
+        return docs.join(rows.filter(~F.col("kept")).select(key), key, "left_anti")
+    name = next(c for i in range(len(docs.columns) + 1) if (c := f"_name{i}") not in docs.columns)
+    named = docs.withColumn(name, _text_names(docs, key, text))
+    once = named.filter(F.col(key).isNotNull()).dropDuplicates([name]).unionByName(named.filter(F.col(key).isNull()))
+    rows = near_duplicates(named.select(name, text), name, text, **settings)
+    return once.join(rows.filter(~F.col("kept")).select(name).distinct(), name, "left_anti").select(*docs.columns)

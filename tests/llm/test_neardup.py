@@ -188,3 +188,27 @@ def test_missed_pairs_by_simulation():
     assert neardup.bits_for(0.8) == 22 and neardup.bits_for(0.5) > 22
     with pytest.raises(ValueError, match="coordinates"):
         neardup.trees_for(0.9999, 0.5)
+
+
+def test_many_equal_rows_are_one_record(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.range(50_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    near = spark.createDataFrame([(9, text + " end"), (11, "something else in a text")], "doc_id long, text string")
+    out = neardup.near_duplicates(docs.unionByName(near)).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert sorted(map(tuple, out)) == [(7, 7, True, 50_000), (9, 7, False, 1), (11, 11, True, 1)]
+
+
+def test_stars_leave_the_rest_to_the_exact_comparison(spark, monkeypatch):
+    """Two groups that share a node by a common passage, and a chain whose ends are not alike."""
+    monkeypatch.setattr(neardup, "STAR", 5)
+    rng = random.Random(5)
+    common = [f"p{i}" for i in range(120)]
+    rows = []
+    for group in range(2):
+        own = [f"g{group}w{i}" for i in range(60)]
+        rows += [(100 * group + i, edited(common + own, rng, 0.01)) for i in range(40)]
+    words = [f"c{i}" for i in range(200)]
+    for step in range(30):
+        words[step * 6 : step * 6 + 3] = [f"s{step}x{j}" for j in range(3)]
+        rows.append((1000 + step, " ".join(words)))
+    check(spark, rows)

@@ -4,6 +4,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
@@ -98,3 +99,12 @@ def test_edge_cases_pass_every_stage(spark, tmp_path):
 def test_first_of_each_keeps_one_row_of_a_repeated_key(spark):
     docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "a b c"), (None, "a b c"), (3, None), (3, None), (4, "x")], "doc_id long, text string")
     assert sorted((r.doc_id or 0) for r in neardup.first_of_each(docs).collect()) == [0, 1, 3, 4]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_first_of_each_keeps_another_text_of_a_repeated_key(spark, kind):
+    copied = [f"c{i}" for i in range(60)]
+    rows = [(1, " ".join(copied)), (2, " ".join([*copied, "x"])), (2, " ".join(f"own{i}" for i in range(60))), (3, "third text stands alone here"), (3, None), (-4, "negative"), (-4, "negative")]
+    docs = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, _name0 int").withColumn("doc_id", F.col("doc_id").cast(kind))
+    left = sorted((int(r.doc_id), (r.text or "")[:4]) for r in neardup.first_of_each(docs).collect())
+    assert left == [(-4, "nega"), (1, "c0 c"), (2, "own0"), (3, ""), (3, "thir")]
