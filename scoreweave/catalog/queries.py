@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +38,7 @@ AMOUNTS = ["amt_credit_sum", "amt_credit_sum_debt"]
 GRID = [i * 0.01 for i in range(31)]
 BOOTSTRAP_DRAWS = 20
 # The credit-record contract with a key wide enough for numbers that Spark assigns.
-WIDE_KEY_BUREAU = replace(BUREAU, columns=(("sk_id_bureau", T.LongType()), *BUREAU.columns[1:]))
+WIDE_KEY_BUREAU = BUREAU.retyped(sk_id_bureau=T.LongType())
 
 
 def query(run: Query) -> Query:

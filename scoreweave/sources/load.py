@@ -24,10 +24,9 @@ from . import files
 from .contract import (
     CONTRACT_VERSION,
     CONTRACTS,
-    FileContract,
+    SourceTable,
     read_header,
     read_text_columns,
-    resolve_columns,
     schema_problems,
     typed,
     violation_rules,
@@ -105,19 +104,18 @@ def read_table(spark: SparkSession, warehouse: Warehouse, name: str, load_id: st
     return spark.read.parquet(f"{row['location']}/{name}")
 
 
-def stage_file(spark: SparkSession, path: str, contract: FileContract, target: str) -> dict:
+def stage_file(spark: SparkSession, path: str, contract: SourceTable, target: str) -> dict:
     """Read text, check every row rule and write typed columns in one pass."""
     headers = read_header(spark, path)
-    columns, extra = resolve_columns(contract, headers)
+    extra = contract.unloaded(headers)
     text = read_text_columns(spark, path, headers)
     rules = {**violation_rules(contract), "malformed": F.col("_malformed").isNotNull()}
     seen = Observation()
     watched = text.observe(
         seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in rules.items()]
     )
-    kinds = dict(contract.columns)
     try:
-        watched.select(*[typed(c, kinds[c]).alias(c) for c in columns]).write.parquet(target)
+        watched.select(*[typed(c, t).alias(c) for c, t in contract.types.items()]).write.parquet(target)
     except Exception as error:
         if "CSV header does not conform" in str(error):
             raise GateError(f"{contract.file_name}: a part file has another header") from error
@@ -136,7 +134,7 @@ def stage_file(spark: SparkSession, path: str, contract: FileContract, target: s
     if keys["duplicated"]:
         raise GateError(f"{contract.file_name}: {keys['duplicated']} duplicated keys")
     return {
-        "read": counts["rows"], "stored": keys["stored"] or 0, "headers": headers, "columns": columns, "extra": extra,
+        "read": counts["rows"], "stored": keys["stored"] or 0, "headers": headers, "columns": list(contract.names), "extra": extra,
     }
 
 

@@ -86,14 +86,26 @@ def test_missing_file_is_named(spark, tmp_path):
 
 
 def test_headers():
-    assert contract.normalize_headers([" A ", "b"]) == ["a", "b"]
+    assert contract.header_places([" A ", "b"]) == {"a": 0, "b": 1}
     for bad in (["a", "A "], ["a", " "]):
         with pytest.raises(GateError):
-            contract.normalize_headers(bad)
+            contract.header_places(bad)
     with pytest.raises(ValueError):
-        contract.FileContract("f", "t", (("a", None),), ("b",))
-    with pytest.raises(KeyError):
-        contract.contract_for("other.csv")
+        contract.SourceTable("f", "t", contract.T.StructType([contract.column("a", contract.T.LongType(), required=1)]))
+    headers = [" AMT_NEW", *[n.upper() for n in reversed(contract.BUREAU.names)], "Other"]
+    assert contract.BUREAU.unloaded(headers) == ["amt_new", "other"]
+    with pytest.raises(GateError, match="days_credit"):
+        contract.BUREAU.unloaded([h for h in headers if h != "DAYS_CREDIT"])
+    wide = contract.BUREAU.retyped(sk_id_bureau=contract.T.LongType())
+    assert (wide.key, wide.names) == (contract.BUREAU.key, contract.BUREAU.names)
+    assert contract.families(wide.types)["sk_id_bureau"] == "integer" and contract.families(wide.types)["amt_credit_sum"] == "numeric"
+
+
+def test_rules_of_a_contract():
+    rules = contract.violation_rules(contract.APPLICATION)
+    assert {"missing:sk_id_curr", "missing:target", "not_binary:target", "too_long:code_gender", "bad_value:amt_credit"} <= set(rules)
+    assert "bad_value:code_gender" not in rules and "missing:amt_credit" not in rules
+    assert contract.stored_tables()["model_input"]["bureau_cnt"] == "integer"
 
 
 def test_digests_and_provenance(spark, tmp_path):
