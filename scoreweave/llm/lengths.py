@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
+from .tools import stored
 
 WIDTH = 1024
 
@@ -72,9 +73,9 @@ def token_counts(docs: DataFrame, text: str = "text", ranks: dict[bytes, int] |
     """Encode every text of ``docs`` and return :func:`context_limits` of the lengths.
 
     Null and empty texts have length 0 and count as documents. Texts of any length are encoded
-    whole. Repeated rows count each. An empty table gives an empty result. Further columns are not
+    whole, and once: the histogram is a written table. Repeated rows count each. An empty table gives an empty result. Further columns are not
     read. General: the scoring tables of this library hold no prose.
     """
     name = "_length"
     lengths = bpe.text_lengths(docs.select(F.col(text).alias("text")), "text", name, ranks)
-    return context_limits(length_histogram(lengths, name))
+    return context_limits(stored(length_histogram(lengths, name), "length-histogram"))

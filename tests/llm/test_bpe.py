@@ -103,3 +103,11 @@ def test_context_limits(spark, reference):
         assert r.quantile == pytest.approx(sum(s <= limit for s in sizes) / len(sizes))
     assert lengths.length_at_quantile(out, 0.5).first().n_tokens == sorted(sizes)[len(sizes) // 2 - 1]
     assert lengths.token_counts(spark.createDataFrame([], "text string")).count() == 0
+
+
+def test_context_limits_of_the_whole_table(spark, reference):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sizes = sorted(len(reference.encode_ordinary(r.text or "")) for r in docs.select("text").collect())
+    rows = lengths.token_counts(docs).collect()
+    assert {r.n_tokens: r.n_docs for r in rows} == {s: sizes.count(s) for s in sizes}
+    assert all(r.tokens_over == sum(s for s in sizes if s > r.n_tokens) for r in rows)
