@@ -54,17 +54,18 @@ def sentence_numbers(found: list[str]) -> tuple[list[str], np.ndarray]:
 def training_sample(
     docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, train: Column, rows: int, characters: int
 ) -> DataFrame:
-    """At most ``rows`` labelled rows of each class, in the order of a hash of the key.
+    """At most ``rows`` labelled documents of each class, in the order of a hash of the key.
 
-    Only these keys are broadcast (twice ``rows`` at most). Texts over ``characters`` are not
-    trained on; they are scored like all others.
+    Only these keys are broadcast (twice ``rows`` at most). Of rows that repeat a key one text, the first in
+    order, is taken, and a label that repeats counts once. Texts over ``characters`` are not trained on; they are
+    scored like all others.
     """
-    usable = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
+    usable = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).distinct()
     order = [F.xxhash64(F.col("_k").cast("string")), F.col("_k"), F.col("_y")]
     parts = [usable.filter((F.col("_y") == y) & F.col("_k").isNotNull() & train).orderBy(*order).limit(rows) for y in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))
     found = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).filter(F.length("_t") <= characters)
-    return found.join(chosen, "_k").select("_t", "_y")
+    return found.join(chosen, "_k").groupBy("_k", "_y").agg(F.min("_t").alias("_t")).select("_t", "_y")
 
 
 def fit(sample: DataFrame, min_documents: int = 4, steps: int = 200, rate: float = 0.15, sparsity: float = 3e-4) -> ToxicityModel:

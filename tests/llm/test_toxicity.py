@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from scoreweave.llm import queries, toxicity
 
@@ -60,3 +61,11 @@ def test_held_out_accuracy(spark):
     out = queries.op9_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").filter("held_out").collect()
     right = [r.predicted == r.toxic for r in out]
     assert len(right) > 80 and sum(right) / len(right) > 0.95
+
+
+def test_training_sample_is_bounded_with_repeated_rows(spark):
+    docs = spark.createDataFrame([(i % 20, f"text {i % 20} {'b' if i % 40 > 19 else 'a'}") for i in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 20, i % 20 // 10) for i in range(200)], "doc_id long, toxic int")
+    sample = toxicity.training_sample(docs, labels, "doc_id", "text", "toxic", F.lit(True), 4, 100).collect()
+    assert sorted(r._y for r in sample) == [0] * 4 + [1] * 4
+    assert all(r._t.endswith("a") for r in sample) and len({r._t for r in sample}) == 8
