@@ -12,8 +12,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STATEMENTS: dict[str, str] = {}
 
 _RATIO = " UNION ALL ".join(
-    f"SELECT doc_id, lang, source, '{m}' AS metric, CAST({ratio.split(' / ')[0]} AS DOUBLE) / {ratio.split(' / ')[1]} AS x, CAST({slack} AS DOUBLE) AS slack FROM measured WHERE NOT base_failed"
-    for m, (ratio, slack) in quality.METRICS.items()
+    f"SELECT doc_id, lang, source, '{m}' AS metric, CAST({ratio.split(' / ')[0]} AS DOUBLE) / {ratio.split(' / ')[1]} AS x FROM measured WHERE NOT base_failed"
+    for m, ratio in quality.METRICS.items()
 )
 
 STATEMENTS["op2_quality_rules"] = rf"""
@@ -36,29 +36,36 @@ WITH base AS (
 ), measured AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted
 ), ratios AS ({_RATIO}), buckets AS (
-  SELECT lang, source, metric, slack, CASE WHEN x > 0 THEN CAST(ceil(ln(x) / ln({quality.GAMMA})) AS BIGINT) ELSE -1048576 END AS bucket,
+  SELECT lang, source, metric, CASE WHEN x > 0 THEN CAST(ceil(ln(x) / ln({quality.GAMMA})) AS BIGINT) ELSE {quality.ZERO} END AS bucket,
     count(*) AS n FROM ratios GROUP BY ALL
 ), merged AS (
-  SELECT metric, slack, bucket, lang, source, 2 * grouping(lang) + grouping(source) AS level, sum(n) AS n
-  FROM buckets GROUP BY GROUPING SETS ((metric, slack, bucket, lang, source), (metric, slack, bucket, lang), (metric, slack, bucket))
+  SELECT metric, bucket, lang, source, 2 * grouping(lang) + grouping(source) AS level, sum(n) AS n
+  FROM buckets GROUP BY GROUPING SETS ((metric, bucket, lang, source), (metric, bucket, lang), (metric, bucket))
+), marked AS (
+  SELECT *, 2 * sum(CASE WHEN bucket = {quality.ZERO} THEN n ELSE 0 END) OVER g > sum(n) OVER g AS sparse
+  FROM merged WINDOW g AS (PARTITION BY level, lang, source, metric)
 ), summed AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS upto,
-    sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM merged
-), quartiles AS (
-  SELECT level, lang, source, metric, slack, max(total) AS total, min(CASE WHEN 4 * upto >= total THEN bucket END) AS b1,
-    min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS b3 FROM summed GROUP BY level, lang, source, metric, slack
+    sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM marked WHERE bucket > {quality.ZERO} OR NOT sparse
+), deciles AS (
+  SELECT level, lang, source, metric, sparse, max(total) AS total, min(CASE WHEN 10 * upto >= total THEN bucket END) AS b1,
+    min(CASE WHEN 10 * upto >= 9 * total THEN bucket END) AS b9 FROM summed GROUP BY level, lang, source, metric, sparse
 ), valued AS (
-  SELECT *, CASE WHEN b1 > -1048576 THEN 2 * pow({quality.GAMMA}, b1) / (1 + {quality.GAMMA}) ELSE 0 END AS q1,
-    CASE WHEN b3 > -1048576 THEN 2 * pow({quality.GAMMA}, b3) / (1 + {quality.GAMMA}) ELSE 0 END AS q3 FROM quartiles
+  SELECT *, CASE WHEN b1 > {quality.ZERO} THEN 2 * pow({quality.GAMMA}, b1) / (1 + {quality.GAMMA}) ELSE 0 END AS q1,
+    CASE WHEN b9 > {quality.ZERO} THEN 2 * pow({quality.GAMMA}, b9) / (1 + {quality.GAMMA}) ELSE 0 END AS q9 FROM deciles
 ), fences AS (
-  SELECT level, lang, source, metric, total, q1 - greatest({quality.FENCE} * (q3 - q1), slack) AS low,
-    q3 + greatest({quality.FENCE} * (q3 - q1), slack) AS high FROM valued
+  SELECT level, lang, source, metric, total, CASE WHEN sparse THEN 0 ELSE q1 - {quality.FENCE} * (q9 - q1) END AS low,
+    q9 + {quality.FENCE} * (q9 - q1) AS high FROM valued
+), cells AS (
+  SELECT * FROM (SELECT DISTINCT lang, source FROM ratios) CROSS JOIN (SELECT DISTINCT metric FROM fences)
 ), chosen AS (
-  SELECT o.lang, o.source, o.metric,
+  SELECT p.lang, p.source, p.metric,
     CASE WHEN o.total >= {quality.MIN_ROWS} THEN o.low WHEN g.total >= {quality.MIN_ROWS} THEN g.low ELSE a.low END AS low,
     CASE WHEN o.total >= {quality.MIN_ROWS} THEN o.high WHEN g.total >= {quality.MIN_ROWS} THEN g.high ELSE a.high END AS high
-  FROM fences o JOIN fences g ON g.level = 1 AND g.metric = o.metric AND g.lang IS NOT DISTINCT FROM o.lang
-  JOIN fences a ON a.level = 3 AND a.metric = o.metric WHERE o.level = 0
+  FROM cells p
+  LEFT JOIN fences o ON o.level = 0 AND o.metric = p.metric AND o.lang IS NOT DISTINCT FROM p.lang AND o.source IS NOT DISTINCT FROM p.source
+  LEFT JOIN fences g ON g.level = 1 AND g.metric = p.metric AND g.lang IS NOT DISTINCT FROM p.lang
+  LEFT JOIN fences a ON a.level = 3 AND a.metric = p.metric
 ), broken AS (
   SELECT DISTINCT r.doc_id FROM ratios r JOIN chosen c
   ON c.metric = r.metric AND c.lang IS NOT DISTINCT FROM r.lang AND c.source IS NOT DISTINCT FROM r.source WHERE x < low OR x > high

@@ -13,18 +13,19 @@ GAP = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-# Relative width of the sketch buckets (values are right to about 1 %), the distance of the fences
-# in interquartile ranges, and the rows a group needs to have limits of its own.
+# Relative width of the sketch buckets (values are right to about 1 %), the bucket of zero, the distance
+# of the fences from the outer deciles in ranges between them, and the values a limit needs.
 GAMMA = 1.02
-FENCE = 3.0
+ZERO = -(1 << 20)
+FENCE = 1.5
 MIN_ROWS = 100
 
-# Ratio of each metric and the least distance between the outer quartile and the fence.
+# Ratio of each metric.
 METRICS = {
-    "symbols": ("n_symbols / word_chars", 0.1),
-    "dup_lines": ("n_dup_lines / n_lines", 0.5),
-    "repeats": ("n_repeat_words / n_words", 0.25),
-    "word_length": ("word_chars / n_words", 2.0),
+    "symbols": "n_symbols / word_chars",
+    "dup_lines": "n_dup_lines / n_lines",
+    "repeats": "n_repeat_words / n_words",
+    "word_length": "word_chars / n_words",
 }
 
 
@@ -100,8 +101,8 @@ def sketch(rows: DataFrame, groups: tuple[str, ...]) -> DataFrame:
     Bucket ``b`` holds values in (GAMMA^(b-1), GAMMA^b]. Sketches merge by adding counts; a sketch
     has some thousand buckets at most, whatever the number of rows.
     """
-    values = F.array(*[F.struct(F.lit(m).alias("metric"), F.expr(ratio).alias("x")) for m, (ratio, _) in METRICS.items()])
-    bucket = F.when(F.col("x") > 0, F.ceil(F.log(F.col("x")) / F.log(F.lit(GAMMA)))).otherwise(F.lit(-(1 << 20)))
+    values = F.array(*[F.struct(F.lit(m).alias("metric"), F.expr(ratio).alias("x")) for m, ratio in METRICS.items()])
+    bucket = F.when(F.col("x") > 0, F.ceil(F.log(F.col("x")) / F.log(F.lit(GAMMA)))).otherwise(F.lit(ZERO))
     return (
         rows.select(*groups, F.inline(values))
         .select(*groups, "metric", bucket.cast("long").alias("bucket"))
@@ -111,9 +112,12 @@ def sketch(rows: DataFrame, groups: tuple[str, ...]) -> DataFrame:
 
 
 def limits(sketches: DataFrame, lang: str, source: str) -> DataFrame:
-    """Fences ``low_*`` and ``high_*`` of each (language, source); small groups use merged sketches.
+    """Fences ``low_*`` and ``high_*`` of each (language, source); ``basis_*`` is how many values made the group's own.
 
-    The eight fences over all rows are the only values that reach the driver.
+    A fence stands 1.5 ranges between the outer deciles beyond them. Where most values of a metric are zero, the
+    deciles are those of its other values and zero is always within the limits. A group with
+    under 100 such values takes the limits of its language, or else of all rows; the eight fences over all
+    rows are the only values that reach the driver. A metric without any value but zero has no limit.
     """
     view = stored(sketches, "quality-sketches").withColumnsRenamed({lang: "g_lang", source: "g_source"})
     merged = view.sparkSession.sql(
@@ -122,38 +126,45 @@ def limits(sketches: DataFrame, lang: str, source: str) -> DataFrame:
           SELECT metric, bucket, g_lang, g_source, 2 * grouping(g_lang) + grouping(g_source) AS level, sum(n) AS n
           FROM {{view}}
           GROUP BY GROUPING SETS ((metric, bucket, g_lang, g_source), (metric, bucket, g_lang), (metric, bucket))
+        ), counted AS (
+          SELECT *, 2 * sum(CASE WHEN bucket = {ZERO} THEN n ELSE 0 END) OVER (PARTITION BY level, g_lang, g_source, metric)
+            > sum(n) OVER (PARTITION BY level, g_lang, g_source, metric) AS sparse
+          FROM merged
         ), summed AS (
           SELECT *,
             sum(n) OVER (PARTITION BY level, g_lang, g_source, metric ORDER BY bucket) AS upto,
             sum(n) OVER (PARTITION BY level, g_lang, g_source, metric) AS total
-          FROM merged
+          FROM counted WHERE bucket > {ZERO} OR NOT sparse
         )
-        SELECT level, g_lang, g_source, metric, max(total) AS total,
-          min(CASE WHEN 4 * upto >= total THEN bucket END) AS b1,
-          min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS b3
-        FROM summed GROUP BY level, g_lang, g_source, metric
+        SELECT level, g_lang, g_source, metric, sparse, max(total) AS total,
+          min(CASE WHEN 10 * upto >= total THEN bucket END) AS b1,
+          min(CASE WHEN 10 * upto >= 9 * total THEN bucket END) AS b9
+        FROM summed GROUP BY level, g_lang, g_source, metric, sparse
         """,
         view=view,
     )
-    value = lambda b: F.when(F.col(b) > -(1 << 20), 2 * F.pow(F.lit(GAMMA), F.col(b)) / (1 + GAMMA)).otherwise(F.lit(0.0))
-    slack = F.create_map(*[F.lit(x) for m, (_, s) in METRICS.items() for x in (m, s)])[F.col("metric")]
-    spread = F.greatest(FENCE * (value("b3") - value("b1")), slack)
-    fences = merged.select(
-        "level", "g_lang", "g_source", "metric", "total", (value("b1") - spread).alias("low"), (value("b3") + spread).alias("high")
-    )
+    value = lambda b: F.when(F.col(b) > ZERO, 2 * F.pow(F.lit(GAMMA), F.col(b)) / (1 + GAMMA)).otherwise(F.lit(0.0))
+    spread = FENCE * (value("b9") - value("b1"))
+    low = F.when(F.col("sparse"), F.lit(0.0)).otherwise(value("b1") - spread)
+    fences = merged.select("level", "g_lang", "g_source", "metric", F.col("total").alias("basis"), low.alias("low"), (value("b9") + spread).alias("high"))
+    names = [f"{side}_{m}" for m in METRICS for side in ("basis", "low", "high")]
     wide = fences.groupBy("level", "g_lang", "g_source").agg(
-        F.max("total").alias("total"),
-        *[F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{side}_{m}") for m in METRICS for side in ("low", "high")],
+        *[F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{side}_{m}") for m in METRICS for side in ("basis", "low", "high")],
     )
-    names = [f"{side}_{m}" for m in METRICS for side in ("low", "high")]
     own = wide.filter("level = 0").drop("level")
-    by_lang = wide.filter("level = 1").select(
-        F.col("g_lang").alias("l_lang"), F.col("total").alias("l_total"), *[F.col(n).alias(f"l_{n}") for n in names]
-    )
+    by_lang = wide.filter("level = 1").select(F.col("g_lang").alias("l_lang"), *[F.col(n).alias(f"l_{n}") for n in names])
     overall = wide.filter("level = 3").select(*names).first() or dict.fromkeys(names)
     joined = own.join(by_lang, F.col("g_lang").eqNullSafe(F.col("l_lang")))
-    choose = lambda n: F.when(F.col("total") >= MIN_ROWS, F.col(n)).when(F.col("l_total") >= MIN_ROWS, F.col(f"l_{n}")).otherwise(F.lit(overall[n]))
-    return joined.select("g_lang", "g_source", F.col("total").alias("group_rows"), *[choose(n).alias(n) for n in names])
+
+    def choose(side: str, m: str) -> Column:
+        n, basis = f"{side}_{m}", f"basis_{m}"
+        found = F.when(F.col(basis) >= MIN_ROWS, F.col(n)).when(F.col(f"l_{basis}") >= MIN_ROWS, F.col(f"l_{n}"))
+        return found.otherwise(F.lit(overall[n]).cast("double")).alias(n)
+
+    return joined.select(
+        "g_lang", "g_source", *[F.coalesce(f"basis_{m}", F.lit(0)).alias(f"basis_{m}") for m in METRICS],
+        *[choose(side, m) for m in METRICS for side in ("low", "high")],
+    )
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -166,9 +177,8 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
 
     The texts are read once: the metrics are written as a narrow table, sketched per language and
     source, and joined with the limits. Sketch rows combine before their shuffle, so a source with
-    a third of all rows costs no more than another. A group's limit is the outer quartile plus
-    three interquartile ranges, at least a fixed slack; groups of under 100 rows take the limits of
-    their language, or of all rows.
+    a third of all rows costs no more than another. Every limit comes from a sketch (:func:`limits`):
+    there is no fixed cutoff beside the base rule.
 
     Null and empty texts have no words: ``base_failed``, not kept. Texts are measured whole. Null
     languages and sources are groups of their own. Repeated rows count and are judged each. An empty
@@ -183,7 +193,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     rows = stored(text_metrics(packed, "_text").drop("_text").withColumn("base_failed", failed), "quality-metrics")
     fences = limits(sketch(rows.filter(~F.col("base_failed")), ("_lang", "_source")), "_lang", "_source")
     joined = rows.join(fences, F.col("_lang").eqNullSafe(F.col("g_lang")) & F.col("_source").eqNullSafe(F.col("g_source")), "left")
-    joined = joined.withColumns({f"x_{m}": F.expr(f"try_divide({ratio.replace(' / ', ', ')})") for m, (ratio, _) in METRICS.items()})
+    joined = joined.withColumns({f"x_{m}": F.expr(f"try_divide({ratio.replace(' / ', ', ')})") for m, ratio in METRICS.items()})
     broken = F.array_compact(
         F.array(*[F.when(~F.col(f"x_{m}").between(F.col(f"low_{m}"), F.col(f"high_{m}")), F.lit(m)) for m in METRICS])
     )

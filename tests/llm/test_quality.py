@@ -43,27 +43,52 @@ def test_empty_table(spark):
     assert quality.judge(docs).count() == 0
 
 
+def marked(i, n):
+    return " ".join(f"w{i}x{j}" + "#" * n for j in range(40))
+
+
 def test_limits_follow_each_group(spark):
-    clean = [(i, " ".join(f"w{i}x{j}" for j in range(40)), "en", "a") for i in range(150)]
-    noisy = [(1000 + i, " ".join(f"w{i}x{j}" + "#" * (i % 5 + 1) for j in range(40)), "en", "b") for i in range(150)]
-    odd = [(5000, " ".join(f"w{j}###" for j in range(40)), "en", "a"), (5001, " ".join(f"z{j}" for j in range(40)), None, None)]
-    docs = spark.createDataFrame(clean + noisy + odd, "doc_id long, text string, lang string, source string")
+    calm = [(i, " ".join(f"w{i}x{j}" for j in range(39)) + " w" + "#" * (1 + i % 3), "en", "a") for i in range(150)]
+    noisy = [(1000 + i, marked(i, i % 5 + 1), "en", "b") for i in range(150)]
+    odd = [(5000, marked(7, 3), "en", "a"), (5001, marked(8, 3), "en", "b"), (5002, " ".join(f"zz{j}q" for j in range(40)), None, None)]
+    docs = spark.createDataFrame(calm + noisy + odd, "doc_id long, text string, lang string, source string")
     out = {r.doc_id: r for r in quality.judge(docs).collect()}
-    assert all(out[i].kept for i, *_ in clean + noisy)
+    assert all(out[i].kept for i, *_ in calm + noisy)
     assert out[5000].failed_rules == ["symbols"] and not out[5000].kept
-    assert out[5001].kept
+    assert out[5001].kept and out[5002].kept
+
+
+SKETCHED = "l string, s string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 
 
-def test_sketch_quartiles_are_close(spark):
+def test_sketch_deciles_are_close(spark):
     import numpy as np
 
     x = np.random.default_rng(3).lognormal(1.5, 0.6, 3000)
-    rows = spark.createDataFrame([("g", "s", 100, int(1e6 * v), 0, 1, 0, 0) for v in x], "l string, s string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
-    high = quality.limits(quality.sketch(rows, ("l", "s")), "l", "s").first()["high_word_length"]
+    rows = spark.createDataFrame([("g", "s", 100, int(1e6 * v), 0, 1, 0, 0) for v in x], SKETCHED)
+    found = quality.limits(quality.sketch(rows, ("l", "s")), "l", "s").first()
     v = np.sort(np.floor(1e6 * x) / 100)
-    q1, q3 = v[749], v[2249]
-    assert high == pytest.approx(q3 + 3 * (q3 - q1), rel=0.1)
-    assert math.isfinite(high)
+    d1, d9 = v[299], v[2699]
+    assert found["high_word_length"] == pytest.approx(d9 + quality.FENCE * (d9 - d1), rel=0.05)
+    assert found["low_word_length"] == pytest.approx(d1 - quality.FENCE * (d9 - d1), rel=0.05)
+    assert found["high_symbols"] is None and found["basis_symbols"] == 0
+
+
+def test_no_fixed_value_decides_a_limit(spark):
+    """Values ten times as large give limits ten times as large, for every metric."""
+    rows = [("g", "s", 10**6, 10**7 + 999 * i, 10 * i, 10**6, 10 * i, 10 * i) for i in range(1, 201)]
+    large = [("g", "s", w, 10 * c, 100 * y, n, 10 * d, 10 * r) for _, _, w, c, y, n, d, r in rows]
+    one, ten = (quality.limits(quality.sketch(spark.createDataFrame(r, SKETCHED), ("l", "s")), "l", "s").first() for r in (rows, large))
+    for m in quality.METRICS:
+        # symbols are a share of the characters, so they grow a hundredfold above
+        assert ten[f"high_{m}"] / one[f"high_{m}"] == pytest.approx(10, rel=0.05)
+
+
+def test_zero_mode_takes_the_other_values(spark):
+    rows = [("g", "s", 100, 500, 0, 10, 0, 0)] * 900 + [("g", "s", 100, 500, 0, 100, 10 + i % 11, 0) for i in range(110)]
+    found = quality.limits(quality.sketch(spark.createDataFrame(rows, SKETCHED), ("l", "s")), "l", "s").first()
+    assert found["basis_dup_lines"] == 110 and found["low_dup_lines"] == 0
+    assert found["high_dup_lines"] == pytest.approx(0.19 + quality.FENCE * 0.08, rel=0.05)
 
 
 def test_whole_table_base_metrics(spark):
