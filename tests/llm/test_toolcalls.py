@@ -1,6 +1,7 @@
 """Tool calls: linking, order, validation and canonical JSON."""
 
 import json
+import random
 
 import pytest
 
@@ -27,11 +28,17 @@ def test_schema(value, errors):
     assert toolcalls.schema_errors(value, SCHEMA) == errors
 
 
-def run(spark, calls, results, schemas=None):
+def every(spark, calls, results, schemas=None, edges=None):
     c = spark.createDataFrame([(*x, "clash") for x in calls], CALLS)
     r = spark.createDataFrame(results, RESULTS)
     s = spark.createDataFrame(schemas if schemas is not None else [("f", json.dumps(SCHEMA)), ("bad", "{")], "name string, schema string")
-    return {(x.conv_id, x.call_id): x for x in toolcalls.link_calls(c, r, s).collect()}
+    e = None if edges is None else spark.createDataFrame(edges, "conv_id long, call_id string, after string")
+    return toolcalls.link_calls(c, r, s, e).collect()
+
+
+def run(spark, *args):
+    """First calls by id."""
+    return {(x.conv_id, x.call_id): x for x in every(spark, *args) if x.status not in ("duplicate", "extra", "orphan")}
 
 
 def test_linking_order_and_status(spark):
@@ -50,7 +57,11 @@ def test_linking_order_and_status(spark):
     assert [out[1, x].depth for x in "abcd"] == [0, 1, 2, 0]
     assert out[1, "a"].json == '{"arguments":{"n":1,"s":"ü"},"id":"a","name":"f","result":"r1"}'
     assert out[1, "e"].json is None and out[1, "g"].errors == ["no schema"] and out[1, "h"].errors == ["schema not usable"]
-    assert out[2, "a"].status == "duplicate" and (out[2, "a"].repeats, out[2, "a"].turn) == (2, 1)
+    assert out[2, "a"].status == "unanswered" and (out[2, "a"].repeats, out[2, "a"].turn) == (1, 1)
+    rest = {(x.conv_id, x.call_id, x.status): x for x in every(spark, calls, results) if x.status in ("duplicate", "extra", "orphan")}
+    assert set(rest) == {(2, "a", "duplicate"), (1, "a", "extra"), (1, "z", "orphan")}
+    assert (rest[2, "a", "duplicate"].turn, rest[2, "a", "duplicate"].errors) == (3, []) and '"result":null' in rest[2, "a", "duplicate"].json
+    assert rest[1, "a", "extra"].json == '{"arguments":null,"id":"a","name":null,"result":"r2"}' and rest[1, "z", "orphan"].result_turn == 3
     assert out[3, "a"].status == "early" and out[5, "x"].errors == ["$: not JSON"] and len(out) == 13
 
 
@@ -61,6 +72,38 @@ def test_long_chain_and_hot_conversation(spark):
     assert sum(r.status == "ok" for r in out.values()) == 1500
 
 
+def longest_ways(names, edges):
+    """Depths by plain rounds; calls on or behind a cycle stay out."""
+    before = {n: {b for a, b in edges if a == n and b in names} for n in names}
+    depth = {}
+    while True:
+        more = {n: max((depth[b] + 1 for b in before[n]), default=0) for n in names if n not in depth and before[n] <= set(depth)}
+        if not more:
+            return depth
+        depth |= more
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_order_over_several_predecessors(spark, seed):
+    rng = random.Random(seed)
+    names = [f"c{i}" for i in range(60)]
+    edges = [(a, rng.choice(names[:i])) for i, a in enumerate(names) if i for _ in range(rng.randrange(4))]
+    edges += [("c50", "c55"), ("c55", "c50"), ("c7", "nowhere")] + edges[:5]
+    want = longest_ways(set(names), edges)
+    out = run(spark, [(1, n, 0, "f", '{"n":1}', None) for n in names], [], None, [(1, *e) for e in edges])
+    assert {n: out[1, n].depth for n in names} == {n: want.get(n) for n in names}
+    assert {n for n in names if out[1, n].status == "cycle"} == set(names) - set(want)
+    assert len(want) < 60 and max(want.values()) > 3
+
+
+def test_hot_identifier_keeps_every_call(spark):
+    calls = [(1, "a", i, "f", '{"n":1}' if i % 2 else '{"n":0}', None) for i in range(2000)] * 2
+    out = every(spark, calls, [(1, "a", 5000 + i, f"r{i}") for i in range(300)])
+    assert sorted(x.turn for x in out if x.turn is not None) == list(range(2000))
+    assert sum(x.status == "duplicate" for x in out) == 1999 and all(x.repeats == 1 for x in out if x.turn is not None)
+    assert sum(x.status == "extra" for x in out) == 299 and sum(x.errors == ["$.n: below minimum"] for x in out) == 1000
+
+
 def test_empty_tables(spark):
     assert run(spark, [], []) == {}
     assert run(spark, [(1, "a", 0, "f", "{}", None)], [], [])[1, "a"].errors == ["no schema"]
@@ -71,8 +114,11 @@ def test_given_table(spark):
     turns = spark.read.parquet(f"{sf}/conversations.parquet").collect()
     asked = {(r.conv_id, r.turn): r for r in turns if r.role != "assistant"}
     said = {(r.conv_id, r.turn): r.text for r in turns if r.role == "assistant"}
-    out = queries.op10_tool_calls(spark, sf).collect()
+    found = queries.op10_tool_calls(spark, sf).collect()
+    out = [r for r in found if r.turn is not None]
     assert len(out) == len(asked)
+    alone = sorted((i, t, text) for (i, t), text in said.items() if (i, t - 1) not in asked)
+    assert sorted((r.conv_id, r.result_turn, json.loads(r.json)["result"]) for r in found if r.turn is None) == alone
     for r in out:
         want = asked[r.conv_id, r.turn]
         back = json.loads(r.json)
