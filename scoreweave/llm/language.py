@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tools import fresh
+
 ORDER = 3
 UNKNOWN = "und"
 LANGUAGES = 1000
@@ -66,14 +68,24 @@ def gram_counts(rows: DataFrame, lang: str, text: str) -> DataFrame:
     return counts.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
 
 
-def training_sample(docs: DataFrame, key: str, text: str, lang: str, train: Column, rows: int, characters: int) -> DataFrame:
-    """About ``rows`` labelled rows a language, chosen by a hash of the key; shorter than ``characters``."""
+def training_sample(
+    docs: DataFrame, key: str, text: str, lang: str, train: Column, rows: int, characters: int, languages: int = LANGUAGES
+) -> DataFrame:
+    """About ``rows`` labelled rows a language, chosen by a hash of key and text; shorter than ``characters``.
+
+    Repeated rows are one, and a key that repeats with other texts has a hash for each. More than
+    ``languages`` languages are an error (ValueError), none is left out.
+    """
     usable = docs.filter(train & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= characters))
     sizes = usable.groupBy(F.col(lang).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = F.broadcast(sizes.orderBy(F.desc("_n"), "_l").limit(LANGUAGES))
-    share = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = usable.select(share.alias("_share"), F.col(lang).alias("_l"), F.col(text).alias("_t")).join(sizes, "_l")
-    return chosen.filter(F.col("_share") * F.col("_n") < rows).select(F.col("_l").alias("lang"), F.col("_t").alias("text"))
+    counted = sizes.limit(languages + 1).collect()
+    if len(counted) > languages:
+        raise ValueError(f"more than {languages} languages: raise the bound `languages` or merge labels")
+    sizes = F.broadcast(docs.sparkSession.createDataFrame([(r["_l"], r["_n"]) for r in counted], "_l string, _n long"))
+    mark = F.xxhash64(F.col(key).cast("string"), F.col(text))
+    share = F.pmod(mark, F.lit(1 << 30)) / float(1 << 30)
+    chosen = usable.select(mark.alias("_mark"), share.alias("_share"), F.col(lang).alias("_l"), F.col(text).alias("_t")).join(sizes, "_l")
+    return chosen.filter(F.col("_share") * F.col("_n") < rows).dropDuplicates(["_mark", "_l"]).select(F.col("_l").alias("lang"), F.col("_t").alias("text"))
 
 
 def fit(sample: DataFrame) -> ContextTrees:
@@ -202,8 +214,9 @@ def identify(docs: DataFrame, trees: ContextTrees, text: str = "text", prefix: s
             rows += judged(waiting)
             yield pd.DataFrame(rows, columns=names)
 
-    out = docs.withColumn("_language", identified.asNondeterministic()(F.col(text)))
-    return out.withColumns({prefix + n: F.col("_language")[n] for n in names}).drop("_language")
+    packed = fresh("_language", docs)
+    out = docs.withColumn(packed, identified.asNondeterministic()(F.col(text)))
+    return out.withColumns({prefix + n: F.col(packed)[n] for n in names}).drop(packed)
 
 
 def detect(
@@ -219,7 +232,8 @@ def detect(
     """Learn from the labelled rows of ``docs`` and identify every row; see :func:`identify`.
 
     ``train`` is a condition on the rows to learn from. About ``rows`` of each language with at
-    most ``characters`` are used for the fit. Null languages are not learned.
+    most ``characters`` are used for the fit. Null languages are not learned; more than 1,000 languages
+    are an error.
     """
     sample = training_sample(docs, key, text, lang, F.lit(True) if train is None else train, rows, characters)
     return identify(docs, fit(sample), text, prefix=prefix)

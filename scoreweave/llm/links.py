@@ -23,8 +23,6 @@ RULES = (
 DAMPING = 0.85
 # Rounds end when they add at most this share to every score.
 LEAST_CHANGE = 1e-6
-# Used by the expected SQL alone, whose tables are small; the verdict needs no least distrust.
-THRESHOLD = 1e-9
 
 
 def url_host(url: Column) -> Column:

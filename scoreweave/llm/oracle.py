@@ -135,6 +135,13 @@ _FITS = " ".join(
 )
 _BLOCKS = ", ".join(f"'{name}{start}'" for verdict, name, start in links.RULES if verdict == "block")
 
+_HREF = r"href\s*=\s*[\x22'']?\s*([^\x22''\s<>]*)"
+
+
+def _host_of(address: str) -> str:
+    """Host of an address that names one, with or without its scheme, else empty."""
+    return f"translate(regexp_extract({address}, '(?i)^(?:https?:)?//([^/?#]*)', 1), '{UPPER}', '{LOWER}')"
+
 
 def _walks(rounds: int) -> str:
     """Both walks, one step a common table expression."""
@@ -153,11 +160,14 @@ WITH p AS (
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
 ), ruled AS (
   SELECT *, CASE {_FITS} END AS rule FROM p
+), based AS (
+  SELECT host AS src, html, regexp_extract(html, '(?i)<base\b[^>]*?\s{_HREF}', 1) AS base FROM p WHERE host <> ''
 ), addresses AS (
-  SELECT host AS src, unnest(regexp_extract_all(html, '(?i)href\s*=\s*[\x22'']?\s*(https?://[^\x22''\s<>]+)', 1)) AS address FROM p WHERE host <> ''
+  SELECT src, base, unnest(regexp_extract_all(CASE WHEN base <> '' THEN regexp_replace(html, '(?i)<base\b[^>]*>', '', 'g') ELSE html END,
+    '(?i){_HREF}', 1)) AS address FROM based
 ), edges AS (
   SELECT src, dst, count(*) AS n FROM (
-    SELECT src, translate(regexp_extract(address, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS dst FROM addresses
+    SELECT src, CASE WHEN regexp_matches(address, '(?i)^([a-z][a-z0-9+.-]*:|//)') THEN {_host_of("address")} ELSE {_host_of("base")} END AS dst FROM addresses
   ) WHERE dst <> '' AND src <> dst GROUP BY src, dst
 ), moves AS (
   SELECT 'trust' AS walk, src AS origin, dst AS dest, n / sum(n) OVER (PARTITION BY src) AS share FROM edges
@@ -167,12 +177,12 @@ WITH p AS (
   FROM ruled WHERE rule IS NOT NULL AND host <> '' GROUP BY ALL
 ), base AS (
   SELECT walk, host, n / sum(n) OVER (PARTITION BY walk) AS seed FROM seeds
-), {_walks(30)}, scores AS (
+), {_walks(100)}, scores AS (
   SELECT host, sum(CASE WHEN walk = 'trust' THEN score ELSE 0 END) AS trust, sum(CASE WHEN walk = 'distrust' THEN score ELSE 0 END) AS distrust
-  FROM s30 GROUP BY host
+  FROM s100 GROUP BY host
 )
 SELECT page_id, r.host AS host, path, rule, CASE WHEN rule IN ({_BLOCKS}) THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-  WHEN coalesce(distrust, 0) > {links.THRESHOLD} AND distrust > trust THEN 'block' ELSE 'allow' END AS verdict
+  WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled r LEFT JOIN scores ON scores.host = r.host
 """
 

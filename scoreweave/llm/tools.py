@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written as stored
 
-__all__ = ["ALNUM", "LOWER", "alnum_words", "fold", "mixed", "shingle_hashes", "space_words", "stored", "word_hashes"]
+__all__ = ["ALNUM", "LOWER", "alnum_words", "fold", "fresh", "mixed", "shingle_hashes", "space_words", "stored", "word_hashes"]
 
 # The ASCII characters that lower-case, and the separators of two word rules.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -23,6 +23,14 @@ def fold(key: Column | str, parts: int) -> Column:
     return F.crc32(column.cast("string")) % parts
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, lengthened until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def space_words(text: bytes) -> list[bytes]:
     """Lower-cased (A-Z) runs of bytes other than space and 0x09-0x0D."""
     return text.translate(LOWER).split()

@@ -67,6 +67,24 @@ def test_edge_cases(spark):
     assert {r.lang_pred for r in language.detect(docs, train=F.lit(False)).collect()} == {"und"}
 
 
+def test_more_languages_than_the_bound(spark):
+    docs = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(4)], "doc_id long, text string, lang string")
+    assert language.training_sample(docs, "doc_id", "text", "lang", F.lit(True), 9, 99, languages=4).count() == 4
+    with pytest.raises(ValueError, match="languages"):
+        language.training_sample(docs, "doc_id", "text", "lang", F.lit(True), 9, 99, languages=3)
+
+
+def test_repeated_rows_do_not_swell_the_sample(spark):
+    rows = [(i % 20, f"text number {i % 20}", "en") for i in range(4000)] + [(77, f"other text {i}", "en") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert 0 < language.training_sample(docs, "doc_id", "text", "lang", F.lit(True), 100, 99).count() <= 150
+
+
+def test_clashing_column_stays(spark):
+    docs = spark.createDataFrame([(1, "the house", "en", "mine")], "doc_id long, text string, lang string, _language string")
+    assert language.detect(docs).first()["_language"] == "mine"
+
+
 def test_held_out_accuracy(spark):
     out = queries.op7_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id")
     rows = out.filter("held_out AND lang_pred <> 'und'").select("lang", "lang_pred").collect()

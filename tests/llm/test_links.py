@@ -2,9 +2,10 @@
 
 import random
 
+import duckdb
 import pytest
 
-from scoreweave.llm import links
+from scoreweave.llm import links, oracle, queries
 
 URLS = {
     None: ("", "", None), "": ("", "", None), "no scheme/x": ("", "", None), "http://A.Example.COM/en/x?y": ("a.example.com", "/en/x", "example.com/en/"),
@@ -93,3 +94,25 @@ def test_addresses_without_scheme_and_base(spark):
     ]
     edges = links.host_edges(spark.createDataFrame(rows, "host string, html string"), "host", "html").collect()
     assert sorted(map(tuple, edges)) == [("a.org", "b.org", 1), ("c.org", "b.org", 1), ("c.org", "d.org", 2)]
+
+
+def test_sql_agrees_on_linked_pages(spark, tmp_path):
+    """The expected SQL over pages that link: absolute, ``//host`` and relative addresses, with and without a base."""
+    rng = random.Random(11)
+    hosts = [f"h{i}.org" for i in range(30)] + ["a.net", "b.net", "good.com"]
+    ways = ["http://{}/x", "HTTPS://{}/y?z", "//{}/w", "/local/{}", "mailto:me@{}", "{}/page", "#top"]
+    rows = []
+    for i in range(300):
+        links_ = "".join(f"<a HREF={q}{rng.choice(ways).format(rng.choice(hosts))}{q}>t</a>" for q in (rng.choice("'\"") for _ in range(rng.randrange(4))))
+        base = f"<base target=x href='//{rng.choice(hosts)}/b/'>" if i % 9 == 0 else ""
+        rows.append((i, f"http://{rng.choice(hosts)}/{rng.choice(['es', 'fr', 'de', 'en'])}/{i}", base + links_ if i % 20 else None))
+    rows += [(1000, None, "<a href='http://a.net/'>"), (1001, "nowhere", ""), (1002, "http://H1.org", "<a href=//A.net>")]
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{folder}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{folder}/pages.parquet/*.parquet')")
+    want = {r[0]: r[1:] for r in con.execute(oracle.STATEMENTS["op6_url_filters"]).fetchall()}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in queries.op6_url_filters(spark, folder).collect()}
+    assert got == want
+    unruled = [v[3] for v in got.values() if v[2] is None and v[0].endswith(".org")]
+    assert {"allow", "block"} == set(unruled)
