@@ -22,6 +22,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tools import fresh
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -227,5 +229,6 @@ def encode_decode(
             yield pd.DataFrame(rows, columns=names)
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
-    out = docs.withColumn("_encoded", encoded.asNondeterministic()(F.col(text)))
-    return out.withColumns({prefix + n: F.col("_encoded")[n] for n in names}).drop("_encoded")
+    packed = fresh("_encoded", docs)
+    out = docs.withColumn(packed, encoded.asNondeterministic()(F.col(text)))
+    return out.withColumns({prefix + n: F.col(packed)[n] for n in names}).drop(packed)

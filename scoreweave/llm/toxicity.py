@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tools import fresh
+
 # Word characters are letters, digits and all beyond ASCII; sentences end at . ! ? or a line end.
 WORD_OR_STOP = re.compile("[0-9a-z\u0080-\U0010ffff]+|[.!?\n]")
 SENTENCE = re.compile("[^.!?\n]*[0-9A-Za-z\u0080-\U0010ffff][^.!?\n]*")
@@ -170,8 +172,9 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", limit: floa
                 rows.append((float(-np.expm1(-total)), len(z), places))
             yield pd.DataFrame(rows, columns=names)
 
-    out = docs.withColumn("_toxicity", scored.asNondeterministic()(F.col(text)))
-    out = out.withColumns({prefix + n: F.col("_toxicity")[n] for n in names}).drop("_toxicity")
+    packed = fresh("_toxicity", docs)
+    out = docs.withColumn(packed, scored.asNondeterministic()(F.col(text)))
+    out = out.withColumns({prefix + n: F.col(packed)[n] for n in names}).drop(packed)
     return out.withColumn(f"{prefix}predicted", (F.col(f"{prefix}score") >= limit).cast("int"))
 
 

@@ -81,6 +81,12 @@ def test_operator(spark, reference):
     assert bpe.encode_decode(docs.limit(0)).count() == 0
 
 
+def test_clashing_column_stays(spark):
+    docs = spark.createDataFrame([(1, "a text", "mine")], "doc_id long, text string, _ENCODED string")
+    row = bpe.encode_decode(docs).first()
+    assert row["_ENCODED"] == "mine" and row["n_tokens"] == 2
+
+
 def test_whole_table(spark, reference):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in queries.op1_byte_bpe(spark, SF).collect():

@@ -38,6 +38,12 @@ def test_edge_cases(spark):
     assert toxicity.detect(docs, labels).first().predicted == 0
 
 
+def test_clashing_column_stays(spark):
+    docs = spark.createDataFrame([(1, "a text", "mine"), (2, "vile words", "mine")], "doc_id long, text string, _toxicity string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    assert {r["_toxicity"] for r in toxicity.detect(docs, labels).collect()} == {"mine"}
+
+
 def test_learns_from_document_labels(spark):
     rng = random.Random(1)
     bag = [f"w{i}" for i in range(300)]
